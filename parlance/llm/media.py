@@ -114,7 +114,10 @@ def _reduced(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def dct_hash(image: np.ndarray) -> str:
-    """16 hex digits: bit is 1 where a low frequency exceeds the median of the 64."""
+    """16 hex digits: bit is 1 where a low frequency exceeds the median of the 64.  Rows of a very
+    low image are folded into squares first."""
+    if len(image) < SIDE and image.shape[1] == ROW:
+        image = image.reshape(-1, 24)
     grid = _reduced(_reduced(image, SIDE).T, SIDE).T
     low = (_DCT @ grid @ _DCT.T).ravel()
     bits = np.round(low, 6) > np.round(np.median(low), 6)
