@@ -13,9 +13,11 @@ import base64
 import functools
 import gc
 import re
+from array import array
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +43,8 @@ class PrefixEncoder:
         self.longest = max(map(len, ranks))
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: merge the neighbours of lowest rank, leftmost first, while any can be.
@@ -115,23 +117,22 @@ class PrefixEncoder:
         self.extend(data, last)
         return self.tokens(data, last)
 
-    def encode_sorted(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
-        """Encodings of many pieces.  In sorted order neighbours share prefixes, and so the front
-        of their tables."""
-        out, before, last = {}, b"", []
+    def encode_sorted(self, pieces):
+        """(piece, ids) of many pieces.  In sorted order neighbours share prefixes, and so the
+        front of their tables."""
+        before, last = b"", []
         for data in sorted(pieces):
             whole = self.ranks.get(data)
             if whole is not None:
-                out[data] = [whole]
+                yield data, (whole,)
                 continue
             n, most = 0, min(len(before), len(data))
             while n < most and before[n] == data[n]:
                 n += 1
             del last[n:]
             self.extend(data, last)
-            out[data] = self.tokens(data, last)
+            yield data, self.tokens(data, last)
             before = data
-        return out
 
     def append(self, data: bytes, last: list[int], more: bytes) -> bytes:
         """Extends the table of data by more, in place, and returns the joined bytes."""
@@ -188,65 +189,79 @@ def _pieces_of(chunk: str) -> list[str]:
     return _pattern.findall(" " + chunk)
 
 
-def encode_texts(texts: list[str], name: str = VOCABULARY) -> list[list[int]]:
-    """Ids of texts: each match of the pattern by itself.  The pattern always begins a match at a
-    single space between two other characters, so texts are cut there, and equal chunks and
-    pieces reuse what a worker has encoded."""
+def _packed(ids) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def encode_packed(texts: list[str], name: str = VOCABULARY) -> list[bytes]:
+    """Ids of texts as 32-bit integers in bytes: each match of the pattern by itself.  The
+    pattern always begins a match at a single space between two other characters, so texts are
+    cut there, and equal chunks and pieces reuse what a worker has encoded."""
     own = encoder(name)
     if len(own.chunks) >= MEMO_CHUNKS:
         own.chunks.clear()
     if len(own.pieces) >= MEMO_PIECES:
         own.pieces.clear()
     cut = [_chunks_of(t) for t in texts]
-    heads = [_pattern.findall(c[0]) for c in cut]
-    fresh: set[str] = set()
-    for c in cut:
-        fresh.update(c[1:])
-    split = {c: _pieces_of(c) for c in fresh if c not in own.chunks}
-    missing = {p for ps in (*split.values(), *heads) for p in ps if p not in own.pieces}
-    found = own.encode_sorted([p.encode("utf-8", "surrogatepass") for p in missing])
-    for p in missing:
-        own.pieces[p] = tuple(found[p.encode("utf-8", "surrogatepass")])
+    heads = [_pattern.findall(c.pop(0)) for c in cut]
+    split = {c: _pieces_of(c) for c in set().union(*cut).difference(own.chunks)}
+    missing = {p.encode("utf-8", "surrogatepass"): p for ps in (*split.values(), *heads) for p in ps if p not in own.pieces}
+    for data, ids in own.encode_sorted(missing):
+        own.pieces[missing[data]] = _packed(ids)
+    pieces = own.pieces
     for c, ps in split.items():
-        own.chunks[c] = own.pieces[ps[0]] if len(ps) == 1 else sum(map(own.pieces.__getitem__, ps), ())
-    out = []
-    for c, head in zip(cut, heads):
-        ids = [i for p in head for i in own.pieces[p]]
-        for x in map(own.chunks.__getitem__, c[1:]):
-            ids += x
-        out.append(ids)
-    return out
+        own.chunks[c] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+    return [b"".join([pieces[p] for p in head] + list(map(own.chunks.__getitem__, c))) for c, head in zip(cut, heads)]
 
 
 def encode_text(text: str, name: str = VOCABULARY) -> list[int]:
-    return encode_texts([text], name)[0]
+    return array("i", encode_packed([text], name)[0]).tolist()
+
+
+@functools.cache
+def _blob(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes, and where each token's begin and how many they are."""
+    table = encoder(name).bytes_of
+    size = np.array([len(table[i]) for i in range(len(table))], np.int64)
+    return np.frombuffer(b"".join(table[i] for i in range(len(table))), np.uint8), np.cumsum(size) - size, size
 
 
 def decode_ids(ids, name: str = VOCABULARY) -> bytes:
-    return b"".join(map(encoder(name).bytes_of.__getitem__, ids))
+    """Bytes of ids; an id outside the vocabulary raises IndexError."""
+    data, start, size = _blob(name)
+    ids = np.asarray(ids, np.int64)
+    if not len(ids):
+        return b""
+    if ids.min() < 0:
+        raise IndexError("negative id")
+    n = size[ids]
+    stop = np.cumsum(n)
+    return data[np.repeat(start[ids] - stop + n, n) + np.arange(stop[-1])].tobytes()
 
 
 def bpe_encode(name: str = VOCABULARY):
     """Column function text -> array<int> of ids.  Null and empty texts have no ids."""
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
         gc.disable()  # no cycles here, and the memos hold very many objects
-        out: list[list[int]] = []
+        own: list[bytes] = []
         for k in range(0, len(texts), TEXTS):
-            out += encode_texts([t or "" for t in texts.iloc[k : k + TEXTS]], name)
-        return pd.Series(out, dtype=object)
+            own += encode_packed([t or "" for t in texts.slice(k, TEXTS).to_pylist()], name)
+        ends = np.cumsum([0, *map(len, own)]) // 4
+        values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(own))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
     return encode
 
 
 def bpe_decode(name: str = VOCABULARY):
-    """Column function array<int> of ids -> bytes.  Null and empty arrays decode to no bytes; an
-    id outside the vocabulary raises KeyError."""
+    """Column function array<int> of ids -> bytes.  Null and empty arrays decode to no bytes."""
 
-    @F.pandas_udf("binary")
-    def decode(ids: pd.Series) -> pd.Series:
-        return pd.Series([decode_ids(x, name) if x is not None else b"" for x in ids], dtype=object)
+    @F.arrow_udf("binary")
+    def decode(ids: pa.Array) -> pa.Array:
+        values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        return pa.array([decode_ids(values[a:b], name) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
 
     return decode
 

@@ -58,24 +58,21 @@ def targets(sources: DataFrame, *, share: float = 1.5, most: float = 2.0, weight
     return out.select("source", "source_size", F.when(F.col("open"), F.col("level") * F.col("weight")).otherwise(capped).cast("double").alias("target"))
 
 
-def mixed(docs: DataFrame, goals: DataFrame, *, key: str = "doc_id", weight: str | None = None) -> DataFrame:
+def mixed(docs: DataFrame, goals: DataFrame, *, key: str = "doc_id", weight: str | None = None, statistics: DataFrame | None = None) -> DataFrame:
     """docs (key, source, size and others) with ``source_size``, ``target`` and ``copies``.
 
     goals is (source, source_size, target), one row a source.  ``weight`` names a column of
     positive relative inclusion probabilities; without it all documents of a source are alike.
     Documents of size 0 get no copies, so do all of a source without words.  Null sources are a
     source; null keys count as one key; repeated rows are drawn one by one, equal ranks in the
-    order of key and size.  docs is read twice, so hand over a stored table or a cheap plan."""
-    joined = docs.join(F.broadcast(goals.withColumnRenamed("source", "__source")), docs["source"].eqNullSafe(F.col("__source"))).drop("__source")
-    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = joined.withColumns({"__due": due, "__whole": F.floor(due)})
-    part = F.col("__due") - F.col("__whole")
-    p = part if weight is None else F.least(part * F.col(weight), F.lit(0.999999))
-    u = uniform(F.col(key))
-    odds = (u / (1 - u)) / (F.greatest(p, F.lit(1e-12)) / (1 - p))
-    rows = rows.withColumn("__rank", odds).withColumn("__cell", F.floor(F.col("__rank") / (1 + F.col("__rank")) * CELLS))
-    rows = rows.withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size"))
-    cells = rows.groupBy("source", "__cell").agg(F.sum("size").alias("words"), F.first("__rest").alias("rest"))
+    order of key and size.  docs is read three times, once of them just for the cells' sums, which
+    may come from ``statistics``, a stored table of its key, source, size and weight."""
+
+    def ranked(docs: DataFrame) -> DataFrame:
+        return _ranked(docs, goals, key, weight)
+
+    rows = ranked(docs)
+    cells = (rows if statistics is None else ranked(statistics)).groupBy("source", "__cell").agg(F.sum("size").alias("words"), F.first("__rest").alias("rest"))
     run = Window.partitionBy("source").orderBy("__cell")
     cells = cells.withColumn("upto", F.sum("words").over(run))
     edge = cells.where(F.col("upto") >= F.col("rest")).groupBy("source").agg(F.min(F.struct("__cell", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
@@ -89,6 +86,18 @@ def mixed(docs: DataFrame, goals: DataFrame, *, key: str = "doc_id", weight: str
     return out.withColumn("copies", copies.cast("bigint")).drop("__due", "__whole", "__rank", "__cell", "__rest", "__edge", "__before", "__taken")
 
 
+def _ranked(docs: DataFrame, goals: DataFrame, key: str, weight: str | None) -> DataFrame:
+    joined = docs.join(F.broadcast(goals.withColumnRenamed("source", "__source")), docs["source"].eqNullSafe(F.col("__source"))).drop("__source")
+    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rows = joined.withColumns({"__due": due, "__whole": F.floor(due)})
+    part = F.col("__due") - F.col("__whole")
+    p = part if weight is None else F.least(part * F.col(weight), F.lit(0.999999))
+    u = uniform(F.col(key))
+    odds = (u / (1 - u)) / (F.greatest(p, F.lit(1e-12)) / (1 - p))
+    rows = rows.withColumn("__rank", odds).withColumn("__cell", F.floor(F.col("__rank") / (1 + F.col("__rank")) * CELLS))
+    return rows.withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size"))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
 
