@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = None
+from parlance.plans import dataset_queries, model_queries, pair_queries, text_queries, weight_queries  # noqa: F401  they register their queries
+from parlance.plans.registry import QUERIES, SQL
+
+FLAGSHIP = QUERIES["greedy_match"]
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
