@@ -28,7 +28,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts encoded together.
 TEXTS = 1000
 #: Entries that a worker's memos of chunks, pieces and token pairs may hold before they start anew.
-MEMO_CHUNKS, MEMO_PIECES, MEMO_PAIRS = 300_000, 350_000, 600_000
+MEMO_CHUNKS, MEMO_PIECES, MEMO_PAIRS = 600_000, 700_000, 1_000_000
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _BEYOND = re.compile(r"[^\x00-\u024f]")
 _BLANKS = re.compile(r" \s|\s ")
@@ -41,7 +41,7 @@ class PrefixEncoder:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}  # ranks are 0 .. len(ranks) - 1
         self.longest = max(map(len, ranks))
-        self.pairs: dict[int, bool] = {}
+        self.after: list[dict[int, bool] | None] = [None] * len(ranks)  # by left token
         self.whole: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -70,17 +70,18 @@ class PrefixEncoder:
         return ok
 
     def follows(self, left: int, right: int) -> bool:
-        key = left << 20 | right
-        ok = self.pairs.get(key)
+        """Whether the two tokens' bytes merge to just these two."""
+        own = self.after[left]
+        if own is None:
+            own = self.after[left] = {}
+        ok = own.get(right)
         if ok is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            ok = own[right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return ok
 
     def extend(self, data: bytes, last: list[int], stop: int | None = None) -> None:
         """Fills last up to data[:stop]; last[i] is the last token of data[:i+1]."""
-        get, pairs = self.ranks.get, self.pairs.get
+        get, after, none = self.ranks.get, self.after, {}
         for end in range(len(last) + 1, (len(data) if stop is None else stop) + 1):
             # one token fits, so the order of trial is free; most last tokens are short
             for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
@@ -89,7 +90,7 @@ class PrefixEncoder:
                     continue
                 if start:
                     left = last[start - 1]
-                    ok = pairs(left << 20 | token)
+                    ok = (after[left] or none).get(token)
                     if ok or ok is None and self.follows(left, token):
                         last.append(token)
                         break
@@ -179,9 +180,10 @@ def _chunks_of(text: str) -> list[str]:
     return text.split(" ")
 
 
-def _pieces_of(chunk: str) -> list[str]:
-    """Matches of the pattern in a space and a chunk; a word, or a word and a mark, need no search."""
-    if chunk.isascii() or not _BEYOND.search(chunk):
+def _pieces_of(chunk: str, latin: bool) -> list[str]:
+    """Matches of the pattern in a space and a chunk; a word of Latin letters, or one and a mark,
+    needs no search."""
+    if latin:
         if chunk.isalpha():
             return [" " + chunk]
         if chunk[:-1].isalpha() and chunk[-1] in ".,!?;:":
@@ -202,9 +204,12 @@ def encode_packed(texts: list[str], name: str = VOCABULARY) -> list[bytes]:
         own.chunks.clear()
     if len(own.pieces) >= MEMO_PIECES:
         own.pieces.clear()
+        if sum(len(d) for d in own.after if d) >= MEMO_PAIRS:
+            own.after = [None] * len(own.ranks)
     cut = [_chunks_of(t) for t in texts]
     heads = [_pattern.findall(c.pop(0)) for c in cut]
-    split = {c: _pieces_of(c) for c in set().union(*cut).difference(own.chunks)}
+    latin = not any(map(_BEYOND.search, texts))
+    split = {c: _pieces_of(c, latin) for c in set().union(*cut).difference(own.chunks)}
     missing = {p.encode("utf-8", "surrogatepass"): p for ps in (*split.values(), *heads) for p in ps if p not in own.pieces}
     for data, ids in own.encode_sorted(missing):
         own.pieces[missing[data]] = _packed(ids)
