@@ -241,7 +241,8 @@ need
 ought
 shall
 should
-will"""
+will
+would"""
 LABELS = {"binary": {"notcausal": 0, "causal": 1, "other": 2}, "trinary": {"notcausal": 0, "reason": 1, "result": 2, "other": 3}}
 
 SETS = {
