@@ -28,7 +28,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts encoded together.
 TEXTS = 1000
 #: Entries that a worker's memos of chunks, pieces and token pairs may hold before they start anew.
-MEMO_CHUNKS, MEMO_PIECES, MEMO_PAIRS = 600_000, 700_000, 1_000_000
+MEMO_SPACED, MEMO_BARE, MEMO_PAIRS = 600_000, 150_000, 800_000
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _BEYOND = re.compile(r"[^\x00-\u024f]")
 _BLANKS = re.compile(r" \s|\s ")
@@ -43,8 +43,8 @@ class PrefixEncoder:
         self.longest = max(map(len, ranks))
         self.after: list[dict[int, bool] | None] = [None] * len(ranks)  # by left token
         self.whole: dict[int, bool] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: merge the neighbours of lowest rank, leftmost first, while any can be.
@@ -181,13 +181,10 @@ def _chunks_of(text: str) -> list[str]:
 
 
 def _pieces_of(chunk: str, latin: bool) -> list[str]:
-    """Matches of the pattern in a space and a chunk; a word of Latin letters, or one and a mark,
-    needs no search."""
-    if latin:
-        if chunk.isalpha():
-            return [" " + chunk]
-        if chunk[:-1].isalpha() and chunk[-1] in ".,!?;:":
-            return [" " + chunk[:-1], chunk[-1]]
+    """Matches of the pattern in a space and a chunk that is not one word; a word of Latin letters
+    and a mark needs no search."""
+    if latin and chunk[:-1].isalpha() and chunk[-1] in ".,!?;:":
+        return [" " + chunk[:-1], chunk[-1]]
     return _pattern.findall(" " + chunk)
 
 
@@ -198,25 +195,43 @@ def _packed(ids) -> bytes:
 def encode_packed(texts: list[str], name: str = VOCABULARY) -> list[bytes]:
     """Ids of texts as 32-bit integers in bytes: each match of the pattern by itself.  The
     pattern always begins a match at a single space between two other characters, so texts are
-    cut there, and equal chunks and pieces reuse what a worker has encoded."""
+    cut there, and what a worker has encoded is used again: ``spaced`` has the ids of a space
+    and a chunk (for most, one word), ``bare`` those of pieces without a space in front."""
     own = encoder(name)
-    if len(own.chunks) >= MEMO_CHUNKS:
-        own.chunks.clear()
-    if len(own.pieces) >= MEMO_PIECES:
-        own.pieces.clear()
+    if len(own.spaced) >= MEMO_SPACED:
+        own.spaced.clear()
+    if len(own.bare) >= MEMO_BARE:
+        own.bare.clear()
         if sum(len(d) for d in own.after if d) >= MEMO_PAIRS:
             own.after = [None] * len(own.ranks)
+    spaced, bare = own.spaced, own.bare
+    latin = not any(map(_BEYOND.search, texts))
     cut = [_chunks_of(t) for t in texts]
     heads = [_pattern.findall(c.pop(0)) for c in cut]
-    latin = not any(map(_BEYOND.search, texts))
-    split = {c: _pieces_of(c, latin) for c in set().union(*cut).difference(own.chunks)}
-    missing = {p.encode("utf-8", "surrogatepass"): p for ps in (*split.values(), *heads) for p in ps if p not in own.pieces}
-    for data, ids in own.encode_sorted(missing):
-        own.pieces[missing[data]] = _packed(ids)
-    pieces = own.pieces
-    for c, ps in split.items():
-        own.chunks[c] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
-    return [b"".join([pieces[p] for p in head] + list(map(own.chunks.__getitem__, c))) for c, head in zip(cut, heads)]
+    words, mixed = [], {}
+    for c in set().union(*cut).difference(spaced):
+        if latin and c.isalpha():
+            words.append(c)
+        else:
+            mixed[c] = _pieces_of(c, latin)
+    led = {(" " + c).encode("utf-8", "surrogatepass"): c for c in words}
+    plain = {}
+    for p in {p for ps in (*mixed.values(), *heads) for p in ps}:
+        if p[0] != " ":
+            if p not in bare:
+                plain[p.encode("utf-8", "surrogatepass")] = p
+        elif p[1:] not in spaced:
+            led[p.encode("utf-8", "surrogatepass")] = p[1:]
+    for memo, missing in ((spaced, led), (bare, plain)):
+        for data, ids in own.encode_sorted(missing):
+            memo[missing[data]] = _packed(ids)
+
+    def ids_of(pieces: list[str]) -> bytes:
+        return b"".join([spaced[p[1:]] if p[0] == " " else bare[p] for p in pieces])
+
+    for c, ps in mixed.items():
+        spaced[c] = ids_of(ps)
+    return [ids_of(head) + b"".join(map(spaced.__getitem__, c)) for c, head in zip(cut, heads)]
 
 
 def encode_text(text: str, name: str = VOCABULARY) -> list[int]:

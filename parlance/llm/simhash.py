@@ -239,7 +239,7 @@ def wide_links(nodes: DataFrame, *, similarity: float, most: int = BUCKET) -> Da
     return out
 
 
-def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, most: int = BUCKET) -> DataFrame:
     """docs with one row kept of each group of copies: that of the least key (null keys last).
 
     Texts with equal shingle sets, and texts linked by signatures within the distance that the
@@ -249,7 +249,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
     rows = stored(docs.select(F.col(key).alias("key"), content.alias("content"), wide_simhash(words)(filled(F.col(text))).alias("sig")), "signatures")
     rows = rows.withColumn("node", F.xxhash64(*(F.col("sig")[k] for k in range(WIDE))))
     nodes = stored(rows.groupBy("node").agg(F.first("sig").alias("sig"), F.min(F.struct(F.col("key").isNull().alias("none"), "key", "content")).alias("least")), "nodes")
-    roots = components(wide_links(nodes.select("node", "sig"), similarity=similarity))
+    roots = components(wide_links(nodes.select("node", "sig"), similarity=similarity, most=most))
     rooted = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"), F.col("least.content").alias("__content"))
     marked = docs.withColumn("__hash", content)

@@ -45,7 +45,7 @@ def words_of(text: str) -> list[str]:
 class Scores(dict):
     """word -> score, filled as words come; starts anew beyond a number of words."""
 
-    def __init__(self, weights: dict[str, tuple[float, float]], most: int = 300_000):
+    def __init__(self, weights: dict[str, tuple[float, float]], most: int = 150_000):
         super().__init__()
         self.weights, self.most = weights, most
 
@@ -110,14 +110,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(filled(F.col("text")).alias("text"), "toxic")
 
 
-def _counts(batches):
+def _counts(batches, at_once: int = 200):
+    """Document counts of features, summed over a few documents at a time."""
     for batch in batches:
-        toxic, clean = Counter(), Counter()
-        for text, y in zip(batch["text"], batch["toxic"]):
-            seen = {f for w in set(words_of(text)) if (bare := w.strip(MARKS)) for f in features_of(bare)}
-            (toxic if y else clean).update(seen)
-        names = list(toxic.keys() | clean.keys())
-        yield pd.DataFrame({"feature": names, "toxic": [toxic[f] for f in names], "clean": [clean[f] for f in names]})
+        for k in range(0, len(batch), at_once):
+            part = batch.iloc[k : k + at_once]
+            toxic, clean = Counter(), Counter()
+            for text, y in zip(part["text"], part["toxic"]):
+                seen = {f for w in set(words_of(text)) if (bare := w.strip(MARKS)) for f in features_of(bare)}
+                (toxic if y else clean).update(seen)
+            names = list(toxic.keys() | clean.keys())
+            yield pd.DataFrame({"feature": names, "toxic": [toxic[f] for f in names], "clean": [clean[f] for f in names]})
 
 
 def log_odds(rows: DataFrame, n_toxic: int, n_clean: int, *, least: int = 5) -> DataFrame:

@@ -91,8 +91,8 @@ def test_near_copies(spark):
     kept = simhash.near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted([7] + [100 * k + d for k in range(12) for d in (0, 3)])
-    crowd = simhash.near_copies(docs, similarity=0.8)
-    assert crowd.count() == kept.count()
+    crowded = simhash.near_copies(docs, most=1)  # every bucket compared in blocks
+    assert sorted(map(str, crowded.collect())) == sorted(map(str, kept.collect()))
 
 
 def test_forest_joins_all():
