@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions.cluster import checkpointed
 from parlance.functions.text import content_word, harmonic, sentences, tokens
 
 
@@ -44,7 +45,7 @@ def group_starts(u: DataFrame) -> DataFrame:
     sized = n.select("group", size.alias("size"))
     # running sums over ranges of groups, so that no task holds them all
     spark = u.sparkSession
-    ranged = sized.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "group").withColumn("__part", F.spark_partition_id())
+    ranged = checkpointed(sized.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "group").withColumn("__part", F.spark_partition_id()))
     sums = ranged.groupBy("__part").agg(F.sum("size").alias("s"))
     before = sums.select("__part", F.coalesce(F.sum("s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     run = F.coalesce(F.sum("size").over(Window.partitionBy("__part").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

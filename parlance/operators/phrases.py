@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.text import grams, sentences, tokens
+from parlance.functions.cluster import checkpointed
+from parlance.functions.text import grams, sentences, tokens, windows
 
 
 def hits(words: Column, phrases: list[str]) -> Column:
@@ -30,9 +31,19 @@ def sentence_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
 
 
 def occurrences(docs: DataFrame, phrases: list[str], *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, n, phrase) of all occurrences in whole texts."""
-    rows = docs.select(key, tokens(F.col(text)).alias("words")).withColumn("hits", hits(F.col("words"), phrases))
-    return rows.select(key, F.inline("hits"))
+    """(key, pos, n, phrase) of all occurrences in whole texts.
+
+    Each token is a row with the words after it, and meets the phrases that begin with it: a
+    broadcast of the given list, without a shuffle."""
+    longest = max(len(p.split()) for p in phrases)
+    listed = sorted({(p.lower(), p.lower().split()[0], len(p.split())) for p in phrases})
+    known = docs.sparkSession.createDataFrame(listed, "phrase string, first string, n int")
+    rows = docs.select(key, tokens(F.col(text)).alias("words")).select(key, F.posexplode(windows(F.col("words"), longest)).alias("pos", "w"))
+    gram, whole = F.col("w.w0"), F.lit(None).cast("string")
+    for k in range(1, longest + 1):
+        whole = F.when(F.col("n") == k, gram).otherwise(whole)
+        gram = F.concat(gram, F.lit(" "), F.col(f"w.w{k}")) if k < longest else gram
+    return rows.join(F.broadcast(known), F.col("w.w0") == F.col("first")).where(whole == F.col("phrase")).select(key, "pos", "n", "phrase")
 
 
 def first_positions(docs: DataFrame, phrases: list[str], *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,10 +120,12 @@ def positional_grams(words: Column, k: int, longest: int) -> Column:
     n = F.size(words)
 
     def placed(m: int, place: str) -> Column:
-        at = F.transform(grams(words, m), lambda g, i: F.struct(i.alias("i"), g.alias("g")))
-        first, last = (lambda s: s["i"] + m <= k), (lambda s: s["i"] >= n - k)
-        inside = {"FIRST": first, "LAST": last, "MIDDLE": lambda s: ~first(s) & ~last(s)}[place]
-        return F.transform(F.filter(at, inside), lambda s: F.struct(F.lit(place).alias("place"), s["g"].alias("gram")))
+        first, count = {
+            "FIRST": (F.lit(1), F.lit(k)),
+            "LAST": (F.greatest(n - k, F.lit(0)) + 1, F.lit(k)),
+            "MIDDLE": (F.lit(max(k - m + 2, 1)), F.greatest(n - k + m - 1 - max(k - m + 1, 0), F.lit(0))),
+        }[place]
+        return F.transform(grams(F.slice(words, first, count), m), lambda g: F.struct(F.lit(place).alias("place"), g.alias("gram")))
 
     return F.concat(*(placed(m, place) for m in range(1, longest + 1) for place in ("FIRST", "LAST", "MIDDLE")))
 
@@ -127,11 +140,12 @@ def vocabulary(docs: DataFrame, *, key: str = "doc_id", text: str = "text", leas
 
 def numbered(rows: DataFrame, order: list[str], out: str, parts: int | None = None) -> DataFrame:
     """rows numbered from 1 in an order, without bringing them to one task: they are ranged, the
-    ranges counted, and each row gets its place within its range behind the ranges before."""
+    ranges counted, and each row gets its place within its range behind the ranges before.  The
+    ranges are checkpointed, as their bounds come from a sample and would differ if taken again."""
     spark = rows.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__place", F.col("__place") - F.shiftleft(F.col("__part").cast("bigint"), 33))
+    ranged = checkpointed(ranged).withColumn("__place", F.col("__place") - F.shiftleft(F.col("__part").cast("bigint"), 33))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__count"))  # one row a range
     before = counts.withColumn("__before", F.coalesce(F.sum("__count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__count")
     return ranged.join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + F.col("__place") + 1).drop("__part", "__place", "__before")
