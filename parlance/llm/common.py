@@ -50,6 +50,12 @@ def checkpointable(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has at most ``most`` rows, else as it is.  Counts it, so hand over
+    what is cheap to compute twice, of narrow rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

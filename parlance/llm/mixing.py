@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, stored, table
+from parlance.llm.common import filled, small, stored, table
 
 CELLS = 4096
 SEED = "mix"
@@ -66,10 +66,12 @@ def mixed(docs: DataFrame, goals: DataFrame, *, key: str = "doc_id", weight: str
     Documents of size 0 get no copies, so do all of a source without words.  Null sources are a
     source; null keys count as one key; repeated rows are drawn one by one, equal ranks in the
     order of key and size.  docs is read three times, once of them just for the cells' sums, which
-    may come from ``statistics``, a stored table of its key, source, size and weight."""
+    may come from ``statistics``, a stored table of its key, source, size and weight.  Targets and
+    edges, a row a source each, are broadcast if they are few, else joined."""
+    spread = small(goals.withColumnRenamed("source", "__source"))
 
     def ranked(docs: DataFrame) -> DataFrame:
-        return _ranked(docs, goals, key, weight)
+        return _ranked(docs, spread, key, weight)
 
     rows = ranked(docs)
     cells = (rows if statistics is None else ranked(statistics)).groupBy("source", "__cell").agg(F.sum("size").alias("words"), F.first("__rest").alias("rest"))
@@ -77,7 +79,7 @@ def mixed(docs: DataFrame, goals: DataFrame, *, key: str = "doc_id", weight: str
     cells = cells.withColumn("upto", F.sum("words").over(run))
     edge = cells.where(F.col("upto") >= F.col("rest")).groupBy("source").agg(F.min(F.struct("__cell", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
     edge = edge.select(F.col("source").alias("__s"), F.col("edge.__cell").alias("__edge"), F.col("edge.before").alias("__before"))
-    rows = rows.join(F.broadcast(edge), rows["source"].eqNullSafe(F.col("__s")), "left").drop("__s")
+    rows = rows.join(small(edge), rows["source"].eqNullSafe(F.col("__s")), "left").drop("__s")
     clear = rows.where(F.col("__edge").isNull() | (F.col("__cell") != F.col("__edge"))).withColumn("__taken", F.col("__edge").isNull() | (F.col("__cell") < F.col("__edge")))
     last = Window.partitionBy("source").orderBy("__rank", F.col(key).asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = rows.where(F.col("__cell") == F.col("__edge")).withColumn("__taken", F.col("__before") + F.sum("size").over(last) - F.col("size") / 2 <= F.col("__rest"))
@@ -87,7 +89,7 @@ def mixed(docs: DataFrame, goals: DataFrame, *, key: str = "doc_id", weight: str
 
 
 def _ranked(docs: DataFrame, goals: DataFrame, key: str, weight: str | None) -> DataFrame:
-    joined = docs.join(F.broadcast(goals.withColumnRenamed("source", "__source")), docs["source"].eqNullSafe(F.col("__source"))).drop("__source")
+    joined = docs.join(goals, docs["source"].eqNullSafe(F.col("__source"))).drop("__source")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = joined.withColumns({"__due": due, "__whole": F.floor(due)})
     part = F.col("__due") - F.col("__whole")
