@@ -87,11 +87,11 @@ def data_points(docs: DataFrame, phrases: list[str], *, key: str = "doc_id", tex
 
 
 def segments(points: DataFrame) -> DataFrame:
-    """points with the arrays ``prev`` (before the marker), ``altlex`` (the marker), ``curr`` (from
+    """points with the arrays ``prev`` (before the marker), ``marker`` (the marker), ``curr`` (from
     the marker on) and ``post`` (behind it)."""
     w, start, n = F.col("words"), F.col("pos"), F.col("n")
     size = F.size(w)
-    return points.withColumns({"prev": F.slice(w, F.lit(1), start), "altlex": F.slice(w, start + 1, n), "curr": F.slice(w, start + 1, size - start), "post": F.slice(w, start + n + 1, F.greatest(size - start - n, F.lit(0)))})
+    return points.withColumns({"prev": F.slice(w, F.lit(1), start), "marker": F.slice(w, start + 1, n), "curr": F.slice(w, start + 1, size - start), "post": F.slice(w, start + n + 1, F.greatest(size - start - n, F.lit(0)))})
 
 
 def context_window(points: DataFrame, length: int = 30) -> DataFrame:
@@ -111,7 +111,7 @@ def context_window(points: DataFrame, length: int = 30) -> DataFrame:
 def position_codes(points: DataFrame) -> DataFrame:
     """points of segments() with ``codes``: ``<`` for each token before the marker, ``-`` in it,
     ``>`` behind it."""
-    return points.withColumn("codes", F.concat(F.repeat(F.lit("<"), F.size("prev")), F.repeat(F.lit("-"), F.size("altlex")), F.repeat(F.lit(">"), F.size("post"))))
+    return points.withColumn("codes", F.concat(F.repeat(F.lit("<"), F.size("prev")), F.repeat(F.lit("-"), F.size("marker")), F.repeat(F.lit(">"), F.size("post"))))
 
 
 def positional_grams(words: Column, k: int, longest: int) -> Column:

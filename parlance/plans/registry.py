@@ -81,7 +81,7 @@ t AS (SELECT doc_id, sent_idx, {tok("sentence")} AS w FROM s),
 g AS ({leads("t", "doc_id, sent_idx")}),
 h AS (SELECT doc_id, sent_idx, pos, m.n, m.phrase FROM g JOIN m ON w0 = m.first AND {GRAM} = m.phrase),
 f AS (SELECT doc_id, sent_idx, pos, n, phrase FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY pos, n DESC) = 1),
-points AS (SELECT doc_id, sent_idx, w, pos, n, phrase, w[1:pos] AS prev, w[pos + 1:pos + n] AS altlex, w[pos + 1:] AS curr, w[pos + n + 1:] AS post
+points AS (SELECT doc_id, sent_idx, w, pos, n, phrase, w[1:pos] AS prev, w[pos + 1:pos + n] AS marker, w[pos + 1:] AS curr, w[pos + n + 1:] AS post
   FROM f JOIN t USING (doc_id, sent_idx))"""
 
 #: sides(grp, side, ord, text): user and assistant turns.

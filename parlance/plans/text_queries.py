@@ -127,12 +127,12 @@ def _(spark, sf_dir):
 
 @query(
     "segment_split",
-    f"""WITH {POINTS} SELECT doc_id, sent_idx, phrase, len(prev) AS n_prev, len(altlex) AS n_altlex, len(curr) AS n_curr, len(post) AS n_post,
+    f"""WITH {POINTS} SELECT doc_id, sent_idx, phrase, len(prev) AS n_prev, len(marker) AS n_marker, len(curr) AS n_curr, len(post) AS n_post,
   array_to_string(prev, ' ') AS prev, array_to_string(curr, ' ') AS curr FROM points""",
 )
 def _(spark, sf_dir):
     p = points(spark, sf_dir)
-    return p.select("doc_id", "sent_idx", "phrase", *(F.size(c).alias(f"n_{c}") for c in ("prev", "altlex", "curr", "post")), *(F.concat_ws(" ", c).alias(c) for c in ("prev", "curr")))
+    return p.select("doc_id", "sent_idx", "phrase", *(F.size(c).alias(f"n_{c}") for c in ("prev", "marker", "curr", "post")), *(F.concat_ws(" ", c).alias(c) for c in ("prev", "curr")))
 
 
 @query(
@@ -145,7 +145,7 @@ def _(spark, sf_dir):
     return phrases.context_window(points(spark, sf_dir)).select("doc_id", "sent_idx", "win_start", "win_stop", "pad")
 
 
-@query("position_codes", f"WITH {POINTS} SELECT doc_id, sent_idx, repeat('<', len(prev)) || repeat('-', len(altlex)) || repeat('>', len(post)) AS codes FROM points")
+@query("position_codes", f"WITH {POINTS} SELECT doc_id, sent_idx, repeat('<', len(prev)) || repeat('-', len(marker)) || repeat('>', len(post)) AS codes FROM points")
 def _(spark, sf_dir):
     return phrases.position_codes(points(spark, sf_dir)).select("doc_id", "sent_idx", "codes")
 

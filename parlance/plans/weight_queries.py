@@ -102,11 +102,11 @@ def _(spark, sf_dir):
 
 
 @query("lexicon_score", f"""WITH {POINTS}, {LEX},
-parts AS (SELECT doc_id, sent_idx, 'prev' AS segment, unnest(prev) AS word FROM points UNION ALL SELECT doc_id, sent_idx, 'altlex', unnest(altlex) FROM points UNION ALL SELECT doc_id, sent_idx, 'post', unnest(post) FROM points)
+parts AS (SELECT doc_id, sent_idx, 'prev' AS segment, unnest(prev) AS word FROM points UNION ALL SELECT doc_id, sent_idx, 'marker', unnest(marker) FROM points UNION ALL SELECT doc_id, sent_idx, 'post', unnest(post) FROM points)
 SELECT doc_id, sent_idx, segment, CAST(cls AS BIGINT) AS cls, round(sum(entropy), 4) AS score FROM parts JOIN lexicon USING (word) WHERE entropy > 0 GROUP BY 1, 2, 3, 4""")
 def _(spark, sf_dir):
     p = points(spark, sf_dir)
-    named = F.array(*(F.struct(F.lit(c).alias("segment"), F.col(c).alias("words")) for c in ("prev", "altlex", "post")))
+    named = F.array(*(F.struct(F.lit(c).alias("segment"), F.col(c).alias("words")) for c in ("prev", "marker", "post")))
     parts = p.select(F.struct("doc_id", "sent_idx").alias("datum"), F.inline(named)).select("datum", "segment", F.explode("words").alias("word"))
     s = weights.lexicon_scores(parts, lexicon(spark, sf_dir))
     return s.select("datum.doc_id", "datum.sent_idx", "segment", "cls", F.round("score", 4).alias("score"))
@@ -123,21 +123,21 @@ def _(spark, sf_dir):
     return met.select("doc_id", "sent_idx", "phrase", *(F.coalesce(f"k{c}", F.lit(0.0)).alias(f"kld_{c}") for c in (0, 1)))
 
 
-@query("connective_features", f"""WITH {POINTS} SELECT doc_id, sent_idx, unnest(list_distinct(list_concat(['connective_' || array_to_string(altlex, '_')],
-  list_transform(altlex, lambda w: 'connective_unistem_' || w), list_transform(range(1, len(altlex)), lambda k: 'connective_unistem_' || altlex[k] || '_' || altlex[k + 1])))) AS feature FROM points""")
+@query("connective_features", f"""WITH {POINTS} SELECT doc_id, sent_idx, unnest(list_distinct(list_concat(['connective_' || array_to_string(marker, '_')],
+  list_transform(marker, lambda w: 'connective_unistem_' || w), list_transform(range(1, len(marker)), lambda k: 'connective_unistem_' || marker[k] || '_' || marker[k + 1])))) AS feature FROM points""")
 def _(spark, sf_dir):
     f = features.with_features(points(spark, sf_dir), ["connective", "connective_unistems", "connective_bistems"])
     return features.long_form(f, "doc_id", "sent_idx").select("doc_id", "sent_idx", "feature")
 
 
-@query("length_features", f"""WITH {POINTS}, l AS (SELECT doc_id, sent_idx, unnest(['altlex_length', 'prev_length', 'curr_length', 'post_length']) AS feature, unnest([len(altlex), len(prev), len(curr), len(post)]) AS value FROM points)
+@query("length_features", f"""WITH {POINTS}, l AS (SELECT doc_id, sent_idx, unnest(['marker_length', 'prev_length', 'curr_length', 'post_length']) AS feature, unnest([len(marker), len(prev), len(curr), len(post)]) AS value FROM points)
 SELECT doc_id, sent_idx, feature, CAST(value AS DOUBLE) AS value FROM l""")
 def _(spark, sf_dir):
-    f = features.with_features(points(spark, sf_dir), ["altlex_length", "prev_length", "curr_length", "post_length"])
+    f = features.with_features(points(spark, sf_dir), ["marker_length", "prev_length", "curr_length", "post_length"])
     return features.long_form(f, "doc_id", "sent_idx")
 
 
-FEATS = f"""{POINTS}, ft AS (SELECT doc_id, sent_idx, list_distinct(list_concat(list_transform(prev, lambda w: '1_unistem_' || w), list_transform(curr, lambda w: '2_unistem_' || w), ['connective_' || array_to_string(altlex, '_')])) AS f FROM points)"""
+FEATS = f"""{POINTS}, ft AS (SELECT doc_id, sent_idx, list_distinct(list_concat(list_transform(prev, lambda w: '1_unistem_' || w), list_transform(curr, lambda w: '2_unistem_' || w), ['connective_' || array_to_string(marker, '_')])) AS f FROM points)"""
 
 
 def stems(spark, sf_dir):

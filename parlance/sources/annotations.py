@@ -1,4 +1,4 @@
-"""Gold annotations: ``Title:`` headers and numbered lines with ``##altlex--label##`` spans."""
+"""Gold annotations: ``Title:`` headers and numbered lines with ``##marker--label##`` spans."""
 
 from __future__ import annotations
 

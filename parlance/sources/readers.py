@@ -65,23 +65,23 @@ def alignments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
-    """(pair_id, altlex_idx, label) of a JSON triple of labels, phrases and label numbers."""
+    """(pair_id, marker_idx, label) of a JSON triple of labels, phrases and label numbers."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json(F.get_json_object("value", "$[0]"), "array<array<array<int>>>").alias("l"))
     each = raw.select(F.posexplode("l").alias("pair_id", "own")).select("pair_id", F.explode("own").alias("x"))
-    return each.select("pair_id", F.col("x")[1].alias("altlex_idx"), F.col("x")[0].alias("label"))
+    return each.select("pair_id", F.col("x")[1].alias("marker_idx"), F.col("x")[0].alias("label"))
 
 
 def training_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(label, side, prev, altlex, curr): two rows for each seven-column line."""
-    names = ["prev", "altlex", "curr"]
+    """(label, side, prev, marker, curr): two rows for each seven-column line."""
+    names = ["prev", "marker", "curr"]
     raw = spark.read.csv(path, sep="\t", quote="", schema="label int, " + ", ".join(f"{s}_{n} string" for s in ("eng", "sim") for n in names))
     sides = F.array(*(F.struct(F.lit(s).alias("side"), *(F.trim(f"{p}_{n}").alias(n) for n in names)) for s, p in ((0, "eng"), (1, "sim"))))
     return raw.select("label", F.inline(sides))
 
 
 def test_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(label, prev, altlex, curr) of four-column lines."""
-    return spark.read.csv(path, sep="\t", quote="", schema="prev string, altlex string, curr string, label int").select("label", "prev", "altlex", "curr")
+    """(label, prev, marker, curr) of four-column lines."""
+    return spark.read.csv(path, sep="\t", quote="", schema="prev string, marker string, curr string, label int").select("label", "prev", "marker", "curr")
 
 
 def lexicon(spark: SparkSession, path: str) -> DataFrame:

@@ -41,7 +41,7 @@ def test_json_readers(spark, tmp_path):
 def test_text_readers(spark, tmp_path):
     (tmp_path / "train").write_text("1\ta\tas\tb.\tc\tso\td.\n")
     rows = readers.training_rows(spark, str(tmp_path / "train")).collect()
-    assert [(r["side"], r["prev"], r["altlex"]) for r in rows] == [(0, "a", "as"), (1, "c", "so")]
+    assert [(r["side"], r["prev"], r["marker"]) for r in rows] == [(0, "a", "as"), (1, "c", "so")]
     (tmp_path / "test").write_text('p\ta "q\tc\t2\n')
     assert tuple(readers.test_rows(spark, str(tmp_path / "test")).first()) == (2, "p", 'a "q', "c")
     (tmp_path / "align").write_text("0-0 1-2\n\n3-1\n")
