@@ -78,20 +78,20 @@ def printed(sketch: Column) -> Column:
     return F.lower(F.concat_ws("", F.transform(sketch, lambda h: F.lpad(F.hex(h), 8, "0"))))
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, key: str, columns: list[str], tie: list[str] | None = None) -> DataFrame:
     """rows with ``next_<c>`` of the next row in descending key order, the first after the last.
 
     Rows go to buckets of neighbouring keys (bounds from quantiles), the first row of each also,
     as a guest, to the end of the bucket before; the next row is then found within a bucket, and
     no task sees more than its share.  Null keys come last; equal keys are ordered by a hash of
-    the columns.  One row is its own next."""
+    the columns, or of ``tie``, those that tell the others.  One row is its own next."""
     n = rows.count()
     value = F.coalesce(F.col(key).cast("double"), F.lit(float("-inf")))
     count = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
     cuts = rows.select(F.percentile_approx(F.col(key).cast("double"), [i / count for i in range(1, count)] or [0.5], max(10_000, 10 * count)).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts)) if count > 1 else []
     bounds = [float("-inf"), *(cuts or [0.0]), float("inf")]  # at least two buckets, one of which may be empty
-    rows = rows.withColumns({"__value": value, "__tie": F.xxhash64(*columns)})
+    rows = rows.withColumns({"__value": value, "__tie": F.xxhash64(*(tie or columns))})
     bucket = Bucketizer(splits=bounds, inputCol="__value", outputCol="__bucket")
     rows = bucket.transform(rows)
     first = rows.groupBy("__bucket").agg(F.max(F.struct(key, "__tie")).alias("__first"))
@@ -110,7 +110,7 @@ def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 def op5_syncmers(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", filled(F.col("text")).alias("text"))
-    rows = with_next(with_fingerprint(docs), "doc_id", ["text", "sketch"])
+    rows = with_next(with_fingerprint(docs), "doc_id", ["text", "sketch"], tie=["text"])
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
