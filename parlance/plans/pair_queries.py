@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from parlance.functions import text
+from parlance.functions.cluster import checkpointed
 from parlance.operators import pairs
 from parlance.plans.registry import SINGLE, UNITS, query, sides, table, tok
 
@@ -11,8 +12,14 @@ def single(spark, sf_dir):
     return pairs.units(sides(spark, sf_dir))
 
 
+def kept_units(spark, sf_dir):
+    """The units, checkpointed: the scores read them six times, and each time would cut the texts
+    and sort each conversation's sentences anew."""
+    return checkpointed(single(spark, sf_dir))
+
+
 def scores(spark, sf_dir):
-    u = single(spark, sf_dir)
+    u = kept_units(spark, sf_dir)
     return pairs.lexical_scores(u, pairs.smoothed_idf(u))
 
 
@@ -96,7 +103,7 @@ z AS (SELECT grp, i, sum(idf) AS z FROM a GROUP BY 1, 2)
 SELECT p.grp AS conv_id, p.i, j, round(sum(idf * s) / any_value(z), 6) AS score, count(*) AS matched FROM p JOIN z ON z.grp = p.grp AND z.i = p.i GROUP BY 1, 2, 3""",
 )
 def _(spark, sf_dir):
-    u = single(spark, sf_dir)
+    u = kept_units(spark, sf_dir)
     s = pairs.lexical_scores(u, pairs.smoothed_idf(u), spark.createDataFrame(SYNONYMS, "w1 string, w2 string, score double"))
     return s.select(F.col("group").alias("conv_id"), "i", "j", "score", "matched")
 
