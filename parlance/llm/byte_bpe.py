@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, table
+from parlance.llm.common import filled, modest_batches, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts encoded together.
@@ -289,6 +289,7 @@ def bpe_decode(name: str = VOCABULARY):
 def encoded(docs: DataFrame, *, text: str = "text", ids: str = "ids", decoded: str | None = None, name: str = VOCABULARY) -> DataFrame:
     """docs with the ids of its texts and, if asked for, the bytes these decode to.  Rows are
     neither joined nor shuffled; columns named like the new ones are replaced."""
+    modest_batches(docs.sparkSession)
     out = docs.withColumn(ids, bpe_encode(name)(filled(F.col(text))))
     return out.withColumn(decoded, bpe_decode(name)(F.col(ids))) if decoded else out
 

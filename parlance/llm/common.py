@@ -50,6 +50,15 @@ def checkpointable(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts may be long, so Arrow batches of at most ``rows`` rows keep Python workers small.  A
+    lower setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df to be broadcast if it has at most ``most`` rows, else as it is.  Counts it, so hand over
     what is cheap to compute twice, of narrow rows."""

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, held_out, table
+from parlance.llm.common import held_out, modest_batches, table
 
 SAMPLE = 16_000
 DOCUMENTS = 400
@@ -171,6 +171,7 @@ def fit(docs: DataFrame, *, documents: int = DOCUMENTS, characters: int = SAMPLE
     """Learns from at most ``documents`` documents a language, chosen by a hash of the id among
     those not held out, and ``characters`` of their normalised text, an equal share of each (at
     least 200).  Null ids, texts and languages are left out."""
+    modest_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     draw = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}

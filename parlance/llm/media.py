@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, table
+from parlance.llm.common import filled, modest_batches, table
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a row; payloads are padded to a positive multiple of it.
@@ -148,6 +148,7 @@ def from_png():
 def media_column(docs: DataFrame, *, text: str = "text", media: str = "media") -> DataFrame:
     """docs with a binary column of PNG images of its texts' UTF-8 bytes (null: no bytes).  Each
     row stands alone: no shuffle, repeated rows give repeated images."""
+    modest_batches(docs.sparkSession)
     return docs.withColumn(media, to_png()(filled(F.col(text)).cast("binary")))
 
 

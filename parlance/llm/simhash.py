@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, stored, table
+from parlance.llm.common import filled, modest_batches, stored, table
 
 SEED = 42
 #: Table entries with more fingerprints than this go the second way.
@@ -31,7 +31,7 @@ BLOCK = 1500
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
-    """XXH64 of the shingles of a text, A-Z in lower case; with fewer words that of the whole
+    """modest_batchesH64 of the shingles of a text, A-Z in lower case; with fewer words that of the whole
     sequence, with none an empty array."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
@@ -134,6 +134,7 @@ def simhash_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Null, empty and blank texts have fingerprint zero and link like any other; texts with fewer
     words are one shingle.  Equal rows stay; null keys are left out of the minimum, and a
     component of null keys alone has a null id.  Only the key and the text are read."""
+    modest_batches(docs.sparkSession)
     rows = stored(docs.select(F.col(key), simhash(words)(filled(F.col(text))).alias("fp")), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
     roots = components(links(fps))
@@ -245,6 +246,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
     Texts with equal shingle sets, and texts linked by signatures within the distance that the
     similarity allows, are one group; so are all null, empty and blank texts.  Of rows that
     repeat both key and text one stays.  The columns are those of docs."""
+    modest_batches(docs.sparkSession)
     content = F.xxhash64(filled(F.col(text)))
     rows = stored(docs.select(F.col(key).alias("key"), content.alias("content"), wide_simhash(words)(filled(F.col(text))).alias("sig")), "signatures")
     rows = rows.withColumn("node", F.xxhash64(*(F.col("sig")[k] for k in range(WIDE))))

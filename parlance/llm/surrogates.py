@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, stored, table
+from parlance.llm.common import filled, modest_batches, stored, table
 
 KEY = "surrogates-1"
 #: Overrides that are handed to the tasks as a list; more of them are joined.
@@ -44,7 +44,7 @@ _FIND = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w]|[.-]\d)|(?<![\w.])\+\d{7,15}(?!\d))"
+    r"|(?P<phone>(?<![\w.])(?!(?:19|20)\d\d-\d\d-\d\d(?!\d))(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w]|[.-]\d)|(?<![\w.])\+\d{7,15}(?!\d))"
     rf"|(?P<form>\b(?:{'|'.join(FEMALE + MALE + EITHER)})\b\.? )(?P<name>{_NAME}(?: {_NAME}){{0,2}})"
 )
 
@@ -249,6 +249,7 @@ def pseudonymised(docs: DataFrame, *, text: str = "text", out: str = "text", spa
     Null texts stay null and texts without entities as they are.  Equal entities have equal
     surrogates in all rows.  docs is read twice, once for the entities.  The few entities that
     collide are listed to the tasks if they are at most MOST_LISTED, else joined by mention."""
+    modest_batches(docs.sparkSession)
     table_of = collision_free(found_entities(docs, text=text, key=key), key=key)
     changed = table_of.where("attempt > 0").select("kind", "entity", "attempt")
     listed = {(r["kind"], r["entity"]): r["attempt"] for r in changed.limit(MOST_LISTED + 1).collect()}

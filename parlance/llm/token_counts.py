@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, scratch, table
+from parlance.llm.common import filled, modest_batches, scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
 _BEYOND = re.compile(r"[^\x00-\u024f]")
@@ -82,6 +82,7 @@ def token_counts(docs: DataFrame, cache_path: str, *, text: str = "text", tokeni
     it lacked.  Repeated rows stay; an empty table gives an empty one.  A cache that holds a
     digest twice (two runs appended at once) counts it once.  Columns of docs named like the
     internal ones (``__digest``) or like ``out`` are replaced."""
+    modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, held_out, stored, table
+from parlance.llm.common import filled, held_out, modest_batches, stored, table
 
 SAMPLE = 12_000
 FEATURES = 20_000
@@ -106,7 +106,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -
     """(text, toxic) of at most ``sample`` labelled documents that are not held out, chosen by a
     hash of the id.  Null labels and ids are left out; of several labels the largest counts."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    draw = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
+    share = 1.2 * sample / max(1, marked.count())  # so that few more than the sample are sorted
+    chosen = marked.where(draw <= share).orderBy(draw, "doc_id").limit(sample)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(filled(F.col("text")).alias("text"), "toxic")
 
 
@@ -174,6 +176,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, f
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most: int = FEATURES) -> Model:
     """The model; without toxic or without clean documents one that scores everything low."""
+    modest_batches(docs.sparkSession)
     rows = stored(training_rows(docs, labels, sample=sample), "toxicity-sample")
     got = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = got.get(1, 0), got.get(0, 0)
@@ -200,6 +203,7 @@ def with_toxicity(docs: DataFrame, model: Model, *, text: str = "text", passages
     """docs with its maximal segments (words from ``start`` to before ``stop``) and scores from 0
     to 1.  Null, empty and blank texts have no segments and the score of no evidence.  Rows are
     scored one by one, without a shuffle; columns named like the new ones are replaced."""
+    modest_batches(docs.sparkSession)
     out = docs.withColumn("__scan", _segment_rows(model.weights)(filled(F.col(text))))
     return out.withColumns({passages: F.col("__scan.segments"), score: _scorer(model)(F.col("__scan.segments"), F.col("__scan.n_words"))}).drop("__scan")
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, scratch, stored, table
+from parlance.llm.common import filled, modest_batches, scratch, stored, table
 
 MIN_REVISIT = 100
 SPLIT_BYTES = 4 << 20
@@ -82,6 +82,7 @@ def write_archives(rows: DataFrame, folder: str, *, key: str = "page_id", url: s
     Null payloads are empty.  The list is written beside the archives, so no later read repeats
     the writing."""
     root = local_path(folder)
+    modest_batches(rows.sparkSession)
 
     def write(batches):
         task = TaskContext.get()

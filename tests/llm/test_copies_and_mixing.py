@@ -197,7 +197,7 @@ def test_permutation():
 
 
 def test_pseudonymised(spark):
-    texts = [f"write {p} now" for p in PRIVATE] + [None, "", "nothing here", "version 3.0 of 2024", PRIVATE[4] + " and " + PRIVATE[4], "Mr. John Smith and Mrs. Anna Smith", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"']
+    texts = [f"write {p} now" for p in PRIVATE] + [None, "", "nothing here", "version 3.0 of 2024-11-05", PRIVATE[4] + " and " + PRIVATE[4], "Mr. John Smith and Mrs. Anna Smith", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"']
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
     rows = {r["doc_id"]: r for r in surrogates.pseudonymised(docs, spans="spans").collect()}
     for i, p in enumerate(PRIVATE):
