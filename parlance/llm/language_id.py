@@ -168,8 +168,8 @@ def identify(model: Model):
 
 
 def fit(docs: DataFrame, *, documents: int = DOCUMENTS, characters: int = SAMPLE) -> Model:
-    """Learns from at most ``documents`` documents a language, chosen by a hash of the id among
-    those not held out, and ``characters`` of their normalised text, an equal share of each (at
+    """Learns from about ``documents`` documents a language, drawn by a hash of the id among
+    those not held out, and at most ``characters`` of their normalised text, a like share of each (at
     least 200).  Null ids, texts and languages are left out."""
     modest_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
