@@ -28,7 +28,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts encoded together.
 TEXTS = 1000
 #: Entries that a worker's memos of chunks, pieces and token pairs may hold before they start anew.
-MEMO_SPACED, MEMO_BARE, MEMO_PAIRS = 600_000, 150_000, 800_000
+MEMO_SPACED, MEMO_BARE, MEMO_PAIRS = 500_000, 100_000, 800_000
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _BEYOND = re.compile(r"[^\x00-\u024f]")
 _BLANKS = re.compile(r" \s|\s ")
@@ -264,10 +264,13 @@ def bpe_encode(name: str = VOCABULARY):
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        gc.disable()  # no cycles here, and the memos hold very many objects
         own: list[bytes] = []
-        for k in range(0, len(texts), TEXTS):
-            own += encode_packed([t or "" for t in texts.slice(k, TEXTS).to_pylist()], name)
+        gc.disable()  # no cycles here, and very many objects; what runs later in this worker has cycles
+        try:
+            for k in range(0, len(texts), TEXTS):
+                own += encode_packed([t or "" for t in texts.slice(k, TEXTS).to_pylist()], name)
+        finally:
+            gc.enable()
         ends = np.cumsum([0, *map(len, own)]) // 4
         values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(own))])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
