@@ -135,18 +135,22 @@ def log_odds(rows: DataFrame, n_toxic: int, n_clean: int, *, least: int = 5) ->
     return counts.select("feature", weight.alias("weight"), (weight / F.sqrt(1 / t + 1 / c)).alias("z"))
 
 
-def _segment_rows(weights: dict[str, tuple[float, float]]):
-    scores = Scores(weights)
+def _scan(model: Model):
+    """Column function text -> its number of words, maximal segments and score, in one pass: two
+    functions in a row would hold two Python workers a task."""
+    scores = Scores(model.weights)
 
     def scan(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
             words = words_of(text or "")
             values = np.array(list(map(scores.__getitem__, words)), np.float64)
-            out.append((len(words), [{"start": a, "stop": b, "score": s} for a, b, s in maximal_segments(values)] if len(words) else []))
-        return pd.DataFrame(out, columns=["n_words", "segments"])
+            found = maximal_segments(values) if words else []
+            score = model.score(model.evidence([x for _, _, x in found], len(words)))
+            out.append((len(words), [{"start": a, "stop": b, "score": x} for a, b, x in found], score))
+        return pd.DataFrame(out, columns=["n_words", "segments", "score"])
 
-    return F.pandas_udf(scan, "n_words bigint, segments array<struct<start: bigint, stop: bigint, score: double>>")
+    return F.pandas_udf(scan, "n_words bigint, segments array<struct<start: bigint, stop: bigint, score: double>>, score double")
 
 
 def extreme_values(sums: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
@@ -184,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most: int =
         return Model()
     top = log_odds(rows, n_toxic, n_clean).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "feature").limit(most)
     model = Model({r["feature"]: (r["weight"], r["z"]) for r in top.collect()})
-    seen = rows.select("toxic", _segment_rows(model.weights)("text").alias("s")).select("toxic", "s.n_words", F.col("s.segments.score").alias("sums")).collect()  # at most `sample` rows
+    seen = rows.select("toxic", _scan(model)("text").alias("s")).select("toxic", "s.n_words", F.col("s.segments.score").alias("sums")).collect()  # at most `sample` rows
     clean = [r for r in seen if not r["toxic"]]
     model.decay, model.log_k = extreme_values(np.array([s for r in clean for s in r["sums"]]), np.array([r["n_words"] for r in clean]))
     x = np.array([model.evidence(r["sums"], r["n_words"]) for r in seen])
@@ -192,20 +196,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most: int =
     return model
 
 
-def _scorer(model: Model):
-    def score(segments: pd.Series, n_words: pd.Series) -> pd.Series:
-        return pd.Series([model.score(model.evidence([s["score"] for s in own], n)) for own, n in zip(segments, n_words)], dtype="float64")
-
-    return F.pandas_udf(score, "double")
-
-
 def with_toxicity(docs: DataFrame, model: Model, *, text: str = "text", passages: str = "passages", score: str = "score") -> DataFrame:
     """docs with its maximal segments (words from ``start`` to before ``stop``) and scores from 0
     to 1.  Null, empty and blank texts have no segments and the score of no evidence.  Rows are
     scored one by one, without a shuffle; columns named like the new ones are replaced."""
     modest_batches(docs.sparkSession)
-    out = docs.withColumn("__scan", _segment_rows(model.weights)(filled(F.col(text))))
-    return out.withColumns({passages: F.col("__scan.segments"), score: _scorer(model)(F.col("__scan.segments"), F.col("__scan.n_words"))}).drop("__scan")
+    out = docs.withColumn("__scan", _scan(model)(filled(F.col(text))))
+    return out.withColumns({passages: F.col("__scan.segments"), score: F.col("__scan.score")}).drop("__scan")
 
 
 THRESHOLD = 0.7
