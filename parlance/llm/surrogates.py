@@ -20,6 +20,7 @@ import functools
 import hashlib
 import ipaddress
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,16 +34,31 @@ MOST_LISTED = 50_000
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Srta", "κα", "госпожа")
 MALE = ("Mr", "Herr", "Sr", "κος", "господин")
 EITHER = ("Dr", "Prof")
-_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞΑ-ΩΆΈ-ΏА-ЯЁ", "a-zà-öø-ÿα-ωάέ-ώа-яё"
-_NAME = f"[{_UPPER}][{_LOWER}]+"
 
-_TRIGGER = re.compile(r"[0-9@]|\b(?:" + "|".join(FEMALE + MALE + EITHER) + r")\b")
+
+def _capitals() -> str:
+    """Ranges of all upper and title case letters, for a character class."""
+    at = [c for c in range(0x20000) if unicodedata.category(chr(c)) in ("Lu", "Lt")]
+    first = [c for c, before in zip(at, [-1, *at]) if c != before + 1]
+    last = [c for c, after in zip(at, [*at[1:], -1]) if c + 1 != after]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last))
+
+
+_UPPER, _LETTER = f"[{_capitals()}]", r"(?:[^\W\d_]|[\u0300-\u036f])"
+#: A capital and letters of any case and script, with inner hyphens and apostrophes.  An
+#: apostrophe is inner behind a first letter (O'Brien) or before a capital, not in Smith's.
+_NAME = rf"{_UPPER}(?:['’ʼ]{_LETTER}+|{_LETTER}+)(?:['’ʼ](?={_UPPER}){_LETTER}{{2,}}|[-‐‑]{_LETTER}+)*"
+_SECRET = r"\b(?i:token|secret|password|passwd|api[_-]?key)\b\s*[:=]\s*[\"']"
+
+#: What every entity has one of.
+_TRIGGER = re.compile(r"[\d@]|\b(?:" + "|".join(FEMALE + MALE + EITHER) + r")\b|" + _SECRET)
 _FIND = re.compile(
-    r"(?P<secret>\b(?i:token|secret|password|passwd|api[_-]?key)\b\s*[:=]\s*[\"'])(?P<value>[^\"'\s]{6,})(?=[\"'])"
+    rf"(?P<secret>{_SECRET})"
+    r"(?P<value>[^\"'\s]{6,})(?=[\"'])"
     r"|(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"
+    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\d.]*\d))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
     r"|(?P<phone>(?<![\w.])(?!(?:19|20)\d\d-\d\d-\d\d(?!\d))(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w]|[.-]\d)|(?<![\w.])\+\d{7,15}(?!\d))"
     rf"|(?P<form>\b(?:{'|'.join(FEMALE + MALE + EITHER)})\b\.? )(?P<name>{_NAME}(?: {_NAME}){{0,2}})"
@@ -72,11 +88,16 @@ _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTU
 _HEX = ("0123456789abcdef", "0123456789ABCDEF")
 
 
+def _digits(c: str) -> str | None:
+    """The ten digits of the script of a digit that is not ASCII."""
+    return "".join(chr(ord(c) - int(c) + i) for i in range(10)) if c.isdecimal() and not c.isascii() else None
+
+
 def same_form(text: str, tweak: str, alphabets=_ALPHABETS) -> str:
     """text with each character of an alphabet replaced by one of the same alphabet, as a
     permutation of all texts of this form."""
-    kinds = [next((a for a in alphabets if c in a), None) for c in text]
-    form = "".join("x" if k is None else str(alphabets.index(k)) for k in kinds)
+    kinds = [next((a for a in alphabets if c in a), None) or _digits(c) for c in text]
+    form = "".join("x" if k is None else str(alphabets.index(k)) if k in alphabets else k[0] for k in kinds)
     rest = "".join(c for c, k in zip(text, kinds) if k is None)
     value, size = 0, 1
     for c, k in zip(text, kinds):
@@ -151,14 +172,32 @@ def _name(text: str, tweak: str, gender: str) -> str:
     out = []
     words = text.split(" ")
     for i, word in enumerate(words):
-        syllables, female, male = _SYLLABLES[_script(word)]
-        n = _digest(tweak, word)
-        body = "".join(syllables[n >> 4 * k & 15] for k in range(3 + (n >> 40) % 2))
-        ends = {"female": female, "male": male}.get(gender, ("",)) if i < len(words) - 1 else ("",)
-        out.append((body + ends[(n >> 48) % len(ends)]).capitalize())
+        parts = []
+        for part in re.split("([-‐‑])", word):
+            if part in "-‐‑":
+                parts.append(part)
+                continue
+            syllables, female, male = _SYLLABLES[_script(part)]
+            n = _digest(tweak, part)
+            body = "".join(syllables[n >> 4 * k & 15] for k in range(3 + (n >> 40) % 2))
+            ends = {"female": female, "male": male}.get(gender, ("",)) if i < len(words) - 1 else ("",)
+            parts.append((body + ends[(n >> 48) % len(ends)]).capitalize())
+        out.append("".join(parts))
     return " ".join(out)
 
 
+def _secret(text: str, tweak: str, attempt: int) -> str:
+    """Of the same form, hexadecimal digits for such; letters of a digest where the form has
+    nothing to permute or letters of other scripts, or is used up."""
+    if attempt > 3 or not text.isascii() or not any(c.isalnum() for c in text):
+        n = _digest(tweak, text)
+        return "".join(chr(97 + n // 26**k % 26) for k in range(min(50, max(12, len(text)) + attempt)))
+    for alphabet in _HEX:
+        if all(c in alphabet for c in text):
+            return same_form(text, tweak, (alphabet,))
+    return same_form(text, tweak)
+
+
 @functools.lru_cache(100_000)
 def surrogate(kind: str, text: str, attempt: int = 0, key: str = KEY) -> str:
     """kind is a type, of names with the gender behind a colon."""
@@ -170,9 +209,7 @@ def surrogate(kind: str, text: str, attempt: int = 0, key: str = KEY) -> str:
     if make:
         return make(text, tweak)
     if base == "secret":
-        for alphabet in _HEX:
-            if all(c in alphabet for c in text):
-                return same_form(text, tweak, (alphabet,))
+        return _secret(text, tweak, attempt)
     return same_form(text, tweak)
 
 

@@ -211,6 +211,24 @@ def test_pseudonymised(spark):
     assert surrogates.pseudonymised(docs.where("false")).count() == 0
 
 
+def test_entities_without_digits_and_whole_names(spark):
+    secrets = ['password = "correcthorse"', "Token: 'abcdefgh'", 'api_key="******"', 'secret = "пароль"']
+    names = ["McDonald", "Smith-Jones", "O'Brien", "Šimek", "D’Angelo", "Łukasz Żak", "Jean-Luc O'Neil", "Ивáнов"]
+    texts = [*secrets, *(f"Mr {n}, here" for n in names), "Mrs Smith's house", "call ٠١٢ ٣٤٥ ٦٧٨٩ now", "a token of thanks"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in surrogates.pseudonymised(docs, spans="spans").collect()}
+    for i, t in enumerate(secrets):
+        value = re.search("[\"'](.*)[\"']", t)[1]
+        assert value not in rows[i]["text"] and len(rows[i]["spans"]) == 1
+    for i, n in enumerate(names, len(secrets)):
+        (span,) = rows[i]["spans"]
+        assert texts[i][span["start"] : span["stop"]] == n and not any(w in rows[i]["text"] for w in re.split("[ -]", n))
+    i = len(secrets) + len(names)
+    assert re.fullmatch("Mrs [A-Z][a-z]+'s house", rows[i]["text"]) and "Smith" not in rows[i]["text"]
+    assert re.fullmatch("call [٠-٩]{3} [٠-٩]{3} [٠-٩]{4} now", rows[i + 1]["text"]) and rows[i + 1]["text"] != texts[i + 1]
+    assert rows[i + 2]["text"] == texts[i + 2] and not rows[i + 2]["spans"]
+
+
 @pytest.mark.parametrize("listed", [50_000, 0])
 def test_collisions_are_resolved(spark, monkeypatch, listed):
     """A form with eleven strings, all of them entities: each permuted string is an entity too, so
