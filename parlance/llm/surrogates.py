@@ -168,7 +168,10 @@ def _script(text: str) -> str:
 
 def _name(text: str, tweak: str, gender: str) -> str:
     """As many words as before; each word always becomes the same one, so that a surname alone
-    still refers to the full name; the words before the last end by gender."""
+    still refers to the full name; the words before the last end by gender.  The attempt, at the
+    end of the tweak, lengthens each word by two syllables, so there are enough for any number of
+    names after a few attempts."""
+    longer = min(2 * int(tweak.rpartition("|")[2]), 40)
     out = []
     words = text.split(" ")
     for i, word in enumerate(words):
@@ -180,6 +183,7 @@ def _name(text: str, tweak: str, gender: str) -> str:
             syllables, female, male = _SYLLABLES[_script(part)]
             n = _digest(tweak, part)
             body = "".join(syllables[n >> 4 * k & 15] for k in range(3 + (n >> 40) % 2))
+            body += "".join(syllables[n >> 64 + 4 * k & 15] for k in range(longer))
             ends = {"female": female, "male": male}.get(gender, ("",)) if i < len(words) - 1 else ("",)
             parts.append((body + ends[(n >> 48) % len(ends)]).capitalize())
         out.append("".join(parts))

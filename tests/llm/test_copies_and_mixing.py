@@ -245,6 +245,16 @@ def test_collisions_are_resolved(spark, monkeypatch, listed):
         surrogates.surrogate.cache_clear()
 
 
+def test_more_names_than_short_surrogates(spark):
+    """Three or four of 16 syllables make 69,632 names."""
+    names = spark.range(70_000, numPartitions=4).select(F.concat(F.lit("N"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("entity"))
+    make = F.pandas_udf(lambda e: e.map(lambda t: surrogates.surrogate("name:male", t)), "string")
+    found = names.select(F.lit("name:male").alias("kind"), "entity", make("entity").alias("surrogate"), F.lit(1).cast("bigint").alias("n"))
+    rows = surrogates.collision_free(found, rounds=6)
+    assert rows.count() == 70_000 == rows.select("surrogate").distinct().count()
+    assert rows.where("entity = surrogate").isEmpty() and rows.agg(F.max("attempt")).first()[0] <= 5
+
+
 def test_maximal_segments():
     """Each maximal segment: no part sums to more, and the segments are the plain recursion's."""
 
