@@ -9,8 +9,9 @@ if their complete distance is small enough.  A table entry with very many finger
 to an exact second way that is linear in them: two fingerprints are within two bits of each
 other just when they share a neighbour within one bit.
 
-``near_copies`` finds copies of a given Jaccard similarity the same way, from 320-bit signatures
-in fifteen 20-bit segments.
+``near_copies`` finds candidates for copies of a given Jaccard similarity the same way, from
+512-bit signatures in 24 20-bit segments, and those of few shingles, whose signatures say little,
+from shared shingles.  A candidate links if the exact similarity of its shingles is enough.
 """
 
 from __future__ import annotations
@@ -155,14 +156,17 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 
 # --- copies of a given similarity -------------------------------------------------------------
 
-WIDE = 5
+WIDE = 8
 SEGMENT = 20
+#: Texts of at most so many distinct shingles meet by shingles instead of segments.
+FEW = 64
+#: Shingles that one task compares with each other in a crowded bucket, on average, at most twice this.
+BLOCK_SHINGLES = 500_000
 _MIX = np.array([0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(WIDE)], np.uint64)
 
 
-def wide_signature(text: str, words: int = 5) -> list[int]:
-    """320 bits from the distinct shingles, as WIDE signed words."""
-    hashes = np.unique(shingle_hashes(text, words))
+def wide_signature(hashes: np.ndarray) -> list[int]:
+    """64 * WIDE bits from distinct shingle hashes, as WIDE signed words."""
     out = []
     for salt in _MIX:
         z = hashes + salt
@@ -172,37 +176,81 @@ def wide_signature(text: str, words: int = 5) -> list[int]:
     return out
 
 
-def wide_simhash(words: int = 5):
-    """Column function text -> array<bigint> of WIDE words."""
+def prefix_size(n: int, similarity: float) -> int:
+    """Of two sets of that similarity, these many least members of each have one in common."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
-    @F.pandas_udf("array<bigint>")
-    def signature(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_signature(t or "", words) for t in texts], dtype=object)
+
+def wide_simhash(words: int = 5, similarity: float = 0.8):
+    """Column function text -> (node, size, sig, prefix): a hash of the set of shingles, its size,
+    WIDE words and, of sets small enough to be like one of FEW, the least shingle hashes."""
+
+    @F.pandas_udf("node bigint, size int, sig array<bigint>, prefix array<bigint>")
+    def signature(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            h = np.unique(shingle_hashes(t or "", words))
+            least = h[: prefix_size(len(h), similarity)].view(np.int64).tolist() if len(h) <= FEW / similarity else []
+            rows.append((_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)), len(h), wide_signature(h), least))
+        return pd.DataFrame(rows, columns=["node", "size", "sig", "prefix"])
 
     return signature
 
 
+def shingle_sets(words: int = 5):
+    """Column function text -> array of the distinct shingle hashes, in unsigned order."""
+
+    @F.pandas_udf("array<bigint>")
+    def grams(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t or "", words)).view(np.int64) for t in texts], dtype=object)
+
+    return grams
+
+
 def allowed_distance(similarity: float, bits: int) -> int:
     """Bits in which sets of that Jaccard similarity, of like size, differ: the mean, from the
-    angle between them, and 1.3 standard deviations."""
+    angle between them, and three standard deviations."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + 1.3 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 3 * np.sqrt(bits * p * (1 - p)))
 
 
-def _forest(most: int):
-    """For one pair of blocks of a crowded bucket: edges that join what is within ``most`` bits,
-    at most one for each member."""
+def needed(sizes, similarity: float):
+    """Common members that sets of that summed size need to have the similarity."""
+    return sizes * (similarity / (1 + similarity)) - 1e-6
+
+
+def _forest(most: int, similarity: float = 0.0):
+    """For one pair of blocks of a crowded bucket: edges that join what is within ``most`` bits
+    (or has few shingles) and, where the shingles are given, has the similarity; at most one edge
+    for each member."""
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.array(pdf["sig"].tolist(), dtype=np.int64).view(np.uint64)
         node = pdf["node"].to_numpy()
+        grams = [np.asarray(g, dtype=np.int64).view(np.uint64) for g in pdf["grams"]] if "grams" in pdf else None
+        size = np.array([len(g) for g in grams]) if grams else None
+
+        def like(i, rest):
+            near = np.bitwise_count(sig[rest] ^ sig[i]).sum(axis=1, dtype=np.int64) <= most
+            if grams is None:
+                return near
+            n = size[rest]
+            near = (near | (np.minimum(n, size[i]) <= FEW)) & (np.minimum(n, size[i]) >= similarity * np.maximum(n, size[i]) - 1e-6) & (n > 0)
+            at = np.flatnonzero(near)
+            if len(at):
+                among = np.concatenate([grams[j] for j in rest[at]])
+                place = np.minimum(np.searchsorted(grams[i], among), size[i] - 1)
+                common = np.add.reduceat(grams[i][place] == among, np.cumsum(n[at]) - n[at], dtype=np.int64)
+                near[at] = common >= needed(n[at] + size[i], similarity)
+            return near
+
         rest = np.arange(len(node))
         a, b = [], []
         while len(rest):
             queue, rest = [rest[0]], rest[1:]
             while queue and len(rest):
                 i = queue.pop()
-                near = np.bitwise_count(sig[rest] ^ sig[i]).sum(axis=1, dtype=np.int64) <= most
+                near = like(i, rest)
                 for j in rest[near]:
                     a.append(node[i])
                     b.append(node[j])
@@ -213,45 +261,76 @@ def _forest(most: int):
     return grow
 
 
-def wide_links(nodes: DataFrame, *, similarity: float, most: int = BUCKET) -> DataFrame:
-    """(a, b) links of nodes (node, sig) whose signatures are near enough.  Candidates share a
-    segment up to one bit; crowded buckets are compared in blocks, block pair by block pair."""
+def wide_links(nodes: DataFrame, texts: DataFrame, *, words: int, similarity: float, most: int = BUCKET) -> DataFrame:
+    """(a, b) links of nodes (node, size, sig, prefix, content) whose shingles have the similarity.
+    Candidates share a segment up to one bit or, with few shingles, one of the least shingles;
+    crowded buckets are compared in blocks, block pair by block pair.  The shingles are made again
+    from texts (content, text), of candidates alone."""
     far = allowed_distance(similarity, 64 * WIDE)
-    first = int(64 * far / (64 * WIDE)) + 8  # what the first word may differ by, 99.8 % of the time
+    first = int(far / WIDE) + 9  # what the first word may differ by, 99.9 % of the time
     head = F.col("sig")[0]
-    entries = nodes.select("node", head.alias("head"), F.explode(segments([F.col("sig")[k] for k in range(WIDE)], SEGMENT)).alias("key"))
+    narrow = nodes.select("node", "size", head.alias("head"), "sig", "prefix")
+    carried = ["node", "size", "head"]
+
+    def entered(rows: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Entries of the table, and of what is asked of it; keys of shingles are negative, those
+        of segments are not."""
+        wide = rows.where(F.col("size") > FEW).select(*carried, F.explode(segments([F.col("sig")[k] for k in range(WIDE)], SEGMENT)).alias("key"))
+        little = rows.select(*carried, F.explode(F.transform("prefix", lambda h: h.bitwiseOR(F.lit(-(1 << 63)).cast("bigint")))).alias("key"))
+        return wide.unionByName(little), probes(wide, SEGMENT).unionByName(little.withColumn("flip", F.lit(0).cast("bigint")))
+
+    def sets_of(asking: DataFrame) -> DataFrame:
+        wanted = nodes.select("node", "content").join(asking.distinct(), "node", "left_semi")
+        once = texts.join(wanted, "content").dropDuplicates(["node"])
+        return stored(once.select("node", shingle_sets(words)(filled(F.col("text"))).alias("grams")), "shingles")
+
+    entries, asked = entered(narrow, carried)
     hot = crowded(entries, most)
     crowd = not hot.isEmpty()
+    if crowd:  # first, so that no pairs are formed within what they join
+        members = stored(asked.select("key", "node").join(hot.select("key"), "key").distinct(), "members")
+        sized = members.join(nodes.select("node", "size"), "node")
+        shares = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        own = members.join(shares, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        dealt = dealt.join(nodes.select("node", "sig"), "node").join(sets_of(members.select("node")), "node")
+        dense = components(dealt.groupBy("key", "lo", "hi").applyInPandas(_forest(far, similarity), "a bigint, b bigint")).select(F.col("node").alias("a"), F.col("root").alias("b"))
+        narrow = narrow.join(dense.withColumnRenamed("a", "node"), "node", "left").withColumn("joined", F.coalesce("b", "node")).drop("b")
+    else:
+        narrow = narrow.withColumn("joined", F.col("node"))
+    entries, asked = entered(narrow, [*carried, "joined"])
     known = entries.join(hot.select("key"), "key", "left_anti") if crowd else entries
-    asked = probes(entries, SEGMENT)
-    met = asked.select("key", "flip", F.col("node").alias("a"), F.col("head").alias("ha")).join(known.select("key", F.col("node").alias("b"), F.col("head").alias("hb")), "key")
-    near = (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= first) & (F.col("a") != F.col("b")) & ((F.col("flip") != 0) | (F.col("a") < F.col("b")))
-    pairs = met.where(near).select("a", "b").distinct()
+    ask, know = ([F.col("node").alias(c), F.col("size").alias("n" + c), F.col("head").alias("h" + c), F.col("joined").alias("j" + c)] for c in "ab")
+    met = asked.select("key", "flip", *ask).join(known.select("key", *know), "key")
+    alike = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6
+    few = F.least("na", "nb") <= FEW
+    near = (few | (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= first)) & alike & (F.col("ja") != F.col("jb")) & ((F.col("flip") != 0) | (F.col("a") < F.col("b")))
+    pairs = met.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb").distinct()
     sa, sb = (nodes.select(F.col("node").alias(c), F.col("sig").alias("s" + c)) for c in "ab")
     distance = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(WIDE)), F.lit(0))
-    out = pairs.join(sa, "a").join(sb, "b").where(distance <= far).select("a", "b")
-    if crowd:
-        members = asked.select("key", "node").join(hot, "key").join(nodes, "node")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", "node", "sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        out = out.unionByName(dealt.groupBy("key", "lo", "hi").applyInPandas(_forest(far), "a bigint, b bigint"))
-    return out
+    pairs = stored(pairs.join(sa, "a").join(sb, "b").where(few | (distance <= far)).select("a", "b").distinct(), "candidates")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    ga, gb = (sets.select(F.col("node").alias(c), F.col("grams").alias("g" + c)) for c in "ab")
+    common = F.size(F.array_intersect("ga", "gb"))
+    out = pairs.join(ga, "a").join(gb, "b").where(common >= needed(F.size("ga") + F.size("gb"), similarity)).select("a", "b")
+    return out.unionByName(dense) if crowd else out
 
 
 def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, most: int = BUCKET) -> DataFrame:
     """docs with one row kept of each group of copies: that of the least key (null keys last).
 
-    Texts with equal shingle sets, and texts linked by signatures within the distance that the
-    similarity allows, are one group; so are all null, empty and blank texts.  Of rows that
+    Texts with equal shingle sets, and texts that links of at least the exact similarity join,
+    are one group; so are all null, empty and blank texts.  Of rows that
     repeat both key and text one stays.  The columns are those of docs."""
     modest_batches(docs.sparkSession)
     content = F.xxhash64(filled(F.col(text)))
-    rows = stored(docs.select(F.col(key).alias("key"), content.alias("content"), wide_simhash(words)(filled(F.col(text))).alias("sig")), "signatures")
-    rows = rows.withColumn("node", F.xxhash64(*(F.col("sig")[k] for k in range(WIDE))))
-    nodes = stored(rows.groupBy("node").agg(F.first("sig").alias("sig"), F.min(F.struct(F.col("key").isNull().alias("none"), "key", "content")).alias("least")), "nodes")
-    roots = components(wide_links(nodes.select("node", "sig"), similarity=similarity, most=most))
+    made = docs.select(F.col(key).alias("key"), content.alias("content"), wide_simhash(words, similarity)(filled(F.col(text))).alias("made"))
+    rows = stored(made.select("key", "content", "made.*"), "signatures")
+    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "content")).alias("least")
+    nodes = stored(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"), F.min("content").alias("content"), least), "nodes")
+    texts = docs.select(content.alias("content"), F.col(text).alias("text"))
+    roots = components(wide_links(nodes, texts, words=words, similarity=similarity, most=most))
     rooted = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"), F.col("least.content").alias("__content"))
     marked = docs.withColumn("__hash", content)

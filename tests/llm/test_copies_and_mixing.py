@@ -95,6 +95,28 @@ def test_near_copies(spark):
     assert sorted(map(str, crowded.collect())) == sorted(map(str, kept.collect()))
 
 
+@pytest.mark.parametrize("most", [64, 1])
+def test_near_copies_of_exact_similarity(spark, most):
+    """Changed tails of known similarity, long and short: what is below 0.8 stays."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    rows, want = [], set()
+    for k, (n, changed) in enumerate([(c, t) for c in (400, 1200) for t in (0.176, 0.143, 0.111, 0.105) for _ in range(12)] + [(c, t) for c in (4, 10, 60) for t in (0.1, 0.25) for _ in range(12)]):
+        w = [word() for _ in range(n + 4)]
+        if n > 60:
+            cut = round(n * changed)  # n - cut of n + cut shingles are common
+            similar = (n - cut) / (n + cut)
+            other = w[: n + 4 - cut] + [word() for _ in range(cut)]
+        else:
+            more = max(1, int(n * changed))  # n of n + more shingles are common
+            similar = n / (n + more)
+            other = w + [word() for _ in range(more)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+        want |= {2 * k} | ({2 * k + 1} if similar < 0.8 else set())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.near_copies(docs, most=most).collect()} == want
+
+
 def test_forest_joins_all():
     rng = np.random.default_rng(1)
     sig = rng.integers(0, 1 << 62, (1, 5)) ^ (1 << rng.integers(0, 62, (200, 5)))
