@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,13 +51,14 @@ def checkpointable(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts may be long, so Arrow batches of at most ``rows`` rows keep Python workers small.  A
-    lower setting of the session stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
+def modest_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Texts may be long, so Arrow batches of about ``size`` bytes keep Python workers small.  The
+    setting is read when a query runs, so it stays with the session; a lower one is left."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(name).strip().lower()).groups()
+    now = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    if now <= 0 or now > size:
+        spark.conf.set(name, str(size))
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
