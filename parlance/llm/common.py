@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,25 @@ def modest_batches(spark: SparkSession, size: int = 4 << 20) -> None:
         spark.conf.set(name, str(size))
 
 
+def release_memory() -> None:
+    """Gives freed memory of a Python worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = "__" + name
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df to be broadcast if it has at most ``most`` rows, else as it is.  Counts it, so hand over
     what is cheap to compute twice, of narrow rows."""

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, modest_batches, table
+from parlance.llm.common import filled, fresh, modest_batches, table
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a row; payloads are padded to a positive multiple of it.
@@ -70,7 +70,7 @@ def read_png(media: bytes) -> np.ndarray:
             break
         elif not kind[0] & 32 and kind != b"PLTE":
             raise ValueError(f"unknown critical chunk {kind!r}")
-    if head is None or head[2] != 8 or head[3] not in (0, 2, 4, 6) or head[6]:
+    if head is None or head[2] != 8 or head[3] not in (0, 2, 4, 6) or any(head[4:]):
         raise ValueError("unsupported header")
     bpp = {0: 1, 2: 3, 4: 2, 6: 4}[head[3]]
     width = head[0] * bpp
@@ -147,14 +147,15 @@ def from_png():
 
 def media_column(docs: DataFrame, *, text: str = "text", media: str = "media") -> DataFrame:
     """docs with a binary column of PNG images of its texts' UTF-8 bytes (null: no bytes).  Each
-    row stands alone: no shuffle, repeated rows give repeated images."""
+    row stands alone: no shuffle, repeated rows give repeated images, an empty table an empty one."""
     modest_batches(docs.sparkSession)
     return docs.withColumn(media, to_png()(filled(F.col(text)).cast("binary")))
 
 
 def media_features(rows: DataFrame, *, media: str = "media", payload: str = "payload", feature: str = "feature") -> DataFrame:
     """rows with the bytes read back from its images, padding included, and the images' hashes."""
-    return rows.withColumn("__read", from_png()(media)).withColumns({payload: F.col("__read.payload"), feature: F.col("__read.hash")}).drop("__read")
+    made = fresh(rows, "read")
+    return rows.withColumn(made, from_png()(media)).withColumns({payload: F.col(made)["payload"], feature: F.col(made)["hash"]}).drop(made)
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:

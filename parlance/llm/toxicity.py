@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, held_out, modest_batches, stored, table
+from parlance.llm.common import filled, fresh, held_out, modest_batches, stored, table
 
 SAMPLE = 10_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -270,8 +270,9 @@ def with_toxicity(docs: DataFrame, model: Model, *, text: str = "text", passages
     scored one by one, without a shuffle, so ties and repeated rows score alike; columns named
     like the new ones are replaced."""
     modest_batches(docs.sparkSession)
-    out = docs.withColumn("__scan", _scan(model)(filled(F.col(text))))
-    return out.withColumns({passages: F.col("__scan.segments"), score: F.col("__scan.score")}).drop("__scan")
+    made = fresh(docs, "scan")
+    out = docs.withColumn(made, _scan(model)(filled(F.col(text))))
+    return out.withColumns({passages: F.col(made)["segments"], score: F.col(made)["score"]}).drop(made)
 
 
 THRESHOLD = 0.7
