@@ -9,9 +9,11 @@ if their complete distance is small enough.  A table entry with very many finger
 to an exact second way that is linear in them: two fingerprints are within two bits of each
 other just when they share a neighbour within one bit.
 
-``near_copies`` finds candidates for copies of a given Jaccard similarity the same way, from
-512-bit signatures in 24 20-bit segments, and those of few shingles, whose signatures say little,
-from shared shingles.  A candidate links if the exact similarity of its shingles is enough.
+``near_copies`` finds copies of a given Jaccard similarity the same way, from 512-bit signatures
+in 24 20-bit segments; texts of few shingles, whose signatures say little, meet by shared shingles
+instead.  So that no group of copies is compared pair by pair, each table entry first links its
+members to one of them, and only what is still apart after two such turns is looked up in the
+balls.  Every link is verified by the exact similarity of the shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, modest_batches, stored, table
+from parlance.llm.common import filled, modest_batches, small, stored, table
 
 SEED = 42
 #: Table entries with more fingerprints than this go the second way.
@@ -32,7 +34,7 @@ BLOCK = 1500
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
-    """modest_batchesH64 of the shingles of a text, A-Z in lower case; with fewer words that of the whole
+    """XXH64 of the shingles of a text, A-Z in lower case; with fewer words that of the whole
     sequence, with none an empty array."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
@@ -160,7 +162,11 @@ WIDE = 8
 SEGMENT = 20
 #: Texts of at most so many distinct shingles meet by shingles instead of segments.
 FEW = 64
-#: Shingles that one task compares with each other in a crowded bucket, on average, at most twice this.
+#: Turns in which table entries link to one member, before the balls are looked up.
+TURNS = 2
+#: Table entries with more members that are still apart are compared block by block.
+APART = 16
+#: Shingles that one task compares in such an entry, on average, at most twice this.
 BLOCK_SHINGLES = 500_000
 _MIX = np.array([0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(WIDE)], np.uint64)
 
@@ -219,120 +225,146 @@ def needed(sizes, similarity: float):
     return sizes * (similarity / (1 + similarity)) - 1e-6
 
 
-def _forest(most: int, similarity: float = 0.0):
-    """For one pair of blocks of a crowded bucket: edges that join what is within ``most`` bits
-    (or has few shingles) and, where the shingles are given, has the similarity; at most one edge
-    for each member."""
+def _joining(far: int, similarity: float):
+    """For two blocks of a crowded table entry, rows (node, joined, rest, sig, grams): edges that
+    join what is within ``far`` bits (or has few shingles) and has the similarity.  Members of
+    ``rest`` are compared with all that isn't joined to them yet; each edge joins two groups, so
+    there are fewer edges than members."""
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.array(pdf["sig"].tolist(), dtype=np.int64).view(np.uint64)
-        node = pdf["node"].to_numpy()
-        grams = [np.asarray(g, dtype=np.int64).view(np.uint64) for g in pdf["grams"]] if "grams" in pdf else None
-        size = np.array([len(g) for g in grams]) if grams else None
-
-        def like(i, rest):
-            near = np.bitwise_count(sig[rest] ^ sig[i]).sum(axis=1, dtype=np.int64) <= most
-            if grams is None:
-                return near
-            n = size[rest]
-            near = (near | (np.minimum(n, size[i]) <= FEW)) & (np.minimum(n, size[i]) >= similarity * np.maximum(n, size[i]) - 1e-6) & (n > 0)
-            at = np.flatnonzero(near)
-            if len(at):
-                among = np.concatenate([grams[j] for j in rest[at]])
-                place = np.minimum(np.searchsorted(grams[i], among), size[i] - 1)
-                common = np.add.reduceat(grams[i][place] == among, np.cumsum(n[at]) - n[at], dtype=np.int64)
-                near[at] = common >= needed(n[at] + size[i], similarity)
-            return near
-
-        rest = np.arange(len(node))
-        a, b = [], []
-        while len(rest):
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
-                i = queue.pop()
-                near = like(i, rest)
-                for j in rest[near]:
-                    a.append(node[i])
-                    b.append(node[j])
-                    queue.append(j)
-                rest = rest[~near]
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return grow
-
-
-def wide_links(nodes: DataFrame, texts: DataFrame, *, words: int, similarity: float, most: int = BUCKET) -> DataFrame:
-    """(a, b) links of nodes (node, size, sig, prefix, content) whose shingles have the similarity.
-    Candidates share a segment up to one bit or, with few shingles, one of the least shingles;
-    crowded buckets are compared in blocks, block pair by block pair.  The shingles are made again
-    from texts (content, text), of candidates alone."""
+        node, group = pdf["node"].to_numpy(), pdf["joined"].to_numpy().copy()
+        grams = [np.asarray(g, dtype=np.int64).view(np.uint64) for g in pdf["grams"]]
+        size = np.array([len(g) for g in grams])
+        edges = []
+        for i in np.flatnonzero(pdf["rest"].to_numpy()):
+            least, most = np.minimum(size, size[i]), np.maximum(size, size[i])
+            at = np.flatnonzero((group != group[i]) & (least > 0) & (least >= similarity * most - 1e-6))
+            at = at[(least[at] <= FEW) | (np.bitwise_count(sig[at] ^ sig[i]).sum(axis=1, dtype=np.int64) <= far)]
+            if not len(at):
+                continue
+            among = np.concatenate([grams[j] for j in at])
+            place = np.minimum(np.searchsorted(grams[i], among), size[i] - 1)
+            common = np.add.reduceat(grams[i][place] == among, np.cumsum(size[at]) - size[at], dtype=np.int64)
+            for j in at[common >= needed(size[at] + size[i], similarity)]:
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    edges.append((node[i], node[j]))
+        return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+
+    return join
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity: float, most: int = APART) -> DataFrame:
+    """(node, root) of nodes (node, size, sig, prefix, content) that have a link: shingles of the
+    similarity, root the least node reachable.
+
+    Candidates share a segment up to one bit or, with few shingles, one of the least shingles.
+    First each table entry links its members to one of them, which makes no more pairs than
+    entries; then pairs are formed only between what is still apart, in entries with more than
+    ``most`` members within tasks, block by block.  The shingles are made again from texts
+    (content, text), of candidates alone."""
     far = allowed_distance(similarity, 64 * WIDE)
-    first = int(far / WIDE) + 9  # what the first word may differ by, 99.9 % of the time
-    head = F.col("sig")[0]
-    narrow = nodes.select("node", "size", head.alias("head"), "sig", "prefix")
-    carried = ["node", "size", "head"]
-
-    def entered(rows: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Entries of the table, and of what is asked of it; keys of shingles are negative, those
-        of segments are not."""
+
+    def entered(rows: DataFrame, *carried: str) -> DataFrame:
+        """Entries of the table; keys of shingles are negative, those of segments are not."""
         wide = rows.where(F.col("size") > FEW).select(*carried, F.explode(segments([F.col("sig")[k] for k in range(WIDE)], SEGMENT)).alias("key"))
         little = rows.select(*carried, F.explode(F.transform("prefix", lambda h: h.bitwiseOR(F.lit(-(1 << 63)).cast("bigint")))).alias("key"))
-        return wide.unionByName(little), probes(wide, SEGMENT).unionByName(little.withColumn("flip", F.lit(0).cast("bigint")))
+        return wide.unionByName(little)
 
-    def sets_of(asking: DataFrame) -> DataFrame:
-        wanted = nodes.select("node", "content").join(asking.distinct(), "node", "left_semi")
-        once = texts.join(wanted, "content").dropDuplicates(["node"])
-        return stored(once.select("node", shingle_sets(words)(filled(F.col("text"))).alias("grams")), "shingles")
+    def asking(entries: DataFrame) -> DataFrame:
+        return probes(entries.where("key >= 0"), SEGMENT).unionByName(entries.where("key < 0").withColumn("flip", F.lit(0).cast("bigint")))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = small(nodes.select("node", "content").join(small(wanted.distinct()), "node", "left_semi"))
+        once = texts.join(wanted, "content").dropDuplicates(["content"])
+        return stored(once.select("node", shingle_sets(words)(F.col("text")).alias("grams")), "shingles")
 
-    entries, asked = entered(narrow, carried)
-    hot = crowded(entries, most)
-    crowd = not hot.isEmpty()
-    if crowd:  # first, so that no pairs are formed within what they join
-        members = stored(asked.select("key", "node").join(hot.select("key"), "key").distinct(), "members")
-        sized = members.join(nodes.select("node", "size"), "node")
-        shares = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        own = members.join(shares, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        dealt = dealt.join(nodes.select("node", "sig"), "node").join(sets_of(members.select("node")), "node")
-        dense = components(dealt.groupBy("key", "lo", "hi").applyInPandas(_forest(far, similarity), "a bigint, b bigint")).select(F.col("node").alias("a"), F.col("root").alias("b"))
-        narrow = narrow.join(dense.withColumnRenamed("a", "node"), "node", "left").withColumn("joined", F.coalesce("b", "node")).drop("b")
-    else:
-        narrow = narrow.withColumn("joined", F.col("node"))
-    entries, asked = entered(narrow, [*carried, "joined"])
-    known = entries.join(hot.select("key"), "key", "left_anti") if crowd else entries
-    ask, know = ([F.col("node").alias(c), F.col("size").alias("n" + c), F.col("head").alias("h" + c), F.col("joined").alias("j" + c)] for c in "ab")
-    met = asked.select("key", "flip", *ask).join(known.select("key", *know), "key")
     alike = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6
-    few = F.least("na", "nb") <= FEW
-    near = (few | (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= first)) & alike & (F.col("ja") != F.col("jb")) & ((F.col("flip") != 0) | (F.col("a") < F.col("b")))
-    pairs = met.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb").distinct()
-    sa, sb = (nodes.select(F.col("node").alias(c), F.col("sig").alias("s" + c)) for c in "ab")
-    distance = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(WIDE)), F.lit(0))
-    pairs = stored(pairs.join(sa, "a").join(sb, "b").where(few | (distance <= far)).select("a", "b").distinct(), "candidates")
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    ga, gb = (sets.select(F.col("node").alias(c), F.col("grams").alias("g" + c)) for c in "ab")
-    common = F.size(F.array_intersect("ga", "gb"))
-    out = pairs.join(ga, "a").join(gb, "b").where(common >= needed(F.size("ga") + F.size("gb"), similarity)).select("a", "b")
-    return out.unionByName(dense) if crowd else out
-
-
-def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, most: int = BUCKET) -> DataFrame:
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b), by complete distance and then by the shingles."""
+        sa, sb = (nodes.select(F.col("node").alias(c), F.col("sig").alias("s" + c), F.col("size").alias("n" + c)) for c in "ab")
+        distance = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(WIDE)), F.lit(0))
+        close = alike & ((F.least("na", "nb") <= FEW) | (distance <= far))
+        near = stored(pairs.join(sa, "a").join(sb, "b").where(close).select("a", "b"), "candidates")
+        sets = sets_of(near.select(F.explode(F.array("a", "b")).alias("node")))
+        ga, gb = (sets.select(F.col("node").alias(c), F.col("grams").alias("g" + c)) for c in "ab")
+        common = F.size(F.array_intersect("ga", "gb"))
+        return near.join(ga, "a").join(gb, "b").where(common >= needed(F.size("ga") + F.size("gb"), similarity)).select("a", "b")
+
+    roots = None
+
+    def placed() -> DataFrame:
+        if roots is None:
+            return nodes.withColumn("joined", F.col("node"))
+        return nodes.join(roots, "node", "left").withColumn("joined", F.coalesce("root", "node")).drop("root")
+
+    def joined_by(links: DataFrame) -> DataFrame:
+        return components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    for turn in range(TURNS):
+        entries = entered(placed(), "node", "joined")
+        hubs = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "joined")).alias("hub"), (F.min("joined") != F.max("joined")).alias("apart"))
+        spokes = entries.join(hubs.where("apart").select("key", F.col("hub.node").alias("centre"), F.col("hub.joined").alias("whose")), "key")
+        roots = joined_by(verified(spokes.where("joined != whose").select(*_pair("node", "centre")).distinct()))
+
+    entries = stored(entered(placed(), "node", "joined", "size"), "entries")
+    asked = asking(entries)
+    hot = stored(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"), "crowded")
+    links = None
+    if not hot.isEmpty():
+        members = asked.join(hot, "key").select("key", "node", "joined", "size").distinct()
+        largest = members.groupBy("key", "joined").agg(F.count("*").alias("n"), F.sum("size").alias("s")).groupBy("key").agg(F.max(F.struct("n", "joined", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("groups")).where("groups > 1")
+        share = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+        plan = largest.select("key", F.col("main.joined").alias("whose"), share(F.col("main.n"), F.col("main.s")).alias("mains"), share(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("rests"))
+        own = members.join(plan, "key").withColumn("rest", F.col("joined") != F.col("whose"))
+        own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
+        up_to = lambda n: F.sequence(F.lit(0), n - 1)
+        with_main = F.transform(up_to(F.col("mains")), lambda m: F.struct(F.col("block").alias("lo"), (-1 - m).alias("hi")))
+        with_rest = F.transform(up_to(F.col("rests")), lambda r: F.struct(F.least(r, F.col("block")).alias("lo"), F.greatest(r, F.col("block")).alias("hi")))
+        of_main = F.transform(up_to(F.col("rests")), lambda r: F.struct(r.alias("lo"), (-1 - F.col("block")).alias("hi")))
+        dealt = own.select("key", "node", "joined", "rest", F.explode(F.when(F.col("rest"), F.concat(with_main, with_rest)).otherwise(of_main)).alias("blocks"))
+        dealt = stored(dealt, "dealt")
+        sets = sets_of(dealt.select("node"))
+        full = dealt.join(nodes.select("node", "sig"), "node").join(sets, "node")
+        links = full.groupBy("key", "blocks").applyInPandas(_joining(far, similarity), "a bigint, b bigint")
+        roots = joined_by(links)
+        entries = stored(entered(placed(), "node", "joined", "size"), "entries")
+        asked = asking(entries)
+    know = entries.select("key", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("joined").alias("jb"))
+    know = know.join(hot, "key", "left_anti")
+    ask = asked.select("key", "flip", F.col("node").alias("a"), F.col("size").alias("na"), F.col("joined").alias("ja"))
+    met = ask.join(know, "key").where((F.col("ja") != F.col("jb")) & alike & ((F.col("flip") != 0) | (F.col("a") < F.col("b"))))
+    return joined_by(verified(met.select(*_pair("a", "b")).distinct()))
+
+
+def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, most: int = APART) -> DataFrame:
     """docs with one row kept of each group of copies: that of the least key (null keys last).
 
     Texts with equal shingle sets, and texts that links of at least the exact similarity join,
     are one group; so are all null, empty and blank texts.  Of rows that
-    repeat both key and text one stays.  The columns are those of docs."""
+    repeat both key and text one stays.  The columns are those of docs, whatever their names."""
     modest_batches(docs.sparkSession)
     content = F.xxhash64(filled(F.col(text)))
     made = docs.select(F.col(key).alias("key"), content.alias("content"), wide_simhash(words, similarity)(filled(F.col(text))).alias("made"))
     rows = stored(made.select("key", "content", "made.*"), "signatures")
     least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "content")).alias("least")
     nodes = stored(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"), F.min("content").alias("content"), least), "nodes")
-    texts = docs.select(content.alias("content"), F.col(text).alias("text"))
-    roots = components(wide_links(nodes, texts, words=words, similarity=similarity, most=most))
+    texts = docs.select(content.alias("content"), filled(F.col(text)).alias("text"))
+    roots = similar_roots(nodes, texts, words=words, similarity=similarity, most=most)
     rooted = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
-    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"), F.col("least.content").alias("__content"))
-    marked = docs.withColumn("__hash", content)
-    stay = marked.join(kept, marked[key].eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__content")), "left_semi")
-    return stay.dropDuplicates([key, "__hash"]).drop("__hash")
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"), F.col("least.content").alias("content"))
+    again = rows.groupBy("key", "content").agg(F.count("*").alias("n")).select("key", "content", (F.col("n") > 1).alias("again"))
+    same = lambda a, b: a["key"].eqNullSafe(b["key"]) & (a["content"] == b["content"])
+    kept = stored(kept.join(again, same(kept, again)).select(kept["key"], kept["content"], "again"), "kept")
+    whole = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), content.alias("content"))
+    stay = whole.join(kept, same(whole, kept)).select("row", whole["key"], whole["content"], "again")
+    if kept.where("again").isEmpty():
+        return stay.select("row.*")
+    once = stay.where("again").dropDuplicates(["key", "content"])
+    return stay.where("not again").unionByName(once).select("row.*")
