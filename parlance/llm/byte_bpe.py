@@ -14,6 +14,7 @@ import functools
 import gc
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -22,13 +23,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, modest_batches, table
+from parlance.llm.common import filled, fresh, modest_batches, release_memory, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts encoded together.
 TEXTS = 1000
-#: Entries that a worker's memos of chunks, pieces and token pairs may hold before they start anew.
-MEMO_SPACED, MEMO_BARE, MEMO_PAIRS = 500_000, 100_000, 800_000
+#: Bytes that a worker's memos of chunks and pieces may hold, and entries of its memo of token
+#: pairs, before they start anew.  The first two end with their task, the last may serve the next.
+MEMO_BYTES, MEMO_PAIRS = 96 << 20, 500_000
+#: What an entry of a memo takes beside its characters and ids, in bytes, about.
+ENTRY = 200
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _BEYOND = re.compile(r"[^\x00-\u024f]")
 _BLANKS = re.compile(r" \s|\s ")
@@ -45,6 +49,19 @@ class PrefixEncoder:
         self.whole: dict[int, bool] = {}
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.held = 0
+
+    def keep(self, memo: dict[str, bytes], piece: str, ids: bytes) -> None:
+        memo[piece] = ids
+        self.held += ENTRY + 2 * len(piece) + len(ids)
+
+    def forget(self) -> None:
+        """Empties the memos of chunks and pieces, and that of pairs if it is large."""
+        self.spaced.clear()
+        self.bare.clear()
+        self.held = 0
+        if sum(len(d) for d in self.after if d) >= MEMO_PAIRS:
+            self.after = [None] * len(self.ranks)
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: merge the neighbours of lowest rank, leftmost first, while any can be.
@@ -198,12 +215,8 @@ def encode_packed(texts: list[str], name: str = VOCABULARY) -> list[bytes]:
     cut there, and what a worker has encoded is used again: ``spaced`` has the ids of a space
     and a chunk (for most, one word), ``bare`` those of pieces without a space in front."""
     own = encoder(name)
-    if len(own.spaced) >= MEMO_SPACED:
-        own.spaced.clear()
-    if len(own.bare) >= MEMO_BARE:
-        own.bare.clear()
-        if sum(len(d) for d in own.after if d) >= MEMO_PAIRS:
-            own.after = [None] * len(own.ranks)
+    if own.held >= MEMO_BYTES:
+        own.forget()
     spaced, bare = own.spaced, own.bare
     latin = not any(map(_BEYOND.search, texts))
     cut = [_chunks_of(t) for t in texts]
@@ -224,13 +237,13 @@ def encode_packed(texts: list[str], name: str = VOCABULARY) -> list[bytes]:
             led[p.encode("utf-8", "surrogatepass")] = p[1:]
     for memo, missing in ((spaced, led), (bare, plain)):
         for data, ids in own.encode_sorted(missing):
-            memo[missing[data]] = _packed(ids)
+            own.keep(memo, missing[data], _packed(ids))
 
     def ids_of(pieces: list[str]) -> bytes:
         return b"".join([spaced[p[1:]] if p[0] == " " else bare[p] for p in pieces])
 
     for c, ps in mixed.items():
-        spaced[c] = ids_of(ps)
+        own.keep(spaced, c, ids_of(ps))
     return [ids_of(head) + b"".join(map(spaced.__getitem__, c)) for c, head in zip(cut, heads)]
 
 
@@ -259,21 +272,40 @@ def decode_ids(ids, name: str = VOCABULARY) -> bytes:
     return data[np.repeat(start[ids] - stop + n, n) + np.arange(stop[-1])].tobytes()
 
 
+def _encoded_lists(texts: pa.Array, name: str) -> pa.ListArray:
+    own: list[bytes] = []
+    gc.disable()  # no cycles here, and very many objects; what runs later in this worker has cycles
+    try:
+        for k in range(0, len(texts), TEXTS):
+            own += encode_packed([t or "" for t in texts.slice(k, TEXTS).to_pylist()], name)
+    finally:
+        gc.enable()
+    ends = np.cumsum([0, *map(len, own)]) // 4
+    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(own))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _decoded_bytes(ids: pa.ListArray, name: str) -> pa.Array:
+    values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    return pa.array([decode_ids(values[a:b], name) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+
+
+def _ended(name: str) -> None:
+    """Frees what a task of this worker has gathered; the worker may serve others."""
+    encoder(name).forget()
+    release_memory()
+
+
 def bpe_encode(name: str = VOCABULARY):
     """Column function text -> array<int> of ids.  Null and empty texts have no ids."""
 
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        own: list[bytes] = []
-        gc.disable()  # no cycles here, and very many objects; what runs later in this worker has cycles
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
-            for k in range(0, len(texts), TEXTS):
-                own += encode_packed([t or "" for t in texts.slice(k, TEXTS).to_pylist()], name)
+            for texts in batches:
+                yield _encoded_lists(texts, name)
         finally:
-            gc.enable()
-        ends = np.cumsum([0, *map(len, own)]) // 4
-        values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(own))])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            _ended(name)
 
     return encode
 
@@ -283,18 +315,36 @@ def bpe_decode(name: str = VOCABULARY):
 
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
-        values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        return pa.array([decode_ids(values[a:b], name) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+        return _decoded_bytes(ids, name)
 
     return decode
 
 
+def bpe_round_trip(name: str = VOCABULARY):
+    """Column function text -> (ids, the bytes these ids decode to), in one worker."""
+
+    @F.arrow_udf("ids array<int>, decoded binary")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                ids = _encoded_lists(texts, name)
+                yield pa.StructArray.from_arrays([ids, _decoded_bytes(ids, name)], ["ids", "decoded"])
+        finally:
+            _ended(name)
+
+    return both
+
+
 def encoded(docs: DataFrame, *, text: str = "text", ids: str = "ids", decoded: str | None = None, name: str = VOCABULARY) -> DataFrame:
     """docs with the ids of its texts and, if asked for, the bytes these decode to.  Rows are
-    neither joined nor shuffled; columns named like the new ones are replaced."""
+    neither joined nor shuffled, so repeated rows stay and an empty table gives an empty one;
+    columns named like the new ones are replaced."""
     modest_batches(docs.sparkSession)
-    out = docs.withColumn(ids, bpe_encode(name)(filled(F.col(text))))
-    return out.withColumn(decoded, bpe_decode(name)(F.col(ids))) if decoded else out
+    if decoded is None:
+        return docs.withColumn(ids, bpe_encode(name)(filled(F.col(text))))
+    made = fresh(docs, "made")
+    out = docs.withColumn(made, bpe_round_trip(name)(filled(F.col(text))))
+    return out.withColumns({ids: F.col(made)["ids"], decoded: F.col(made)["decoded"]}).drop(made)
 
 
 def digests(rows: DataFrame) -> DataFrame:
