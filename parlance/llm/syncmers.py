@@ -1,11 +1,15 @@
 """Document fingerprints from closed syncmers, in DataFrame expressions alone.
 
-Units of a text are its words (cut at spaces, tabs and line ends) and, of short texts, also its
-characters.  Of each window of K units the S-unit substrings are hashed; the window is chosen if
-the least of them lies at either edge.  That depends on nothing outside the window, so texts
-that share a passage choose the same windows in it, wherever it stands.  A fingerprint is the
-``KEEP`` least hashes of the chosen windows; the likeness of two is the share of the least
-``KEEP`` of both together that both have, an estimate of the windows' Jaccard similarity.
+Units of a text are its words (cut at spaces, tabs and line ends); a word of more than
+``LONG`` characters, such as text in scripts without spaces, counts as its characters.  The rule
+is the same for texts of any length.  Of each window of K units the S-unit substrings are hashed;
+the window is chosen if the least of them lies at either edge.  That depends on nothing outside
+the window, so texts that share a passage choose the same windows in it, wherever it stands.
+
+The chosen windows are anchors.  An element of a fingerprint is an anchor with the next one and
+the distance between them, so elements match where the same anchors stand in the same places to
+each other.  A fingerprint holds all elements of its text, and the likeness of two is the Jaccard
+similarity of these sets, exactly.
 """
 
 from __future__ import annotations
@@ -14,64 +18,71 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, table
+from parlance.llm.common import filled, fresh, table
 
 K, S = 5, 2
-KEEP = 48
-SHORT = 400
-#: Rows of an ordered bucket, on average, and the most buckets (of which the driver holds the bounds).
+LONG = 24
+#: Rows of an ordered bucket, on average, and the most buckets (of which the driver holds the
+#: bounds); beyond MOST_BUCKETS * BUCKET_ROWS rows the buckets grow, and sort with spilling.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 100_000
 
 
 def units(text: Column) -> Column:
+    """Words, and the characters of long ones; of an empty text none."""
     for mark in ("\n", "\t", "\r"):
         text = F.replace(text, F.lit(mark), F.lit(" "))
-    return F.split(text, " ")
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    cut = F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) > LONG, F.split(w, "")).otherwise(F.array(w))))
+    return F.when(text.rlike(f"[^ ]{{{LONG + 1}}}"), cut).otherwise(words)
 
 
-def characters(text: Column) -> Column:
-    return F.split(text, "")
-
-
-def _submers(unit: str) -> Column:
-    """Hashes of S = 2 neighbouring units."""
-    both = F.zip_with(F.col(unit), F.slice(F.col(unit), 2, F.size(unit)), lambda a, b: F.xxhash64(a, b))
-    return F.slice(both, 1, F.greatest(F.size(unit) - 1, F.lit(0)))
-
-
-def _chosen(submer: str) -> Column:
-    """(position, hash) of the closed syncmers: windows of K - S + 1 = 4 submers."""
+def _chosen(submer: str, first: int) -> Column:
+    """(position, hash) of the closed syncmers: windows of K - S + 1 = 4 submers.  ``first`` is
+    the position of the first window."""
     n = F.size(submer)
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    at = F.when(n > 0, F.sequence(F.lit(first), n + (first - 1))).otherwise(F.array().cast("array<int>"))
     zipped = F.arrays_zip(at.alias("p"), F.col(submer).alias("a"), *(F.slice(F.col(submer), k, n).alias(c) for k, c in ((2, "b"), (3, "c"), (4, "d"))))
     edge = lambda w: (F.least(w["1"], w["4"]) <= F.least(w["2"], w["3"])) & w["4"].isNotNull()
     names = zipped.cast("array<struct<`1p`:int,`1`:bigint,`2`:bigint,`3`:bigint,`4`:bigint>>")
-    return F.transform(F.filter(names, edge), lambda w: F.struct(w["1p"].alias("position"), F.xxhash64(w["1"], w["2"], w["3"], w["4"]).bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash")))
+    return F.transform(F.filter(names, edge), lambda w: F.struct(w["1p"].alias("position"), F.xxhash64(w["1"], w["2"], w["3"], w["4"]).alias("hash")))
 
 
-def closed_syncmers(docs: DataFrame, *, text: str = "text", out: str = "syncmers", of=units) -> DataFrame:
+def closed_syncmers(docs: DataFrame, *, text: str = "text", out: str = "syncmers", margin: int = 0) -> DataFrame:
     """docs with the array of (position, hash) of the closed syncmers of its texts, positions
-    counted in units.  Null texts and those of fewer than K units have none."""
-    step = docs.withColumn("__units", of(filled(F.col(text)))).withColumn("__submers", _submers("__units"))
-    return step.withColumn(out, _chosen("__submers")).drop("__units", "__submers")
+    counted in units.  ``margin`` empty units are put before and behind the text, so that short
+    texts have windows too, the first at position -margin.  Null texts, and those of fewer than K
+    units with their margins, have none; so have texts without a word, whatever the margin."""
+    whole, submers = fresh(docs, "units"), fresh(docs, "submers")
+    edge = F.array_repeat(F.lit(""), margin)
+    own = units(filled(F.col(text)))
+    padded = own if not margin else F.when(F.size(own) > 0, F.concat(edge, own, edge)).otherwise(own)
+    step = docs.withColumn(whole, padded)
+    both = F.zip_with(F.col(whole), F.slice(F.col(whole), 2, F.size(whole)), lambda a, b: F.xxhash64(a, b))
+    step = step.withColumn(submers, F.slice(both, 1, F.greatest(F.size(whole) - 1, F.lit(0))))
+    return step.withColumn(out, _chosen(submers, -margin)).drop(whole, submers)
+
+
+def elements(anchors: Column) -> Column:
+    """The distinct hashes of anchors with their next ones and the distances to these, sorted;
+    the last anchor stands alone."""
+    linked = F.zip_with(anchors, F.slice(anchors, 2, F.size(anchors)), lambda a, b: F.xxhash64(a["hash"], b["hash"], b["position"] - a["position"]).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.sort_array(F.array_distinct(linked))
 
 
 def with_fingerprint(docs: DataFrame, *, text: str = "text", out: str = "sketch") -> DataFrame:
-    """docs with the sorted array of at most KEEP hashes.  A text without a chosen window is its
-    own hash, the empty one too; equal texts have equal fingerprints."""
-    rows = closed_syncmers(docs, text=text, out="__words")
-    short = F.when(F.char_length(filled(F.col(text))) < SHORT, filled(F.col(text))).otherwise("")
-    rows = closed_syncmers(rows.withColumn("__short", short), text="__short", out="__chars", of=characters)
-    rows = rows.withColumn("__all", F.concat(F.col("__words.hash"), F.col("__chars.hash")))
+    """docs with the sorted array of the elements of its texts.  A text without an anchor (an
+    empty one, or one of few words that chance gives none) is its own hash; equal texts have equal
+    fingerprints.  Columns of any name stay, but for ``out``."""
+    anchors = fresh(docs, "anchors")
+    rows = closed_syncmers(docs, text=text, out=anchors, margin=K - 2)
     whole = F.array(F.xxhash64(filled(F.col(text))).bitwiseAND(F.lit(0xFFFFFFFF)))
-    rows = rows.withColumn(out, F.when(F.size("__all") > 0, F.slice(F.sort_array(F.array_distinct("__all")), 1, KEEP)).otherwise(whole))
-    return rows.drop("__words", "__chars", "__short", "__all")
+    return rows.withColumn(out, F.when(F.size(anchors) > 0, elements(F.col(anchors))).otherwise(whole)).drop(anchors)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1; of equal fingerprints 1."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, KEEP)
-    return F.when(a == b, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(least, a), b)) / F.size(least))
+    common = F.size(F.array_intersect(a, b))
+    return F.when(a == b, F.lit(1.0)).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
 def printed(sketch: Column) -> Column:
@@ -110,12 +121,13 @@ def with_next(rows: DataFrame, key: str, columns: list[str], tie: list[str] | No
 
 def op5_syncmers(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", filled(F.col("text")).alias("text"))
-    rows = with_next(with_fingerprint(docs), "doc_id", ["text", "sketch"], tie=["text"])
+    rows = with_next(docs, "doc_id", ["text"])
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
-    rows = with_fingerprint(rows, text="edited", out="edited_sketch")
+    rows = rows.withColumns({"n_chars": n.cast("bigint"), "edited": edited})
+    for text, sketch in (("text", "sketch"), ("next_text", "next_sketch"), ("edited", "edited_sketch")):
+        rows = with_fingerprint(rows, text=text, out=sketch)
     return rows.select(
         "doc_id",
         "n_chars",
