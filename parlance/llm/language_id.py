@@ -2,12 +2,17 @@
 
 Each language has a suffix automaton of labelled text.  A text is parsed, from left to right,
 into the longest phrases that occur in that text; the language whose parse needs the fewest
-phrases, normalised by the text's length, wins.  Texts are cut into pieces of ``PIECE``
-characters, parsed side by side with one table lookup for each character and language, so that
-long texts cost no more for each character than short ones.
+phrases, normalised by the text's length, wins.  Both are UTF-8 bytes, so every script has a
+small alphabet, and no text has unknown symbols but bytes its language never shows.
 
-The automata are built from at most ``SAMPLE`` characters a language, so the table sent to the
-tasks is bounded by languages x 2 x SAMPLE x alphabet; ``fit`` checks it against ``TABLE_MB``.
+Texts are cut into pieces of ``PIECE`` bytes that are parsed side by side, one table lookup for
+each byte and language.  A piece is first parsed as if a phrase began with it, then again from
+the state its text really has there, until both parses are in the same state, from where on they
+agree; the counts are those of one parse of the whole text.
+
+The automata are built from whole texts of at most ``DOCUMENTS`` labelled rows a language, as
+many as fit in ``SAMPLE`` bytes (fewer beyond ten languages, ``TOTAL`` in all), so what is sent
+to the tasks is bounded, whatever the languages.
 """
 
 from __future__ import annotations
@@ -21,15 +26,15 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import held_out, modest_batches, table
 
-SAMPLE = 16_000
+SAMPLE = 32_000
+TOTAL = 320_000
 DOCUMENTS = 400
 PIECE = 512
-TABLE_MB = 256
 
 
-def suffix_automaton(text: str) -> list[dict[str, int]]:
-    """Transitions of the automaton of all substrings of text; state 0 is the start."""
-    go: list[dict[str, int]] = [{}]
+def suffix_automaton(text) -> list[dict]:
+    """Transitions of the automaton of all substrings of a string or bytes; state 0 is the start."""
+    go: list[dict] = [{}]
     link, length = [-1], [0]
     last = 0
     for c in text:
@@ -66,92 +71,111 @@ def normalised(text: str) -> str:
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: dict[str, int]
-    #: next state << 1 | whether a new phrase begins, by state * symbols + symbol; symbol 0 stands
-    #: for every unknown character, a phrase of its own everywhere.
+    #: Symbols by language and byte; 0 stands for bytes the language never shows.
+    symbols: np.ndarray
+    #: At a state's place + symbol: the next state's place << 1 | whether a new phrase begins.
     step: np.ndarray
+    #: Places of the start states.
     roots: np.ndarray
 
-    def codes(self) -> np.ndarray:
-        """Symbol by code point, of the basic plane."""
-        out = np.zeros(0x10000, np.int32)
-        for c, i in self.alphabet.items():
-            out[ord(c)] = i
-        return out
-
 
-def build(samples: dict[str, str], most_mb: int = TABLE_MB) -> Model:
+def build(samples: dict[str, str]) -> Model:
     """The model of normalised sample texts by language."""
     languages = sorted(samples)
-    alphabet = {c: i for i, c in enumerate(sorted({c for t in samples.values() for c in t if ord(c) < 0x10000} | {" "}), 1)}
-    symbols = len(alphabet) + 1
-    automata = [suffix_automaton(samples[k]) for k in languages]
-    states = sum(map(len, automata))
-    if states * symbols * 4 > most_mb << 20:
-        raise ValueError(f"{len(languages)} languages and {symbols} symbols need {states * symbols * 4 >> 20} MB; lower SAMPLE or raise TABLE_MB")
-    step = np.zeros((states, symbols), np.int32)
-    roots, base = [], 0
-    for go in automata:
-        roots.append(base)
-        start = np.full(symbols, base, np.int32)  # unknown everywhere: back to the start
+    symbols = np.zeros((len(languages), 256), np.int32)
+    tables, roots, base = [], [], 0
+    for k, name in enumerate(languages):
+        data = samples[name].encode("utf-8", "surrogatepass")
+        used = sorted(set(data))
+        symbols[k, used] = np.arange(1, len(used) + 1)
+        width = len(used) + 1
+        go = suffix_automaton(data)
+        start = np.full(width, base << 1 | 1, np.int64)  # an unknown byte: a phrase, and back to the start
         for c, to in go[0].items():
-            if c in alphabet:
-                start[alphabet[c]] = base + to
-        part = np.tile(start << 1 | 1, (len(go), 1))
-        for s, edges in enumerate(go):
-            for c, to in edges.items():
-                if c in alphabet:
-                    part[s, alphabet[c]] = (base + to) << 1
-        part[0] = start << 1 | 1
-        step[base : base + len(go)] = part
-        base += len(go)
-    return Model(languages, alphabet, step.ravel(), np.array(roots, np.int64))
-
-
-def parse_counts(texts: list[str], model: Model, codes: np.ndarray, piece: int = PIECE) -> np.ndarray:
-    """Phrases of normalised texts, (texts, languages).  No phrase crosses a piece's end."""
-    symbols = len(model.alphabet) + 1
+            start[symbols[k, c]] = (base + to * width) << 1 | 1
+        part = np.tile(start, (len(go), 1))
+        at = np.repeat(np.arange(len(go)), [len(g) for g in go])
+        on = symbols[k, [c for g in go for c in g]] if len(at) else np.empty(0, np.int64)
+        to = np.array([t for g in go for t in g.values()], np.int64)
+        inner = at > 0
+        part[at[inner], on[inner]] = (base + to[inner] * width) << 1
+        tables.append(part.ravel())
+        roots.append(base)
+        base += part.size
+    step = np.concatenate(tables) if tables else np.empty(0, np.int64)
+    return Model(languages, symbols, step.astype(np.int32 if base < 1 << 30 else np.int64), np.array(roots, np.int64))
+
+
+def _walk(model: Model, data: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps through pieces of data from states (pieces, languages): the phrases begun and the
+    last states.  With ``other`` states, both go on until they are the same; the phrases are then
+    how many more the first began, and pieces that never met are told, all languages together."""
+    phrases = np.zeros(state.shape, np.int32)
+    state = state.copy()
+    other = None if other is None else other.copy()
+    order = np.argsort(-size, kind="stable")
+    live = order
+    for i in range(int(size.max(initial=0))):
+        live = live[: np.searchsorted(-size[live], -i, side="left")]
+        if other is not None:
+            live = live[(state[live] != other[live]).any(axis=1)]
+        if not len(live):
+            break
+        symbol = model.symbols[:, data[start[live] + i]].T
+        got = model.step[state[live] + symbol]
+        phrases[live] += got & 1
+        state[live] = got >> 1
+        if other is not None:
+            got = model.step[other[live] + symbol]
+            phrases[live] -= got & 1
+            other[live] = got >> 1
+    apart = np.zeros(len(start), bool) if other is None else (state != other).any(axis=1)
+    return phrases, state, apart
+
+
+def parse_counts(texts: list[str], model: Model, piece: int = PIECE) -> np.ndarray:
+    """Phrases of normalised texts, (texts, languages)."""
     out = np.zeros((len(texts), len(model.languages)), np.int64)
-    joined = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbol = codes[np.where(joined < 0x10000, joined, 0)]
-    ends = np.cumsum([len(t) for t in texts])
-    starts, owner = [], []
-    for k, (end, t) in enumerate(zip(ends.tolist(), texts)):
-        at = np.arange(end - len(t), end, piece)
-        starts.append(at)
-        owner.append(np.full(len(at), k))
-    if not starts or not len(joined):
+    coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"".join(coded), np.uint8)
+    if not len(data):
         return out
-    start, own = np.concatenate(starts), np.concatenate(owner)
-    size = np.minimum(piece, ends[own] - start)
-    order = np.argsort(-size, kind="stable")
-    start, own, size = start[order], own[order], size[order]
-    lanes = len(model.languages)
-    state = np.tile(model.roots, (len(start), 1))
-    phrases = np.zeros((len(start), lanes), np.int32)
-    live = np.searchsorted(-size, -np.arange(piece), side="left")  # pieces longer than i
-    for i in range(int(size[0])):
-        n = int(live[i])
-        got = model.step[state[:n] * symbols + symbol[start[:n] + i][:, None]]
-        phrases[:n] += got & 1
-        state[:n] = got >> 1
-    np.add.at(out, own, phrases)
+    length = np.array([len(c) for c in coded])
+    pieces = -(-length // piece)
+    own = np.repeat(np.arange(len(texts)), pieces)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.repeat(np.cumsum(length) - length, pieces) + nth * piece
+    size = np.minimum(piece, length[own] - nth * piece)
+    root = np.tile(model.roots, (len(start), 1))
+    phrases, last, _ = _walk(model, data, start, size, root)
+    corrected = phrases.copy()
+    ends = last.copy()
+    again = np.flatnonzero(nth > 0)
+    while len(again):
+        more, reached, apart = _walk(model, data, start[again], size[again], ends[again - 1], root[again])
+        corrected[again] = phrases[again] + more
+        new = np.where(apart[:, None], reached, last[again])
+        changed = again[(new != ends[again]).any(axis=1)]
+        ends[again] = new
+        again = changed + 1
+        again = again[again < len(nth)]
+        again = again[nth[again] > 0]
+    np.add.at(out, own, corrected)
     return out
 
 
 def identify(model: Model):
     """Column function text -> struct(lang, score).  The score is how far the winner's phrases
-    fall short of the next language's, from 0 (as many) to 1; ties go to the first language in
-    order.  ``und`` with score 0: null texts and texts without a letter, and a model without
-    languages."""
-    codes = model.codes()
+    fall short of the next language's, from 0 (as many) to 1; ties, whose score is 0, go to the
+    first language in order.  ``und`` with score 0: null texts and texts without a letter, and a
+    model without languages."""
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         langs, scores = [], []
         for k in range(0, len(texts), 500):
             part = [normalised(t) if t else "" for t in texts.iloc[k : k + 500]]
-            counts = parse_counts(part, model, codes) if model.languages else None
+            counts = parse_counts(part, model) if model.languages else None
             for i, t in enumerate(part):
                 if not t or counts is None:
                     langs.append("und")
@@ -167,10 +191,21 @@ def identify(model: Model):
     return predict
 
 
-def fit(docs: DataFrame, *, documents: int = DOCUMENTS, characters: int = SAMPLE) -> Model:
-    """Learns from about ``documents`` documents a language, drawn by a hash of the id among
-    those not held out, and at most ``characters`` of their normalised text, a like share of each (at
-    least 200).  Null ids, texts and languages are left out."""
+def chosen_rows(rows: list[tuple[int, object]], budget: int) -> list[object]:
+    """Of (bytes, id) rows, in their order, those that fit in a budget together, none of over a
+    sixteenth of it; if there is none, the smallest row."""
+    out, left = [], budget
+    for size, key in rows:
+        if size <= min(left, budget // 16):
+            out.append(key)
+            left -= size
+    return out or [min(rows, key=lambda r: r[0])[1]]
+
+
+def fit(docs: DataFrame, *, documents: int = DOCUMENTS, sample: int = SAMPLE, total: int = TOTAL) -> Model:
+    """Learns from about ``documents`` rows a language, drawn by a hash of the id among those not
+    held out, the whole texts of those that ``chosen_rows`` takes.  Null ids, texts without a
+    letter and null languages are left out."""
     modest_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     draw = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
@@ -178,11 +213,21 @@ def fit(docs: DataFrame, *, documents: int = DOCUMENTS, characters: int = SAMPLE
     if not sizes:
         return build({})
     rate = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, documents / n)))))
-    chosen = rows.where(draw <= rate[F.col("lang")]).select("lang", "doc_id", F.substring("text", 1, characters).alias("text")).collect()
+    content = F.xxhash64("text")
+    drawn = rows.where((draw <= rate[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
+    seen: dict[str, list[tuple[int, object]]] = {}
+    for r in sorted(drawn.select("lang", draw.alias("draw"), content.alias("content"), F.octet_length("text").alias("size")).distinct().collect()):
+        seen.setdefault(r["lang"], []).append((r["size"], r["content"]))
+    budget = min(sample, total // len(sizes))
+    wanted = [(lang, c) for lang, own in seen.items() for c in chosen_rows(own, budget)]
+    if not wanted:
+        return build({})
+    picked = docs.sparkSession.createDataFrame(wanted, "lang string, content bigint")
+    texts = drawn.withColumn("content", content).join(F.broadcast(picked), ["lang", "content"]).select("lang", "text").distinct().collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(chosen, key=lambda r: (r["lang"], r["doc_id"])):
+    for r in sorted(texts):
         samples.setdefault(r["lang"], []).append(normalised(r["text"]))
-    return build({k: " ".join(t[: max(200, 2 * characters // len(v))] for t in v)[:characters] for k, v in samples.items()})
+    return build({k: " ".join(v) for k, v in samples.items()})
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:
