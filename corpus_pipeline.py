@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets replaced by surrogates; n_chars follows the text."""
-    done = surrogates.pseudonymised(docs)
+    done = surrogates.pseudonymised(docs, key=surrogates.session_key(spark))
     return done.withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), F.col("n_chars"))).select(*docs.columns)
 
 
