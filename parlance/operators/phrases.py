@@ -8,42 +8,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.cluster import checkpointed
+from parlance.functions.cluster import checkpointed, few
 from parlance.functions.text import grams, sentences, tokens, windows
 
 
-def hits(words: Column, phrases: list[str]) -> Column:
-    """Array of (pos, n, phrase) of all occurrences, by length and position.  ``words`` should be
-    a column of its own, not an expression, as it is used for each length."""
-
-    def of_length(n: int) -> Column:
-        own = F.array(*(F.lit(p) for p in sorted({p.lower() for p in phrases if len(p.split()) == n})))
-        at = F.transform(grams(words, n), lambda g, i: F.struct(i.alias("pos"), F.lit(n).alias("n"), g.alias("phrase")))
-        return F.filter(at, lambda s: F.array_contains(own, s["phrase"]))
-
-    return F.concat(*map(of_length, sorted({len(p.split()) for p in phrases})))
-
-
 def sentence_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sent_idx, sentence, words), a row a sentence; null texts have none."""
     rows = docs.select(key, F.posexplode(sentences(F.col(text))).alias("sent_idx", "sentence"))
     return rows.withColumn("words", tokens(F.col("sentence")))
 
 
-def occurrences(docs: DataFrame, phrases: list[str], *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, n, phrase) of all occurrences in whole texts.
+def met_phrases(rows: DataFrame, phrases: list[str], *keep: str, words: str = "words") -> DataFrame:
+    """(keep, pos, n, phrase) of all occurrences in an array of words.
 
-    Each token is a row with the words after it, and meets the phrases that begin with it: a
+    Each word is a row with the words after it, and meets the phrases that begin with it: a
     broadcast of the given list, without a shuffle."""
     longest = max(len(p.split()) for p in phrases)
     listed = sorted({(p.lower(), p.lower().split()[0], len(p.split())) for p in phrases})
-    known = docs.sparkSession.createDataFrame(listed, "phrase string, first string, n int")
-    rows = docs.select(key, tokens(F.col(text)).alias("words")).select(key, F.posexplode(windows(F.col("words"), longest)).alias("pos", "w"))
+    known = rows.sparkSession.createDataFrame(listed, "phrase string, first string, n int")
+    each = rows.select(*keep, F.posexplode(windows(F.col(words), longest)).alias("pos", "w"))
     gram, whole = F.col("w.w0"), F.lit(None).cast("string")
     for k in range(1, longest + 1):
         whole = F.when(F.col("n") == k, gram).otherwise(whole)
         gram = F.concat(gram, F.lit(" "), F.col(f"w.w{k}")) if k < longest else gram
-    return rows.join(F.broadcast(known), F.col("w.w0") == F.col("first")).where(whole == F.col("phrase")).select(key, "pos", "n", "phrase")
+    return each.join(F.broadcast(known), F.col("w.w0") == F.col("first")).where(whole == F.col("phrase")).select(*keep, "pos", "n", "phrase")
+
+
+def occurrences(docs: DataFrame, phrases: list[str], *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, n, phrase) of all occurrences in whole texts."""
+    return met_phrases(docs.select(key, tokens(F.col(text)).alias("words")), phrases, key)
 
 
 def first_positions(docs: DataFrame, phrases: list[str], *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,13 +70,58 @@ def longest_matches(rows: DataFrame, *, key: str = "doc_id") -> DataFrame:
     return run.select(key, F.inline(F.aggregate("spans", empty, take)))
 
 
-def data_points(docs: DataFrame, phrases: list[str], *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def data_points(docs: DataFrame, phrases: list[str], *, key: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
     """(key, sent_idx, words, pos, n, phrase): each sentence with its first marker, of several at
-    one place the longest.  Sentences without a marker are left out."""
-    rows = sentence_rows(docs, key=key, text=text).withColumn("hits", hits(F.col("words"), phrases))
-    best = F.array_min(F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), (-h["n"]).alias("m"), h["phrase"].alias("phrase"))))
-    one = rows.select(key, "sent_idx", "words", F.explode(F.when(F.size("hits") > 0, F.array(best)).otherwise(F.expr("cast(array() as array<struct<pos:int,m:int,phrase:string>>)"))).alias("h"))
-    return one.select(key, "sent_idx", "words", F.col("h.pos").alias("pos"), (-F.col("h.m")).alias("n"), F.col("h.phrase").alias("phrase"))
+    one place the longest; with ``every``, a row for each marker of its longest matches.
+    Sentences without a marker are left out.
+
+    Only the sentences with markers are shuffled, to their first one; ``key`` and sent_idx should
+    tell sentences apart."""
+    rows = sentence_rows(docs, key=key, text=text).select(key, "sent_idx", "words")
+    if every:
+        own = rows.withColumn("sentence", F.struct(key, "sent_idx", "words"))
+        best = longest_matches(met_phrases(own, phrases, "sentence"), key="sentence")
+        return best.select(f"sentence.{key}", "sentence.sent_idx", "sentence.words", "pos", "n", "phrase")
+    found = met_phrases(rows, phrases, key, "sent_idx", "words")
+    first = F.min(F.struct("pos", (-F.col("n")).alias("m"), "phrase", "words")).alias("h")
+    one = found.groupBy(key, "sent_idx").agg(first)
+    return one.select(key, "sent_idx", "h.words", F.col("h.pos").alias("pos"), (-F.col("h.m")).alias("n"), F.col("h.phrase").alias("phrase"))
+
+
+def frequent_grams(docs: DataFrame, k: int, longest: int = 3, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(n, gram, df): the k n-grams of each length up to ``longest`` that the most documents have,
+    equal ones by name.  Repeated keys are documents of their own.
+
+    A gram is in no more documents than each of its words.  So longer grams are first counted of
+    the words that are at least as frequent as the (2 k)-th alone; the k-th count they reach is a
+    floor that no gram with a rarer word can pass, and if it is below the words' own, grams of all
+    words down to it are counted once more.  Few grams are shuffled, and the result is exact."""
+    rows = docs.select(tokens(F.col(text)).alias("w"))
+    single = checkpointed(rows.select(F.explode(F.array_distinct("w")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df")))
+    top = [single.select(F.lit(1).alias("n"), "gram", "df").orderBy(F.desc("df"), "gram").limit(k)]
+    ends = single.orderBy(F.desc("df"), "gram").limit(2 * k).select("df").collect()
+    start = min((r["df"] for r in ends), default=1)
+
+    def counted(n: int, floor: int) -> DataFrame:
+        usual = few(single.where(F.col("df") >= floor).select("gram"))
+        each = rows.withColumn("doc", F.monotonically_increasing_id()).select("doc", F.explode(windows(F.col("w"), n)).alias("s")).select("doc", "s.*")
+        for i in range(n):
+            each = each.join(usual.select(F.col("gram").alias(f"w{i}")), f"w{i}")
+        grams = each.select("doc", F.concat_ws(" ", *(f"w{i}" for i in range(n))).alias("gram")).distinct()
+        return grams.groupBy("gram").agg(F.count("*").alias("df"))
+
+    for n in range(2, longest + 1):
+        found = checkpointed(counted(n, start))
+        best = found.orderBy(F.desc("df"), "gram").limit(k)
+        reached = best.agg(F.count("*").alias("c"), F.min("df").alias("least")).first()
+        floor = reached["least"] if reached["c"] == k else 1
+        if floor < start:
+            best = counted(n, floor).orderBy(F.desc("df"), "gram").limit(k)
+        top.append(best.select(F.lit(n).alias("n"), "gram", "df"))
+    out = top[0]
+    for more in top[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def segments(points: DataFrame) -> DataFrame:
@@ -144,6 +182,7 @@ def numbered(rows: DataFrame, order: list[str], out: str, parts: int | None = No
     ranges are checkpointed, as their bounds come from a sample and would differ if taken again."""
     spark = rows.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = checkpointed(rows)  # read twice, for the bounds and for the ranges
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id())
     ranged = checkpointed(ranged).withColumn("__place", F.col("__place") - F.shiftleft(F.col("__part").cast("bigint"), 33))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__count"))  # one row a range

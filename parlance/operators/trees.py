@@ -17,9 +17,13 @@ DEPS = f"array<{DEP}>"
 
 def from_triples(triples: Column, length: Column) -> Column:
     """The list of (gov, dep, rel) triples; of several for a token the last counts, the relation
-    in lower case, and triples beyond the length are dropped."""
-    last = lambda i: F.element_at(F.filter(triples, lambda t: t["dep"] == i), -1)
-    at = lambda i: F.when(F.exists(triples, lambda t: t["dep"] == i), F.struct(F.lower(last(i)["rel"]).alias("rel"), last(i)["gov"].cast("int").alias("gov")))
+    in lower case, and triples beyond the length are dropped.  Triples are put in the order of
+    their tokens and become a map."""
+    numbered = F.transform(triples, lambda t, i: F.struct(t["dep"].cast("int").alias("dep"), (-i).alias("nr"), t["rel"].alias("rel"), t["gov"].cast("int").alias("gov")))
+    order = F.array_sort(F.filter(numbered, lambda t: (t["dep"] >= 0) & (t["dep"] < length)))
+    last = F.filter(order, lambda t, i: (i == 0) | (t["dep"] != F.get(order, i - 1)["dep"]))
+    found = F.map_from_entries(F.transform(last, lambda t: F.struct(t["dep"].alias("key"), F.struct(F.lower(t["rel"]).alias("rel"), t["gov"].alias("gov")).alias("value"))))
+    at = lambda i: F.try_element_at(found, i)
     return F.when(length > 0, F.transform(F.sequence(F.lit(0), length - 1), at)).otherwise(F.array().cast(DEPS))
 
 
@@ -69,6 +73,27 @@ def compounds(rows: DataFrame, key: list[str], deps: str = "deps") -> DataFrame:
     return each.groupBy(*key, F.col("d.gov").alias("head")).agg(F.array_sort(F.collect_list("i")).alias("tokens"))
 
 
+def path_up(deps: Column, start: Column) -> Column:
+    """Indices from ``start`` to the root along governors; it ends at a null or outer governor."""
+    begin = F.array(start.cast("int"))
+    gov = lambda path: F.get(deps, F.element_at(path, -1))["gov"]
+    step = lambda path, _: F.when((gov(path) >= 0) & (gov(path) < F.size(deps)) & ~F.array_contains(path, gov(path)), F.concat(path, F.array(gov(path)))).otherwise(path)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(deps), F.lit(1))), begin, step)
+
+
+def rerooted(deps: Column, at: Column, path: Column) -> Column:
+    """The list with token ``at`` as its root: arcs on the way from it to the old root (``path``,
+    of path_up(), best a column of its own) are reversed and their relations end in ``_rev``."""
+
+    def turned(d: Column, i: Column) -> Column:
+        below = F.get(path, F.array_position(path, i.cast("int")).cast("int") - 2)
+        rel = F.concat(F.get(deps, below)["rel"], F.lit("_rev"))
+        moved = F.struct(rel.alias("rel"), below.alias("gov"))
+        return F.when(i == at, F.struct(F.lit("root").alias("rel"), F.lit(-1).alias("gov"))).when(F.array_contains(path, i.cast("int")), moved).otherwise(d)
+
+    return F.transform(deps, turned)
+
+
 def formatted(words: Column, deps: Column) -> Column:
     """``word/gov`` of each token, governors from 1, behind a ROOT entry; null slots govern -1."""
     return F.concat(F.array(F.lit("ROOT/-1")), F.zip_with(words, deps, lambda w, d: F.concat(F.lower(w), F.lit("/"), F.coalesce(d["gov"] + 1, F.lit(-1)).cast("string"))))
@@ -82,11 +107,12 @@ def tree_nodes(text: str | None) -> list[tuple]:
     place among its parent's children; the root's parent is -1.  Leaves are not nodes; a text
     without brackets has none."""
     nodes, stack, leaves, expect = [], [], 0, False
+    born: dict[int, int] = {}
     for token in _BRACKET.findall(text or ""):
         if token == "(":
             expect = True
             parent = stack[-1] if stack else -1
-            child = sum(1 for n in nodes if n[1] == parent)
+            child = born[parent] = born.get(parent, -1) + 1
             nodes.append([len(nodes), parent, "", leaves, leaves, child])
             stack.append(len(nodes) - 1)
         elif token == ")":

@@ -192,9 +192,9 @@ SELECT grp AS conv_id, pair_id, label, conf, row_number() OVER (PARTITION BY lab
 def _(spark, sf_dir):
     """Pairs of turns whose guesses agree and one of whose markers is known for that class; the 30
     surest of each class.  The guess is a fixed rule, so that the query needs no model."""
-    rows = sides(spark, sf_dir).withColumn("w", text.tokens(F.col("text"))).withColumn("hits", phrases.hits(F.col("w"), ALL))
-    first = F.array_min(F.transform("hits", lambda h: F.struct(h["pos"].alias("p"), (-h["n"]).alias("m"), h["phrase"].alias("phrase"))))["phrase"]
-    rows = rows.select("group", "ord", first.alias("phrase"), (F.size("w") % 2).alias("pred"), ((F.char_length("text") % 50 + 1) / 51.0).alias("conf"))
+    turns = sides(spark, sf_dir).withColumn("w", text.tokens(F.col("text")))
+    met = phrases.met_phrases(turns, ALL, "group", "ord", words="w").groupBy("group", "ord").agg(F.min_by("phrase", F.col("pos") * 10 - F.col("n")).alias("phrase"))
+    rows = turns.join(met, ["group", "ord"], "left").select("group", "ord", "phrase", (F.size("w") % 2).alias("pred"), ((F.char_length("text") % 50 + 1) / 51.0).alias("conf"))
     p = datasets.consecutive_pairs(rows, group="group", order="ord", keep=F.lit(True), columns=["phrase", "pred", "conf"])
     known = spark.createDataFrame([(c, x) for c, n in ((0, "possible_notcausal"), (1, "possible_reason")) for x in markers.phrases(n)], "cls int, phrase string")
     kept = datasets.agreeing(p, known).select(F.struct("group", "pair_id").alias("key"), F.col("pred_a").alias("label"), F.round("conf", 6).alias("conf"))
@@ -242,24 +242,34 @@ def _(spark, sf_dir):
     return a.join(b, ["group", "token"]).select(F.col("group").alias("conv_id"), "token", "a", "b")
 
 
-SYNTH = """dep AS (SELECT doc_id, sent_idx, pos, n, len(w) AS size, unnest(range(len(w))) AS i FROM points)"""
+#: dep(doc_id, sent_idx, pos, n, size, root, i, rel, gov): the synthetic parse of parsed(), rel
+#: and gov null where a token has no entry.
+SYNTH = """tk AS (SELECT doc_id, sent_idx, pos, n, len(w) AS size, (len(w) - 1) // 2 AS root, unnest(range(len(w))) AS i FROM points),
+dep AS (SELECT *, CASE WHEN i = root THEN 'root' WHEN i % 11 < 10 THEN ['nsubj', 'dobj', 'advmod', 'compound', 'iobj'][1 + i % 5] END AS rel,
+  CASE WHEN i = root THEN -1 WHEN i % 11 = 10 THEN NULL WHEN i < root AND i % 2 = 0 THEN i + 1 WHEN i > root AND i % 3 > 0 THEN i - 1 ELSE root END AS gov FROM tk)"""
 
 
 def parsed(spark, sf_dir):
-    """Data points with a synthetic parse: each token hangs on the one before, the first is the
-    root; relations go by position.  It stands in for parses, which the tables lack."""
+    """Data points with a synthetic parse, which stands in for parses, as the tables have none:
+    the middle token is the root, others hang on a neighbour or on the root by their place, some
+    have no entry, and relations go by place."""
     names = F.array(*map(F.lit, ("nsubj", "dobj", "advmod", "compound", "iobj")))
-    rel = lambda i: F.when(i == 0, "root").otherwise(F.element_at(names, (i % 5 + 1).cast("int")))
-    deps = F.transform("words", lambda w, i: F.struct(rel(i).alias("rel"), (i - 1).cast("int").alias("gov")))
-    return points(spark, sf_dir).withColumn("deps", deps)
+    middle = F.floor((F.size("words") - 1) / 2).cast("int")
 
+    def one(i):
+        rel = F.when(i == middle, "root").otherwise(F.element_at(names, (i % 5 + 1).cast("int")))
+        gov = F.when(i == middle, -1).when((i < middle) & (i % 2 == 0), i + 1).when((i > middle) & (i % 3 > 0), i - 1).otherwise(middle)
+        return F.when((i == middle) | (i % 11 < 10), F.struct(rel.alias("rel"), gov.cast("int").alias("gov")))
 
-REL = "CASE WHEN i = 0 THEN 'root' ELSE ['nsubj', 'dobj', 'advmod', 'compound', 'iobj'][1 + i % 5] END"
+    return points(spark, sf_dir).withColumn("deps", F.transform("words", lambda w, i: one(i)))
 
 
-@query("dependency_split", f"""WITH {POINTS}, {SYNTH}, c AS (SELECT *, {REL} AS rel FROM dep), x AS (SELECT doc_id, sent_idx, i, pos,
-  CASE WHEN i = 0 AND pos > 0 THEN 'root' WHEN i = pos OR i = 0 THEN 'root' ELSE rel END AS rel, CASE WHEN i = 0 OR i = pos THEN -1 WHEN i < pos THEN i - 1 ELSE i - pos - 1 END AS gov FROM c)
-SELECT doc_id, sent_idx, i >= pos AS in_curr, CASE WHEN i >= pos THEN i - pos ELSE i END AS k, rel, gov FROM x""")
+@query("dependency_split", f"""WITH {POINTS}, {SYNTH},
+c AS (SELECT *, i >= pos AS in_curr, CASE WHEN i >= pos THEN pos ELSE 0 END AS lo, CASE WHEN i >= pos THEN size ELSE pos END AS hi FROM dep),
+d AS (SELECT *, gov < 0 OR (gov >= lo AND gov < hi) AS inside FROM c),
+e AS (SELECT *, min(CASE WHEN NOT inside THEN i END) OVER p AS lost, coalesce(bool_or(inside AND rel = 'root') OVER p, false) AS rooted FROM d WINDOW p AS (PARTITION BY doc_id, sent_idx, in_curr))
+SELECT doc_id, sent_idx, in_curr, i - lo AS k, CASE WHEN NOT rooted AND i = coalesce(lost, lo) THEN 'root' WHEN inside THEN rel END AS rel,
+  CASE WHEN NOT rooted AND i = coalesce(lost, lo) THEN -1 WHEN inside THEN CASE WHEN gov < 0 THEN -1 ELSE gov - lo END END AS gov FROM e""")
 def _(spark, sf_dir):
     p = parsed(spark, sf_dir)
     n = F.size("words")
@@ -268,24 +278,35 @@ def _(spark, sf_dir):
     return each.select("doc_id", "sent_idx", "in_curr", "k", "x.rel", "x.gov")
 
 
-@query("root_and_arguments", f"WITH {POINTS} SELECT doc_id, sent_idx, CAST(0 AS BIGINT) AS root, CASE WHEN len(w) > 1 THEN 1 ELSE 0 END AS n_children FROM points")
+@query("root_and_arguments", f"WITH {POINTS}, {SYNTH} SELECT doc_id, sent_idx, any_value(root) AS root, count(*) FILTER (gov = root) AS n_children FROM dep GROUP BY 1, 2")
 def _(spark, sf_dir):
     p = parsed(spark, sf_dir).withColumn("root", trees.root(F.col("deps")))
     return p.select("doc_id", "sent_idx", "root", F.size(trees.children(F.col("deps"), F.col("root"))).alias("n_children"))
 
 
-@query("events_arguments", f"WITH {POINTS}, {SYNTH} SELECT doc_id, sent_idx, i - 1 AS head, {REL} AS rel, CAST(i AS VARCHAR) AS args FROM dep WHERE i > 0 AND {REL} IN ('nsubj', 'dobj', 'iobj')")
+@query("events_arguments", f"WITH {POINTS}, {SYNTH} SELECT doc_id, sent_idx, gov AS head, rel, string_agg(i, ',' ORDER BY i) AS args FROM dep WHERE rel IN ('nsubj', 'dobj', 'iobj') GROUP BY 1, 2, 3, 4")
 def _(spark, sf_dir):
     a = trees.arguments(parsed(spark, sf_dir), ["doc_id", "sent_idx"])
     return a.select("doc_id", "sent_idx", "head", "rel", F.array_join(F.col("args").cast("array<string>"), ",").alias("args"))
 
 
-@query("compounds", f"WITH {POINTS}, {SYNTH} SELECT doc_id, sent_idx, i - 1 AS head, CAST(i AS VARCHAR) AS tokens FROM dep WHERE i > 0 AND {REL} = 'compound'")
+@query("compounds", f"WITH {POINTS}, {SYNTH} SELECT doc_id, sent_idx, gov AS head, string_agg(i, ',' ORDER BY i) AS tokens FROM dep WHERE rel = 'compound' GROUP BY 1, 2, 3")
 def _(spark, sf_dir):
     c = trees.compounds(parsed(spark, sf_dir), ["doc_id", "sent_idx"])
     return c.select("doc_id", "sent_idx", "head", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
 
 
+@query("rerooted_dependencies", f"""WITH RECURSIVE {POINTS}, {SYNTH},
+up AS (SELECT doc_id, sent_idx, CAST(0 AS BIGINT) AS k, CAST(pos AS BIGINT) AS node, CAST(NULL AS BIGINT) AS below, CAST(NULL AS VARCHAR) AS below_rel FROM points
+  UNION ALL SELECT u.doc_id, u.sent_idx, u.k + 1, d.gov, u.node, d.rel FROM up u JOIN dep d ON d.doc_id = u.doc_id AND d.sent_idx = u.sent_idx AND d.i = u.node WHERE d.gov >= 0)
+SELECT d.doc_id, d.sent_idx, d.i, CASE WHEN i = pos THEN 'root' WHEN u.k > 0 THEN below_rel || '_rev' ELSE rel END AS rel, CASE WHEN i = pos THEN -1 WHEN u.k > 0 THEN below ELSE gov END AS gov
+FROM dep d LEFT JOIN up u ON u.doc_id = d.doc_id AND u.sent_idx = d.sent_idx AND u.node = d.i""")
+def _(spark, sf_dir):
+    p = parsed(spark, sf_dir).withColumn("path", trees.path_up(F.col("deps"), F.col("pos"))).select("doc_id", "sent_idx", "pos", "deps", F.explode(F.array("path")).alias("path"))
+    each = p.select("doc_id", "sent_idx", F.posexplode(trees.rerooted(F.col("deps"), F.col("pos"), F.col("path"))).alias("i", "d"))
+    return each.select("doc_id", "sent_idx", "i", "d.rel", "d.gov")
+
+
 @query("tree_siblings", f"WITH {POINTS} SELECT doc_id, sent_idx, 'NP' AS label, CASE WHEN pos > 0 THEN 'VP' ELSE '' END AS beside, CAST(CASE WHEN pos > 0 THEN pos ELSE len(curr) END AS BIGINT) AS leaves FROM points")
 def _(spark, sf_dir):
     """Bracketed trees made of the two parts of each data point, as nodes and siblings."""

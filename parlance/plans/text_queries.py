@@ -1,6 +1,5 @@
 """Queries over texts: tokens, sentences, n-grams, markers, segments and windows."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parlance.functions import markers, text
@@ -47,11 +46,7 @@ u AS (SELECT DISTINCT doc_id, 1 AS n, a AS gram FROM g UNION ALL SELECT DISTINCT
 SELECT CAST(n AS BIGINT) AS n, gram, count(*) AS df FROM u GROUP BY n, gram QUALIFY row_number() OVER (PARTITION BY n ORDER BY df DESC, gram) <= 100""",
 )
 def _(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", text.tokens(F.col("text")).alias("w"))
-    per = F.array(*(F.struct(F.lit(n).alias("n"), F.array_distinct(text.grams(F.col("w"), n)).alias("grams")) for n in (1, 2, 3)))
-    each = rows.select(F.inline(per)).select("n", F.explode("grams").alias("gram"))
-    counts = each.groupBy("n", "gram").agg(F.count("*").alias("df"))
-    return counts.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("df"), "gram"))).where("r <= 100").drop("r")
+    return phrases.frequent_grams(documents(spark, sf_dir), 100)
 
 
 @query(

@@ -154,18 +154,16 @@ def _(spark, sf_dir):
 @query("interaction_features", f"""WITH {FEATS}, l AS (SELECT doc_id, sent_idx, unnest(f) AS feature FROM ft)
 SELECT doc_id, sent_idx, a.feature || '_' || b.feature AS feature, CAST(1 AS DOUBLE) AS value FROM l a JOIN l b USING (doc_id, sent_idx) WHERE contains(a.feature, 'connective') AND contains(b.feature, '2_unistem')""")
 def _(spark, sf_dir):
-    f = stems(spark, sf_dir).withColumn("features", features.interactions(F.col("features"), "connective", "2_unistem"))
-    return features.long_form(f, "doc_id", "sent_idx")
+    return features.interaction_rows(stems(spark, sf_dir), "connective", "2_unistem", "doc_id", "sent_idx")
 
 
-@query("stem_pair_features", f"""WITH {POINTS}, a AS (SELECT doc_id, sent_idx, unnest(list_distinct(list_reverse(prev)[1:5])) AS x FROM points), b AS (SELECT doc_id, sent_idx, unnest(list_distinct(post[1:5])) AS y FROM points)
+@query("stem_pair_features", f"""WITH {POINTS}, a AS (SELECT doc_id, sent_idx, unnest(list_distinct(prev)) AS x FROM points), b AS (SELECT doc_id, sent_idx, unnest(list_distinct(post)) AS y FROM points)
 SELECT doc_id, sent_idx, x || '_' || y AS feature FROM a JOIN b USING (doc_id, sent_idx)""")
 def _(spark, sf_dir):
-    return features.word_pairs(points(spark, sf_dir), 5, "doc_id", "sent_idx")
+    return features.word_pairs(points(spark, sf_dir), "doc_id", "sent_idx")
 
 
-@query("ordered_word_pairs", f"""WITH {POINTS}, k AS (SELECT doc_id, sent_idx, unnest(curr[1:6]) AS w, unnest(range(len(curr[1:6]))) AS i FROM points)
+@query("ordered_word_pairs", f"""WITH {POINTS}, k AS (SELECT doc_id, sent_idx, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM points)
 SELECT a.doc_id, a.sent_idx, a.w || '_' || b.w AS feature, count(*) AS n FROM k a JOIN k b USING (doc_id, sent_idx) WHERE a.i <> b.i GROUP BY 1, 2, 3""")
 def _(spark, sf_dir):
-    p = points(spark, sf_dir).withColumn("head", F.slice("curr", 1, 6))
-    return p.select("doc_id", "sent_idx", F.explode(features.ordered_pairs(F.col("head"))).alias("feature")).groupBy("doc_id", "sent_idx", "feature").agg(F.count("*").alias("n"))
+    return features.ordered_pairs(points(spark, sf_dir), "doc_id", "sent_idx")
