@@ -164,8 +164,9 @@ SEGMENT = 20
 FEW = 64
 #: Turns in which table entries link to one member, before the balls are looked up.
 TURNS = 2
-#: Table entries with more members that are still apart are compared block by block.
-APART = 16
+#: Table entries with more members that are still apart are compared block by block, those whose
+#: members are near others (by complete distance) from the second number on.
+APART, NEAR_APART = 16, 2
 #: Shingles that one task compares in such an entry, on average, at most twice this.
 BLOCK_SHINGLES = 500_000
 _MIX = np.array([0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(WIDE)], np.uint64)
@@ -266,9 +267,10 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
     Candidates share a segment up to one bit or, with few shingles, one of the least shingles.
     First each table entry links its members to one of them, which makes no more pairs than
     entries; then pairs are formed only between what is still apart, in entries with more than
-    ``most`` members within tasks, block by block.  The shingles are made again from texts
-    (content, text), of candidates alone."""
+    ``most`` members, or NEAR_APART that are near others, within tasks, block by block.  The
+    shingles are made again from texts (content, text), of candidates alone."""
     far = allowed_distance(similarity, 64 * WIDE)
+    met_before: list[DataFrame] = []  # nodes near others
 
     def entered(rows: DataFrame, *carried: str) -> DataFrame:
         """Entries of the table; keys of shingles are negative, those of segments are not."""
@@ -280,7 +282,7 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
         return probes(entries.where("key >= 0"), SEGMENT).unionByName(entries.where("key < 0").withColumn("flip", F.lit(0).cast("bigint")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        wanted = small(nodes.select("node", "content").join(small(wanted.distinct()), "node", "left_semi"))
+        wanted = small(nodes.select("node", "content").join(small(wanted), "node", "left_semi"))
         once = texts.join(wanted, "content").dropDuplicates(["content"])
         return stored(once.select("node", shingle_sets(words)(F.col("text")).alias("grams")), "shingles")
 
@@ -292,7 +294,9 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
         distance = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(WIDE)), F.lit(0))
         close = alike & ((F.least("na", "nb") <= FEW) | (distance <= far))
         near = stored(pairs.join(sa, "a").join(sb, "b").where(close).select("a", "b"), "candidates")
-        sets = sets_of(near.select(F.explode(F.array("a", "b")).alias("node")))
+        own = stored(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near")
+        met_before.append(own)
+        sets = sets_of(own)
         ga, gb = (sets.select(F.col("node").alias(c), F.col("grams").alias("g" + c)) for c in "ab")
         common = F.size(F.array_intersect("ga", "gb"))
         return near.join(ga, "a").join(gb, "b").where(common >= needed(F.size("ga") + F.size("gb"), similarity)).select("a", "b")
@@ -313,12 +317,22 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
         spokes = entries.join(hubs.where("apart").select("key", F.col("hub.node").alias("centre"), F.col("hub.joined").alias("whose")), "key")
         roots = joined_by(verified(spokes.where("joined != whose").select(*_pair("node", "centre")).distinct()))
 
-    entries = stored(entered(placed(), "node", "joined", "size"), "entries")
-    asked = asking(entries)
-    hot = stored(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"), "crowded")
+    near = met_before[0]
+    for more in met_before[1:]:
+        near = near.unionByName(more)
+    near = stored(near.distinct().withColumn("near", F.lit(True)), "near")
+
+    def all_entries() -> tuple[DataFrame, DataFrame]:
+        marked = placed().join(small(near), "node", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+        own = stored(entered(marked, "node", "joined", "size", "near"), "entries")
+        return own, asking(own)
+
+    entries, asked = all_entries()
+    counts = entries.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("near"), 1)).alias("n_near"))
+    hot = stored(counts.where((F.col("n") > most) | (F.col("n_near") > min(most, NEAR_APART))).select("key", (F.col("n") > most).alias("whole")), "crowded")
     links = None
     if not hot.isEmpty():
-        members = asked.join(hot, "key").select("key", "node", "joined", "size").distinct()
+        members = asked.join(hot, "key").where("whole or near").select("key", "node", "joined", "size").distinct()
         largest = members.groupBy("key", "joined").agg(F.count("*").alias("n"), F.sum("size").alias("s")).groupBy("key").agg(F.max(F.struct("n", "joined", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("groups")).where("groups > 1")
         share = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
         plan = largest.select("key", F.col("main.joined").alias("whose"), share(F.col("main.n"), F.col("main.s")).alias("mains"), share(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("rests"))
@@ -330,16 +344,16 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
         of_main = F.transform(up_to(F.col("rests")), lambda r: F.struct(r.alias("lo"), (-1 - F.col("block")).alias("hi")))
         dealt = own.select("key", "node", "joined", "rest", F.explode(F.when(F.col("rest"), F.concat(with_main, with_rest)).otherwise(of_main)).alias("blocks"))
         dealt = stored(dealt, "dealt")
-        sets = sets_of(dealt.select("node"))
+        sets = sets_of(dealt.select("node").distinct())
         full = dealt.join(nodes.select("node", "sig"), "node").join(sets, "node")
         links = full.groupBy("key", "blocks").applyInPandas(_joining(far, similarity), "a bigint, b bigint")
         roots = joined_by(links)
-        entries = stored(entered(placed(), "node", "joined", "size"), "entries")
-        asked = asking(entries)
-    know = entries.select("key", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("joined").alias("jb"))
-    know = know.join(hot, "key", "left_anti")
-    ask = asked.select("key", "flip", F.col("node").alias("a"), F.col("size").alias("na"), F.col("joined").alias("ja"))
-    met = ask.join(know, "key").where((F.col("ja") != F.col("jb")) & alike & ((F.col("flip") != 0) | (F.col("a") < F.col("b"))))
+        entries, asked = all_entries()
+    know = entries.select("key", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("joined").alias("jb"), F.col("near").alias("close_b"))
+    know = know.join(hot, "key", "left").where(~F.coalesce("whole", F.lit(False)))  # ``whole`` is null where the entry isn't crowded
+    ask = asked.select("key", "flip", F.col("node").alias("a"), F.col("size").alias("na"), F.col("joined").alias("ja"), F.col("near").alias("close_a"))
+    done = F.col("whole").isNotNull() & F.col("close_a") & F.col("close_b")
+    met = ask.join(know, "key").where((F.col("ja") != F.col("jb")) & alike & ((F.col("flip") != 0) | (F.col("a") < F.col("b"))) & ~done)
     return joined_by(verified(met.select(*_pair("a", "b")).distinct()))
 
 
