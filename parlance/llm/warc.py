@@ -24,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, modest_batches, scratch, stored, table
+from parlance.llm.common import filled, fresh, modest_batches, scratch, stored, table
 
 MIN_REVISIT = 100
-SPLIT_BYTES = 4 << 20
+SPLIT_BYTES = 16 << 20
+#: Groups of equal payloads that are handed to the tasks as a list; more of them are joined.
+MOST_LISTED = 100_000
 BLOCK = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 _LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)", re.I | re.M)
@@ -70,11 +72,25 @@ def page_record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
 def with_revisits(pages: DataFrame, *, key: str = "page_id", payload: str = "html", smallest: int = MIN_REVISIT) -> DataFrame:
     """pages with ``payload_digest`` and ``refers_to``: of rows with equal payloads of at least
     ``smallest`` bytes, all but that of the least key refer to it.  Rows that repeat the least
-    key are responses too.  Null keys come last; a group of null keys alone has no revisits."""
-    rows = pages.withColumn("payload_digest", F.sha2(filled(F.col(payload)).cast("binary"), 256))
-    first = rows.where(F.octet_length(filled(F.col(payload))) >= smallest).groupBy("payload_digest").agg(F.min(key).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    large = F.octet_length(filled(F.col(payload))) >= smallest
-    return rows.join(first, "payload_digest", "left").withColumn("refers_to", F.when(large & ~F.col("__first").eqNullSafe(F.col(key)), F.col("__first"))).drop("__first")
+    key are responses too.  Null keys come last; a group of null keys alone has no revisits.
+    Columns of pages with these two names are replaced.
+
+    Groups are made of keys and digests alone.  If they are few, each row meets its group by a
+    broadcast; else rows meet their own reference by key and digest, which no common payload
+    makes a hot key."""
+    data = filled(F.col(payload)).cast("binary")
+    rows = pages.drop("payload_digest", "refers_to").withColumn("payload_digest", F.sha2(data, 256))
+    narrow = rows.where(F.octet_length(data) >= smallest).select(F.col(key).alias("key"), F.col("payload_digest").alias("digest"))
+    groups = stored(narrow.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "payload-groups")
+    large = F.octet_length(data) >= smallest
+    first, mark, own = fresh(pages, "first"), fresh(pages, "digest"), fresh(pages, "key")
+    if groups.limit(MOST_LISTED + 1).count() <= MOST_LISTED:
+        listed = groups.select(F.col("digest").alias(mark), F.col("first").alias(first))
+        met = rows.join(F.broadcast(listed), F.when(large, F.col("payload_digest")) == F.col(mark), "left")
+        return met.withColumn("refers_to", F.when(~F.col(first).eqNullSafe(F.col(key)), F.col(first))).drop(first, mark)
+    refers = narrow.join(groups, "digest").where(~F.col("first").eqNullSafe(F.col("key"))).distinct()
+    refers = refers.select(F.col("key").alias(own), F.col("digest").alias(mark), F.col("first").alias("refers_to"))
+    return rows.join(refers, F.col(key).eqNullSafe(F.col(own)) & (F.col("payload_digest") == F.col(mark)), "left").drop(own, mark)
 
 
 def write_archives(rows: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -88,17 +104,24 @@ def write_archives(rows: DataFrame, folder: str, *, key: str = "page_id", url: s
         task = TaskContext.get()
         path = f"{root}/part-{task.partitionId():05d}-{task.attemptNumber()}-{uuid.uuid4().hex}.warc.gz"
         out, n = None, 0
-        for batch in batches:
-            if out is None and len(batch):
-                os.makedirs(root, exist_ok=True)
-                out = open(path + ".tmp", "wb")
-                out.write(gzip_member(record_bytes({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": "1970-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, b"software: parlance\r\n")))
-            for page_id, link, data, digest, refers in zip(batch["k"], batch["u"], batch["p"], batch["d"], batch["r"]):
-                out.write(gzip_member(page_record(page_id, link, data, digest, refers)))
-                n += 1
+        try:
+            for batch in batches:
+                if out is None and len(batch):
+                    os.makedirs(root, exist_ok=True)
+                    out = open(path + ".tmp", "wb")
+                    out.write(gzip_member(record_bytes({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": "1970-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, b"software: parlance\r\n")))
+                for page_id, link, data, digest, refers in zip(batch["k"], batch["u"], batch["p"], batch["d"], batch["r"]):
+                    out.write(gzip_member(page_record(page_id, link, data, digest, refers)))
+                    n += 1
+            if out is not None:
+                out.flush()
+                os.fsync(out.fileno())
+        except BaseException:
+            if out is not None:
+                out.close()
+                os.remove(path + ".tmp")
+            raise
         if out is not None:
-            out.flush()
-            os.fsync(out.fileno())
             out.close()
             os.rename(path + ".tmp", path)
             yield pd.DataFrame({"path": [path], "bytes": [os.path.getsize(path)], "records": [n]})
@@ -108,9 +131,11 @@ def write_archives(rows: DataFrame, folder: str, *, key: str = "page_id", url: s
 
 
 def splits(files: DataFrame, size: int = SPLIT_BYTES) -> DataFrame:
-    """(path, start, stop) byte ranges of files, each in a partition of its own as far as may be."""
+    """(path, start, stop) byte ranges of files, a task for each: as many partitions as ranges,
+    which adaptive execution leaves as they are, dealt in turn."""
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(size).cast("bigint"))).alias("start"))
-    return ranges.select("path", "start", F.least(F.col("bytes"), F.col("start") + size).alias("stop")).repartition("path", "start")
+    count = files.where("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / size))).first()[0] or 1
+    return ranges.select("path", "start", F.least(F.col("bytes"), F.col("start") + size).alias("stop")).repartition(int(count))
 
 
 class _Window:
