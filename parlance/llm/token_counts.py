@@ -4,24 +4,26 @@ A cache table keeps (content digest, tokenizer digest) -> number of tokens.  A r
 digests of its normalised contents (null becomes the empty string; nothing else may change, as
 byte-level tokens depend on every byte) to the table, encodes only the distinct contents that it
 misses, appends them, and joins the counts back to all rows.  Text is shuffled once, for the
-misses alone; the join that gives each row its count moves digests only.
+misses alone; the join that gives each row its count moves digests only, and digests of very many
+rows, of which there can be but few, meet theirs by a broadcast.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import re
+import os
 
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, modest_batches, scratch, table
+from parlance.llm.common import filled, fresh, modest_batches, scratch, small, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
-_BEYOND = re.compile(r"[^\x00-\u024f]")
+#: Rows of a digest from which on it meets its count by a broadcast.
+HOT = 1000
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
 
 
@@ -35,67 +37,59 @@ def tokenizer_digest(name: str) -> str:
 
 
 @functools.cache
-def _encoders(name: str):
-    """The tokenizer, a faster encoder of the same vocabulary (None where there is none), and the
-    strings of special tokens."""
-    import base64
-    import os
-
-    import tiktoken
+def _tokenizer(name: str):
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    path = public_tokenizers.path(name)
-    exact = Tokenizer.from_file(path)
-    exact.no_truncation()
-    exact.no_padding()
-    specials = [t.content for t in exact.get_added_tokens_decoder().values()]
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    fast = None
-    if os.path.exists(ranks):
-        with open(ranks, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return exact, fast, specials
-
-
-def count_text(text: str, name: str = TOKENIZER) -> int:
-    """Tokens of one text.  Texts with characters beyond Latin letters or with special strings go
-    to the tokenizer itself, the others to the faster encoder of the same vocabulary."""
-    exact, fast, specials = _encoders(name)
-    if fast is None or _BEYOND.search(text) or any(s in text for s in specials):
-        return len(exact.encode(text, add_special_tokens=False).ids)
-    return len(fast.encode_ordinary(text))
+    own = Tokenizer.from_file(public_tokenizers.path(name))
+    own.no_truncation()
+    own.no_padding()
+    return own
+
+
+def count_texts(texts: list[str], name: str = TOKENIZER) -> list[int]:
+    """Tokens of whole texts, as the vocabulary file's library gives them."""
+    return [len(e) for e in _tokenizer(name).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _counter(name: str):
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([count_text(t, name) for t in texts], dtype="int64")
+        out: list[int] = []
+        for k in range(0, len(texts), 64):
+            out += count_texts(texts.iloc[k : k + 64].tolist(), name)
+        return pd.Series(out, dtype="int64")
 
     return count
 
 
-def token_counts(docs: DataFrame, cache_path: str, *, text: str = "text", tokenizer: str = TOKENIZER, out: str = "n_tokens") -> DataFrame:
+def token_counts(docs: DataFrame, cache_path: str, *, text: str = "text", tokenizer: str = TOKENIZER, out: str = "n_tokens", hot: int = HOT) -> DataFrame:
     """docs' other columns, without the text, and ``out``: the tokens of the whole text (null:
     of the empty text, 0), from the cache at ``cache_path``, which grows by the distinct contents
     it lacked.  Repeated rows stay; an empty table gives an empty one.  A cache that holds a
-    digest twice (two runs appended at once) counts it once.  Columns of docs named like the
-    internal ones (``__digest``) or like ``out`` are replaced."""
+    digest twice (two runs appended at once) counts it once.  A column of docs named like ``out``
+    is replaced, all others stay, whatever their names."""
     modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    mark, count = fresh(docs, "digest"), fresh(docs, "count")
 
     def known() -> DataFrame:
         rows = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version)
-        return rows.groupBy(F.col("content_digest").alias("__digest")).agg(F.max("n_tokens").alias("__count"))
+        return rows.groupBy(F.col("content_digest").alias(mark)).agg(F.max("n_tokens").alias(count))
 
     digest = F.unhex(F.sha2(filled(F.col(text)).cast("binary"), 256))
-    misses = docs.select(digest.alias("__digest"), filled(F.col(text)).alias("__text")).join(known().select("__digest"), "__digest", "left_anti").dropDuplicates(["__digest"])
-    misses.select(F.col("__digest").alias("content_digest"), F.lit(version).alias("tokenizer_digest"), _counter(tokenizer)("__text").alias("n_tokens")).write.mode("append").parquet(cache_path)
-    keyed = docs.withColumn("__digest", digest).drop(text, out)
-    return keyed.join(known(), "__digest", "left").withColumn(out, F.col("__count")).drop("__digest", "__count")
+    misses = docs.select(digest.alias(mark), filled(F.col(text)).alias("text")).join(known().select(mark), mark, "left_anti").dropDuplicates([mark])
+    misses.select(F.col(mark).alias("content_digest"), F.lit(version).alias("tokenizer_digest"), _counter(tokenizer)("text").alias("n_tokens")).write.mode("append").parquet(cache_path)
+    keyed = stored(docs.withColumn(mark, digest).drop(text, out), "digests")
+    often = keyed.groupBy(mark).agg(F.count("*").alias("n")).where(F.col("n") >= hot).select(mark)
+    listed = stored(often.join(known(), mark), "common-digests")
+    if listed.isEmpty():
+        return keyed.join(known(), mark, "left").withColumn(out, F.col(count)).drop(mark, count)
+    met = keyed.join(small(listed), mark, "left")  # at most 1 / hot of all rows, broadcast if few
+    rest = met.where(F.col(count).isNull()).drop(count).join(known(), mark, "left")
+    return met.where(F.col(count).isNotNull()).unionByName(rest).withColumn(out, F.col(count)).drop(mark, count)
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
