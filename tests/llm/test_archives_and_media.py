@@ -50,8 +50,29 @@ def test_warc_empty(spark, tmp_path):
     assert warc.read_archives(files).count() == 0
 
 
+def test_warc_splits_make_tasks(spark):
+    files = spark.range(10).select(F.concat(F.lit("f"), "id").alias("path"), F.lit(16 << 20).cast("bigint").alias("bytes"))
+    for size, want in ((1 << 20, 160), (16 << 20, 10), (64 << 20, 10)):
+        ranges = warc.splits(files, size)
+        held = ranges.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"))
+        assert ranges.rdd.getNumPartitions() == want == ranges.count() and held.agg(F.max("n")).first()[0] <= 10
+
+
+def test_revisits_listed_and_joined(spark, monkeypatch):
+    rows = [(i, ("x" if i % 3 else "y") * (200 if i < 9 else 50), 7, 8) for i in range(12)] + [(None, "x" * 200, 7, 8), (1, "x" * 200, 7, 8)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, __first long, refers_to long")
+    got = []
+    for most in (100, 0):
+        monkeypatch.setattr(warc, "MOST_LISTED", most)
+        out = warc.with_revisits(pages)
+        assert all(r["__first"] == 7 for r in out.collect()) and out.count() == len(rows)
+        got.append(sorted((str(r["page_id"]), str(r["refers_to"])) for r in out.collect()))
+    want = sorted((str(i), str(1 if h[0] == "x" else 0) if len(h) >= 100 and i not in (0, 1) else "None") for i, h, _, _ in rows)
+    assert got[0] == got[1] == want
+
+
 def test_token_counts(spark, docs):
-    exact = token_counts._encoders(token_counts.TOKENIZER)[0]
+    exact = token_counts._tokenizer(token_counts.TOKENIZER)
     cache = scratch(spark, "cache")
     want = {i: len(exact.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(TEXTS)}
     for _ in range(2):  # the second run finds all in the cache
@@ -62,6 +83,29 @@ def test_token_counts(spark, docs):
     assert token_counts.token_counts(docs.where("false"), cache).count() == 0
 
 
+def test_token_counts_of_common_texts(spark):
+    """Digests of many rows, clashing names, and a query run twice."""
+    rows = [(i, "same text" if i % 2 else f"text {i}", 1, 2, 3) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __digest long, __count long, n long")
+    want = {i: n for i, n in zip(range(40), token_counts.count_texts([t for _, t, *_ in rows]))}
+    cache = scratch(spark, "cache")
+    for hot in (5, 1000):
+        got = token_counts.token_counts(docs, cache, hot=hot).collect()
+        assert {r["doc_id"]: r["n_tokens"] for r in got} == want and all((r["__digest"], r["__count"], r["n"]) == (1, 2, 3) for r in got)
+    assert spark.read.parquet(cache).count() == 21
+
+
+def test_bpe_memos_are_bounded(spark, docs, monkeypatch):
+    own = byte_bpe.encoder(byte_bpe.VOCABULARY)
+    monkeypatch.setattr(byte_bpe, "MEMO_BYTES", 2000)
+    want = [byte_bpe.encode_text(t or "") for t in TEXTS]
+    assert own.held < 2000 + sum(len(t or "") * 8 + 400 * len((t or "").split()) for t in TEXTS)
+    own.forget()
+    assert not own.spaced and not own.bare and not own.held
+    assert [byte_bpe.encode_text(t or "") for t in TEXTS] == want
+    assert byte_bpe.encoded(docs.where("false"), decoded="d").count() == 0 == media.media_column(docs.where("false")).count()
+
+
 def test_bpe_like_the_library(spark, docs):
     import public_tokenizers
     import tiktoken
