@@ -21,14 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.  Where the session has none
-    (tests on one machine) a temporary folder becomes the checkpoint folder."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Where the session has none, a
+    temporary folder becomes the checkpoint folder if all runs in one local process, as in tests;
+    on a cluster that raises."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = sc.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")
@@ -45,7 +48,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table of a stored() frame that nothing reads any more.  Other tables stay until
+    the shared folder is cleared, as results are lazy and may read them."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointable(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, modest_batches, small, stored, table
+from parlance.llm.common import filled, forget, modest_batches, small, stored, table
 
 SEED = 42
 #: Table entries with more fingerprints than this go the second way.
@@ -123,7 +123,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a != b").distinct(), "edges")
+        last, edges = edges, stored(small.where("a != b").distinct(), "edges")
+        forget(last)
         now = state(edges)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -602,20 +602,3 @@ def test_held_out(spark):
     df = spark.createDataFrame([(i,) for i in range(30)] + [(None,)], "doc_id long")
     for r in df.select("doc_id", held_out(F.col("doc_id")).alias("h")).collect():
         assert r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    seen = [docs]
-    for _, stage in corpus_pipeline.STAGES:
-        seen.append(stage(spark, seen[-1], sf))
-    assert all(d.columns == docs.columns for d in seen[:-1])
-    out = seen[-1].collect()
-    assert out and all(r["exact"] for r in out) and max(Counter(r["doc_id"] for r in out).values()) <= 2
-    empty = docs.where("false")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        empty = stage(spark, empty, sf)
-        assert empty.count() == 0
