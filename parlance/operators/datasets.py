@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions.cluster import few
 from parlance.functions.text import alpha_key
 
 CELLS = 256
@@ -104,9 +105,12 @@ def agreeing(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """pairs (pair_id, phrase_a, phrase_b, pred_a, pred_b, conf_a, conf_b) whose predictions agree
     and one of whose phrases is known for that class (known: cls, phrase), with ``conf``, the
     harmonic mean of the absolute confidences."""
-    seen = F.broadcast(known.select(F.col("cls").alias("__c"), F.col("phrase").alias("__p")).distinct())
-    same = pairs.where("pred_a = pred_b")
-    kept = same.join(seen, (F.col("pred_a") == F.col("__c")) & ((F.col("phrase_a") == F.col("__p")) | (F.col("phrase_b") == F.col("__p"))), "left_semi")
+    seen = few(known.select(F.col("cls").alias("__c"), F.col("phrase").alias("__p")).distinct())
+    kept = pairs.where("pred_a = pred_b")
+    for side in "ab":
+        own = seen.select(F.col("__c").alias(f"__c{side}"), F.col("__p").alias(f"__p{side}"))
+        kept = kept.join(own, (F.col("pred_a") == F.col(f"__c{side}")) & (F.col(f"phrase_{side}") == F.col(f"__p{side}")), "left")
+    kept = kept.where("__pa is not null or __pb is not null").drop("__ca", "__pa", "__cb", "__pb")
     a, b = F.abs("conf_a"), F.abs("conf_b")
     return kept.withColumn("conf", 2 * a * b / F.nullif(a + b, F.lit(0.0)))
 

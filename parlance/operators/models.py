@@ -33,6 +33,15 @@ def pipeline(kind: str, *, features: str = "tokens", size: int = 1 << 14, centre
     return Pipeline(stages=[*stages, CLASSIFIERS[kind](**params)])
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """Writes a fitted pipeline, in place of an older one."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def scores(model: PipelineModel, rows: DataFrame, *by: str) -> DataFrame:
     """Confusion counts and metrics of label 1."""
     done = model.transform(rows)

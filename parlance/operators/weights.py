@@ -68,9 +68,9 @@ def tfkld(pairs: DataFrame) -> DataFrame:
     """(feature, weight) of pairs (label 0 / 1, a, b), arrays of features: how much sharing a
     feature tells about the label.  Counts start at 1.05 for shared and for unshared."""
     once = pairs.select("label", F.array_distinct("a").alias("a"), F.array_distinct("b").alias("b"))
-    each = once.select("label", F.explode(F.transform(F.array_union("a", "b"), lambda w: w)).alias("feature"), "a", "b")
-    shared = F.array_contains("a", F.col("feature")) & F.array_contains("b", F.col("feature"))
-    n = each.withColumn("s", shared).groupBy("feature").agg(*(F.sum(F.when((F.col("s") == bool(s)) & (F.col("label") == y), 1).otherwise(0)).alias(f"n{s}{y}") for s in (0, 1) for y in (0, 1)))
+    marked = lambda part, both: F.transform(part, lambda w: F.struct(w.alias("feature"), F.lit(both).alias("s")))
+    each = once.select("label", F.inline(F.concat(marked(F.array_intersect("a", "b"), True), marked(F.array_except("a", "b"), False), marked(F.array_except("b", "a"), False))))
+    n = each.groupBy("feature").agg(*(F.sum(F.when((F.col("s") == bool(s)) & (F.col("label") == y), 1).otherwise(0)).alias(f"n{s}{y}") for s in (0, 1) for y in (0, 1)))
     c = {k: F.col(k) + 1.05 for k in ("n00", "n01", "n10", "n11")}
     terms = []
     for s in (0, 1):

@@ -28,7 +28,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """(file, title, idx, line, spans, clean) of annotation files.  A file's title is its first
     ``Title:`` line; lines without a number are left out."""
     rows = spark.read.text(path).withColumn("file", F.input_file_name())
-    titles = rows.where(F.col("value").startswith("Title:")).groupBy("file").agg(F.min(F.trim(F.substring("value", 7, 10_000))).alias("title"))
+    titles = rows.where(F.col("value").startswith("Title:")).groupBy("file").agg(F.min(F.trim(F.expr("substring(value, 7)"))).alias("title"))
     numbered = rows.withColumn("idx", F.expr(r"try_cast(regexp_extract(value, '^(\\d+):', 1) as int)")).where("idx is not null").withColumn("line", F.regexp_replace("value", r"^\d+:\s*", ""))
     out = numbered.join(F.broadcast(titles), "file", "left") if titles.limit(100_001).count() <= 100_000 else numbered.join(titles, "file", "left")
     return out.select("file", "title", "idx", "line", marked_spans(F.col("line")).alias("spans"), unmarked(F.col("line")).alias("clean"))

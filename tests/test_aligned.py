@@ -99,3 +99,30 @@ def test_lookups(spark):
     rows = spark.createDataFrame([(1,), (2,), (None,)], "id long")
     ids = [("x", rows.where("id = 1")), ("y", rows)]
     assert sorted(r["subset"] for r in lookups.subset_of(rows, ids, "id").collect()) == ["rest", "x", "y"]
+
+
+def test_models_come_back(spark, tmp_path):
+    from parlance.operators import models
+
+    rows = spark.createDataFrame([(["bad", "word"], 1.0), (["good"], 0.0), (["bad"], 1.0), (["fine"], 0.0)], "tokens array<string>, label double")
+    model = models.pipeline("logistic_regression", size=64).fit(rows)
+    models.save(model, str(tmp_path / "m"))
+    models.save(model, str(tmp_path / "m"))
+    again = models.load(str(tmp_path / "m"))
+    assert [r["prediction"] for r in again.transform(rows).collect()] == [r["prediction"] for r in model.transform(rows).collect()] == [1.0, 0.0, 1.0, 0.0]
+
+
+def test_components_like_an_eigendecomposition(spark):
+    import numpy as np
+
+    from parlance.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r["rank"]: r for r in QUERIES["principal_components"](spark, sf).collect()}
+    x = np.array([r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()], dtype=float)
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    share = values[::-1] / values.sum()
+    first = min(rows)
+    for k in range(4):
+        assert rows[first + k]["variance"] == pytest.approx(share[k], abs=1e-5)
+        assert abs(rows[first + k]["first"]) == pytest.approx(abs(vectors[0, -1 - k]), abs=1e-4)
