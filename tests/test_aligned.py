@@ -115,7 +115,7 @@ def test_models_come_back(spark, tmp_path):
 def test_components_like_an_eigendecomposition(spark):
     import numpy as np
 
-    from parlance.plans.registry import QUERIES
+    from parlance.plans.catalogue import QUERIES
 
     sf = "/root/testdata/sf0.001"
     rows = {r["rank"]: r for r in QUERIES["principal_components"](spark, sf).collect()}
