@@ -156,3 +156,68 @@ def spanning(own: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     best = exact.groupBy(key, "start", "stop").agg(F.max(F.struct("node", "label", "parent")).alias("m")).select(key, "start", "stop", "m.*")
     up = own.select(key, F.col("node").alias("parent"), F.col("label").alias("parent_label"))
     return best.join(up, [key, "parent"], "left").select(key, "start", "stop", "node", "label", "parent_label")
+
+
+#: Tag prefixes of content words, tags no marker may hold, and first letters of labels that must stand
+#: beside one.  Fixed values.
+CONTENT = ("VB", "NN", "RB", "JJ")
+INVALID = ("NNP", "NNPS", "SYM", ",", "(", ")", '"', "'", ";")
+BESIDE = ("V", "N", "S")
+
+
+def edges(own: DataFrame, key: str, beside: tuple[str, ...] = BESIDE) -> tuple[DataFrame, DataFrame]:
+    """(key, start) and (key, stop): places with a sibling of one of the labels beside them.  A
+    place's node is, on its left, the highest one below the root that begins there (none at the
+    sentence's front) and, on its right, the highest that ends there with a single leaf."""
+    below = own.where("parent >= 0 and stop > first")
+    labels = own.select(F.col(key).alias("k"), F.col("parent").alias("p"), F.col("child").alias("c"), F.substring("label", 1, 1).alias("l")).where(F.col("l").isin(*beside))
+
+    def having(tops: DataFrame, place: str, near: Column) -> DataFrame:
+        top = tops.groupBy(key, F.col(place).alias("place")).agg(F.min(F.struct("node", "parent", "child")).alias("t"))
+        met = top.join(labels, (F.col(key) == F.col("k")) & (F.col("t.parent") == F.col("p")) & near)
+        return met.select(key, "place").distinct()
+
+    left = having(below.where("first > 0"), "first", F.col("c") < F.col("t.child")).withColumnRenamed("place", "start")
+    right = having(below.where("stop - first = 1"), "stop", F.col("c") > F.col("t.child")).withColumnRenamed("place", "stop")
+    return left, right
+
+
+def tree_markers(own: DataFrame, rows: DataFrame, known: list[str], *, key: str = "key", refused: list[str] | None = None, longest: int = 7, strict: bool = False) -> DataFrame:
+    """(key, start, stop, listed): phrases of sentences with a valid sibling on either side.
+
+    own is of nodes(), rows (key, words, tags), a row a sentence.  Phrases of the list, also with a
+    preposition (IN, TO) before or behind, come first, from the longest; then those of up to
+    ``longest`` words, from the shortest, with a content word, without an invalid tag and not
+    refused (single refused words are no content either).  None overlaps one that was taken;
+    without ``strict`` the places that a phrase off the list takes are its first and the one
+    behind it.  A phrase ends before the last word.  Sentences without one have no rows."""
+    refused = [p.lower() for p in refused or []]
+    known = sorted({p.lower() for p in known})
+    most = max([longest, *(len(p.split()) + 1 for p in known)])
+    left, right = edges(own, key)
+    ends = left.withColumn("stop", F.explode(F.sequence(F.col("start") + 1, F.col("start") + most)))
+    places = ends.join(right, [key, "stop"]).join(rows.select(key, "words", "tags"), key).where(F.col("stop") < F.size("words"))
+    n = F.col("stop") - F.col("start")
+    words, tags = F.slice(F.transform("words", lambda w: F.lower(w)), F.col("start") + 1, n), F.slice("tags", F.col("start") + 1, n)
+    spans = places.select(key, "start", "stop", words.alias("w"), tags.alias("t"))
+    listed = F.array(*map(F.lit, known))
+    has = lambda w: F.array_contains(listed, F.array_join(w, " "))
+    size = F.size("w")
+    loose = lambda t: t.isin("IN", "TO")
+    shorter = (size > 1) & (has(F.slice("w", F.lit(1), size - 1)) & loose(F.element_at("t", -1)) | has(F.slice("w", F.lit(2), size - 1)) & loose(F.get("t", F.lit(0))))
+    content = F.exists(F.arrays_zip("w", "t"), lambda z: F.substring(z["t"], 1, 2).isin(*CONTENT) & ~z["w"].isin(*refused, ""))
+    other = (size <= longest) & ~F.exists("t", lambda t: t.isin(*INVALID)) & content & ~F.array_join("w", " ").isin(*refused, "")
+    marked = spans.withColumns({"listed": F.coalesce(has(F.col("w")) | shorter, F.lit(False)), "other": F.coalesce(other, F.lit(False))})
+    both = F.array(F.struct(F.lit(True).alias("listed"), F.col("listed").alias("ok")), F.struct(F.lit(False).alias("listed"), F.col("other").alias("ok")))
+    each = marked.select(key, "start", "stop", F.inline(both)).where("ok")
+    order = F.when(F.col("listed"), F.col("start") - F.col("stop")).otherwise(F.col("stop") - F.col("start")).alias("by")
+    held = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((~F.col("listed")).alias("later"), order, "start", "stop"))).alias("spans"))
+    empty = F.expr("named_struct('used', cast(array() as array<int>), 'kept', cast(array() as array<struct<later:boolean,start:int,stop:int>>))")
+
+    def take(state: Column, s: Column) -> Column:
+        own_places = F.sequence(s["start"], s["stop"] - 1)
+        takes = F.when(s["later"] & ~F.lit(strict), F.array(s["start"], s["stop"])).otherwise(own_places)
+        kept = F.concat(state["kept"], F.array(F.struct(s["later"].alias("later"), s["start"].alias("start"), s["stop"].alias("stop"))))
+        return F.when(F.arrays_overlap(state["used"], own_places), state).otherwise(F.struct(F.concat(state["used"], takes).alias("used"), kept.alias("kept")))
+
+    return held.select(key, F.inline(F.aggregate("spans", empty, take)["kept"])).select(key, "start", "stop", (~F.col("later")).alias("listed"))

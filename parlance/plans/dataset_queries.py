@@ -319,3 +319,21 @@ def _(spark, sf_dir):
     beside = trees.siblings(n, "key", left=False).withColumnRenamed("label", "beside")
     own = n.where("label = 'NP'").join(beside, ["key", "node"])
     return own.select("key.doc_id", "key.sent_idx", "label", "beside", (F.col("stop") - F.col("first")).alias("leaves"))
+
+
+def tagged(spark, sf_dir):
+    """(key, words, tags, tree): data points with tags by the length of words and a tree of three
+    parts, before the marker, the marker and behind it, in place of parses."""
+    tag = lambda w: F.when(F.char_length(w) <= 3, "IN").when(F.char_length(w) <= 6, "NN").otherwise("VBG")
+    part = lambda label, words: F.when(F.size(words) > 0, F.concat(F.lit(f" ({label} "), F.array_join(F.transform(words, lambda w: F.concat(F.lit("("), tag(w), F.lit(" "), w, F.lit(")"))), " "), F.lit(")"))).otherwise("")
+    p = points(spark, sf_dir)
+    tree = F.concat(F.lit("(S"), part("NP", F.col("prev")), part("SBAR", F.col("marker")), part("VP", F.col("post")), F.lit(")"))
+    return p.select(F.struct("doc_id", "sent_idx").alias("key"), "words", F.transform("words", tag).alias("tags"), tree.alias("tree"))
+
+
+@query("tree_markers")
+def _(spark, sf_dir):
+    """Markers beside valid siblings in trees; a fold that a test holds against plain loops."""
+    rows = tagged(spark, sf_dir)
+    found = trees.tree_markers(trees.nodes(rows, "key"), rows, ALL, refused=["the"])
+    return found.select("key.doc_id", "key.sent_idx", "start", "stop", "listed")

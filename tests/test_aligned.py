@@ -126,3 +126,66 @@ def test_components_like_an_eigendecomposition(spark):
     for k in range(4):
         assert rows[first + k]["variance"] == pytest.approx(share[k], abs=1e-5)
         assert abs(rows[first + k]["first"]) == pytest.approx(abs(vectors[0, -1 - k]), abs=1e-4)
+
+
+def plain_tree_markers(tree, known, refused, longest=7, strict=False):
+    """The rules as loops over a parsed tree, by place."""
+    nodes = trees.tree_nodes(tree)
+    words = [w for w in tree.replace("(", " ( ").replace(")", " ) ").split()]
+    leaves, tags = [], []
+    for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+        if w not in "()" and after == ")" and before not in "(":
+            leaves.append(w.lower())
+            tags.append(before)
+    n = len(leaves)
+
+    def beside(node, right):
+        return {m[2][:1] for m in nodes if m[1] == node[1] and (m[5] > node[5] if right else m[5] < node[5])} & set("VNS")
+
+    def ok(i, e):
+        left = [m for m in nodes if m[1] >= 0 and m[3] == i and m[4] > m[3]]
+        right = [m for m in nodes if m[1] >= 0 and m[4] == e and m[4] - m[3] == 1]
+        return i > 0 and left and right and beside(left[0], False) and beside(right[0], True)
+
+    used, out = set(), []
+    for size in range(max(longest, 1 + max(len(k.split()) for k in known)), 0, -1):
+        for i in range(n - size):
+            w, t = leaves[i : i + size], tags[i : i + size]
+            hit = " ".join(w) in known or size > 1 and (" ".join(w[:-1]) in known and t[-1] in ("IN", "TO") or " ".join(w[1:]) in known and t[0] in ("IN", "TO"))
+            if hit and ok(i, i + size) and not used & set(range(i, i + size)):
+                used |= set(range(i, i + size))
+                out.append((i, i + size, True))
+    for size in range(1, longest + 1):
+        for i in range(n - size):
+            w, t = leaves[i : i + size], tags[i : i + size]
+            content = any(x[:2] in trees.CONTENT and y not in refused for x, y in zip(t, w))
+            if content and not set(t) & set(trees.INVALID) and " ".join(w) not in refused and ok(i, i + size) and not used & set(range(i, i + size)):
+                used |= set(range(i, i + size)) if strict else {i, i + size}
+                out.append((i, i + size, False))
+    return sorted(out)
+
+
+def test_tree_markers(spark):
+    import random
+
+    rng = random.Random(3)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"({rng.choice(['NN', 'IN', 'VB', 'DT', 'NNP', 'TO'])} {rng.choice(['so', 'that', 'because', 'of', 'rain', 'fell', 'the'])})"
+        return f"({rng.choice(['NP', 'VP', 'PP', 'S', 'ADJP'])} {' '.join(grow(depth - 1) for _ in range(rng.randrange(1, 4)))})"
+
+    made = ["(S (NP (NN rain)) (SBAR (IN because)) (VP (VB fell) (NP (NN so))))", "", "(S (NN x))"] + [f"(S {grow(3)} {grow(4)} {grow(3)})" for _ in range(60)]
+    table = []
+    for i, t in enumerate(made):
+        words = [w for w in t.replace("(", " ( ").replace(")", " ) ").split()]
+        leaves = [(b, w) for b, w, a in zip(["", *words], words, [*words[1:], ""]) if w not in "()" and a == ")" and b not in "("]
+        table.append((i, t, [w for _, w in leaves], [b for b, _ in leaves]))
+    rows = spark.createDataFrame(table, "key long, tree string, words array<string>, tags array<string>")
+    known, refused = ["because", "because of", "so that"], ["the", "rain"]
+    for strict in (False, True):
+        got = {}
+        for r in trees.tree_markers(trees.nodes(rows, "key"), rows, known, refused=refused, strict=strict).collect():
+            got.setdefault(r["key"], []).append((r["start"], r["stop"], r["listed"]))
+        want = {i: m for i, t, *_ in table if (m := plain_tree_markers(t, known, refused, strict=strict))}
+        assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 20
