@@ -1,6 +1,7 @@
 """Queries of the training-data operators, and the SQL that gives the same rows where SQL can."""
 
 from parlance.llm.byte_bpe import op8_byte_bpe
+from parlance.llm.fim import OP12_SQL, op12_fim
 from parlance.llm.language_id import op9_language
 from parlance.llm.media import op10_media
 from parlance.llm.mixing import OP6_SQL, op6_mixing
@@ -22,9 +23,11 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language": op9_language,
     "op10_media": op10_media,
+    "op12_fim": op12_fim,
 }
 
 SQL = {
     "op1_warc": OP1_SQL,
     "op6_mixing": OP6_SQL,
+    "op12_fim": OP12_SQL,
 }
