@@ -5,6 +5,7 @@ from parlance.llm.fim import OP12_SQL, op12_fim
 from parlance.llm.language_id import op9_language
 from parlance.llm.media import op10_media
 from parlance.llm.mixing import OP6_SQL, op6_mixing
+from parlance.llm.search import OP13_SQL, op13_search
 from parlance.llm.simhash import op3_simhash
 from parlance.llm.surrogates import op4_pii
 from parlance.llm.syncmers import op5_syncmers
@@ -24,10 +25,12 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_media": op10_media,
     "op12_fim": op12_fim,
+    "op13_search": op13_search,
 }
 
 SQL = {
     "op1_warc": OP1_SQL,
     "op6_mixing": OP6_SQL,
     "op12_fim": OP12_SQL,
+    "op13_search": OP13_SQL,
 }
