@@ -5,6 +5,7 @@ from parlance.llm.fim import OP12_SQL, op12_fim
 from parlance.llm.language_id import op9_language
 from parlance.llm.media import op10_media
 from parlance.llm.mixing import OP6_SQL, op6_mixing
+from parlance.llm.quality import op11_quality
 from parlance.llm.search import OP13_SQL, op13_search
 from parlance.llm.simhash import op3_simhash
 from parlance.llm.surrogates import op4_pii
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language": op9_language,
     "op10_media": op10_media,
+    "op11_quality": op11_quality,
     "op12_fim": op12_fim,
     "op13_search": op13_search,
 }
