@@ -236,7 +236,8 @@ def references(rows: DataFrame, lists: dict[str, list[str]], words: list[str], *
     out = []
     for name, r in sorted(classes.items()):
         part = [sums.get(name, {}).get(w, 0.0) / r["texts"] for w in lists[name]]
-        out.append(Reference(name, tuple(lists[name]), tuple(r[c] for c in _CLASSES), (*part, max(0.0, 1.0 - sum(part)))))
+        rest = 1.0 - sum(part)
+        out.append(Reference(name, tuple(lists[name]), tuple(r[c] for c in _CLASSES), (*part, rest if rest > 1e-9 else 0.0)))
     return out
 
 
