@@ -5,12 +5,14 @@ occurrence of the term in the item adds to the row's score.  The lists are one s
 by ranges of (term, falling c), so a very common term lies in many files, the head of its list in
 the first of them.
 
-1. The heads: the k best postings of each list.  Their sums are lower bounds of scores; an item's
+1. The heads: the k best postings of each list.  Their sums are lower bounds of scores; those of
+   the ``CHECKED`` times k rows of the highest sums are completed from the lists, and an item's
    k-th highest is its first threshold.
 2. All postings of at least the first threshold over the item's number of lists.  A row that none
    of them names scores below the threshold.  The sums are better lower bounds, and with the most
-   that each list can still add, upper bounds; rows whose upper bound is below the k-th lower bound
-   are out.
+   that each list can still add, upper bounds; rows whose upper bound is below the first threshold,
+   or the k-th lower bound, are out.  The postings are dealt by row before they meet the items that
+   ask for them, so what is shuffled grows with the lists and not with the items that share a term.
 3. The exact scores of the rows left, looked up in the lists.
 
 All scores are integers and no list, candidate or tie is cut short, so the ranking is exact.  The
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import filled, modest_batches, small, stored, table
 
-K = 20
+#: Rows an item, and how many times as many get their whole scores for the first threshold.
+K, CHECKED = 20, 5
 #: Distinct terms of all items that tasks keep to select postings while they read texts; beyond
 #: them all terms are listed and selected by a join.
 VOCABULARY = 200_000
@@ -109,10 +112,16 @@ def postings(docs: DataFrame, wanted: DataFrame, *, key: str = "doc_id", text: s
 
 
 def _highest(sums: DataFrame, k: int) -> DataFrame:
-    """(item, least): each item's k-th highest sum; items of fewer rows have none."""
-    rank = Window.partitionBy("item").orderBy(F.desc("sum"))
-    top = sums.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    return top.where(F.col("rank") == k).select("item", F.col("sum").alias("least"))
+    """(item, row, sum, rank): each item's k highest sums."""
+    rank = Window.partitionBy("item").orderBy(F.desc("sum"), "row")
+    return sums.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+
+
+def _looked_up(lists: DataFrame, pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item, row, key, sum): the whole scores of pairs (item, row)."""
+    own = lists.join(small(pairs.select("row").distinct()), "row", "left_semi")
+    wanted = pairs.select("item", "row").join(asked, "item").select("item", "row", "term", "times")
+    return own.join(wanted, ["row", "term"]).groupBy("item", "row").agg(F.sum(F.col("c") * F.col("times")).alias("sum"), F.first("key").alias("key"))
 
 
 def ranked(docs: DataFrame, items: DataFrame, *, k: int = K, key: str = "doc_id", item: str = "item_id", text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
@@ -127,34 +136,32 @@ def ranked(docs: DataFrame, items: DataFrame, *, k: int = K, key: str = "doc_id"
     # 1. heads
     head = Window.partitionBy("term").orderBy(F.desc("c"), "row")
     heads = stored(lists.withColumn("nr", F.row_number().over(head)).where(F.col("nr") <= k).select("term", "c", "row"), "heads")
-    first = heads.join(asked, "term").groupBy("item", "row").agg(F.sum(F.col("c") * F.col("times")).alias("sum"))
+    sums = heads.join(asked, "term").groupBy("item", "row").agg(F.sum(F.col("c") * F.col("times")).alias("sum"))
+    checked = stored(_highest(sums, CHECKED * k).select("item", "row"), "checked")
+    first = _highest(_looked_up(lists, checked, asked), k).where(F.col("rank") == k).select("item", F.col("sum").alias("least"))
+    first = stored(queries.select("item").distinct().join(small(first), "item", "left").select("item", F.coalesce("least", F.lit(0)).alias("least")), "first-thresholds")
     most = heads.groupBy("term").agg(F.max("c").alias("most"))
-    # what a list holds below ``least`` is less than the threshold over the number of lists
-    share = F.coalesce("least", F.lit(0))
-    per_list = F.expr("(__share + lists * times - 1) div (lists * times)")
-    bounds = queries.join(small(_highest(first, k)), "item", "left").join(small(most), "term").withColumn("__share", share)
-    bounds = stored(bounds.select("item", "term", "times", F.greatest(per_list, F.lit(1)).alias("floor"), "most"), "thresholds")
-    bounds = bounds.withColumn("rest", F.col("times") * F.least(F.col("floor") - 1, F.col("most")))
+    # the least c of a posting of which the item's lists hold as many as it takes to reach the threshold
+    floor = F.expr("greatest((least + lists * times - 1) div (lists * times), 1)")
+    bounds = queries.join(small(first), "item").join(small(most), "term").select("item", "term", "times", floor.alias("floor"), "most")
+    bounds = stored(bounds.withColumn("rest", F.col("times") * F.least(F.col("floor") - 1, F.col("most"))), "thresholds")
 
     # 2. everything above the thresholds
     lowest = bounds.groupBy("term").agg(F.min("floor").alias("lowest"))
-    high = lists.join(small(lowest), "term").where("c >= lowest").select("term", "c", "row")
-    met = high.join(small(bounds), "term").where("c >= floor")
+    high = lists.join(small(lowest), "term").where("c >= lowest").select("term", "c", "row").repartition("row")
+    met = high.join(small(bounds.select("item", "term", "times", "floor", "rest")), "term").where("c >= floor")
     sums = met.groupBy("item", "row").agg(F.sum(F.col("c") * F.col("times")).alias("sum"), F.sum("rest").alias("seen"))
-    sums = stored(sums, "lower-bounds")
-    open_ = bounds.groupBy("item").agg(F.sum("rest").alias("all_rest"))
-    tight = open_.join(_highest(sums, k), "item", "left").select("item", "all_rest", F.coalesce("least", F.lit(0)).alias("least"))
-    left = sums.join(small(tight), "item").where(F.col("sum") + F.col("all_rest") - F.col("seen") >= F.col("least")).select("item", "row")
-    left = stored(left, "candidates")
+    open_ = bounds.groupBy("item").agg(F.sum("rest").alias("all_rest")).join(small(first), "item")
+    upper = F.col("sum") + F.col("all_rest") - F.col("seen")
+    near = stored(sums.join(small(open_), "item").withColumn("upper", upper).where("upper >= least").select("item", "row", "sum", "upper"), "lower-bounds")
+    tight = _highest(near, k).where(F.col("rank") == k).select("item", F.col("sum").alias("least"))
+    left = stored(near.join(small(tight), "item", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("item", "row"), "candidates")
 
     # 3. exact scores
-    wanted = left.join(asked, "item").select("item", "row", "term", "times")
-    own = lists.join(small(left.select("row").distinct()), "row", "left_semi")
-    exact = own.join(wanted, ["row", "term"]).groupBy("item", "row").agg(F.sum(F.col("c") * F.col("times")).alias("score"), F.first("key").alias("key"))
-    rank = Window.partitionBy("item").orderBy(F.desc("score"), F.col("key").asc_nulls_last(), "row")
-    top = exact.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    rank = Window.partitionBy("item").orderBy(F.desc("sum"), F.col("key").asc_nulls_last(), "row")
+    top = _looked_up(lists, left, asked).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     names = queries.groupBy("item").agg(F.first("key").alias(item))
-    return top.join(small(names), "item").select(item, "rank", F.col("key").alias(key), "score")
+    return top.join(small(names), "item").select(item, "rank", F.col("key").alias(key), F.col("sum").alias("score"))
 
 
 def op13_search(spark, sf_dir: str) -> DataFrame:
