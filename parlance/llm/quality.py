@@ -254,15 +254,16 @@ def judged(rows: DataFrame, refs: list[Reference], words: list[str], *, characte
     def run(batches):
         refs, bins = sent.value
         names = [r.lang for r in refs]
+        known = set(names)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                classes = np.array(part.column("classes").to_pylist(), dtype=np.float64).reshape(part.num_rows, len(_CLASSES))
-                runs = np.array(part.column("n_runs").to_pylist(), dtype=np.float64)
+                classes = part.column("classes").flatten().to_numpy().astype(np.float64).reshape(part.num_rows, len(_CLASSES))
+                runs = part.column("n_runs").to_numpy().astype(np.float64)
+                common = part.column("common")
+                found = common.flatten()
                 dense = np.zeros((part.num_rows, size))
-                for i, common in enumerate(part.column("common").to_pylist()):
-                    for c in common:
-                        dense[i, c["word"]] = c["n"]
+                dense[np.repeat(np.arange(part.num_rows), common.value_lengths().to_numpy()), found.field("word").to_numpy()] = found.field("n").to_numpy()
                 by_lang = []
                 for r, own in zip(refs, bins):
                     counts = dense[:, own]
@@ -272,13 +273,10 @@ def judged(rows: DataFrame, refs: list[Reference], words: list[str], *, characte
                     by_lang.append((np.where(classes.sum(1) >= LEAST_CHARACTERS, a, 0.0), np.where(runs >= LEAST_WORDS, w, 0.0), of_classes + of_words))
                 both = np.array(by_lang).reshape(len(refs), 3, part.num_rows)
                 pick = both[:, 2].argmin(0) if refs else np.zeros(part.num_rows, dtype=np.int64)
-                near, a, w = [], [], []
-                for i, lang in enumerate(part.column("lang").to_pylist()):
-                    judge = bool(refs) and (lang is None or lang in names)
-                    near.append(names[pick[i]] if judge else None)
-                    a.append(float(both[pick[i], 0, i]) if judge else 0.0)
-                    w.append(float(both[pick[i], 1, i]) if judge else 0.0)
-                ok = [x <= character_limit and y <= word_limit for x, y in zip(a, w)]
+                judge = np.array([bool(refs) and (x is None or x in known) for x in part.column("lang").to_pylist()], dtype=bool)
+                a, w = (np.where(judge, both[pick, i, np.arange(part.num_rows)], 0.0) if refs else np.zeros(part.num_rows) for i in (0, 1))
+                near = [names[x] if y else None for x, y in zip(pick, judge)]
+                ok = (a <= character_limit) & (w <= word_limit)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near, pa.string()), pa.array(a), pa.array(w), pa.array(ok)], names=[*part.schema.names, "nearest", "character_distance", "word_distance", "conforms"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
