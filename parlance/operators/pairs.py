@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.cluster import checkpointed
+from parlance.functions.cluster import checkpointed, few
 from parlance.functions.text import content_word, harmonic, sentences, tokens
 
 
@@ -126,26 +126,65 @@ def fused(scores: DataFrame, a: str, b: str, least_a: float, least_b: float) ->
     return scores.where((F.col(a) >= least_a) & (F.col(b) >= least_b)).withColumn("fused", harmonic(F.col(a), F.col(b)))
 
 
-def greedy(scores: DataFrame, *, score: str = "score") -> DataFrame:
+#: Pairs of a group from which on its matches are found in rounds instead of a fold in one task.
+FOLDED = 50_000
+
+
+def greedy(scores: DataFrame, *, score: str = "score", most: int = FOLDED) -> DataFrame:
     """One-to-one matches of scores (group, i, j, score) with the sentence sets ``left`` and
     ``right`` (or i and j themselves): the best pair first, equal ones by i and j, and none that
-    uses a sentence again.
+    uses a sentence again.  Filter by score before.
 
-    A fold over each group's sorted pairs; filter by score before, as groups come together here."""
+    Groups of up to ``most`` pairs are folded, each in one task; larger ones are matched in rounds
+    over all tasks (``in_rounds``), with the same result."""
     own = scores
     if "left" not in scores.columns:
         own = scores.withColumns({"left": F.array("i"), "right": F.array("j")})
-    listed = own.groupBy("group").agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("neg"), "i", "j", "left", "right"))).alias("pairs"))
+    own = checkpointed(own.select("group", "i", "j", F.col(score).cast("double").alias("score"), "left", "right"))
+    large = few(own.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > most).select("group"))
+    if large.isEmpty():
+        return folded(own)
+    return folded(own.join(large, "group", "left_anti")).unionByName(in_rounds(own.join(large, "group", "left_semi")))
+
+
+def folded(own: DataFrame) -> DataFrame:
+    """Greedy matches of (group, i, j, score, left, right): a fold over each group's sorted pairs."""
+    listed = own.groupBy("group").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "i", "j", "left", "right"))).alias("pairs"))
     start = F.expr("named_struct('l', cast(array() as array<int>), 'r', cast(array() as array<int>), 'kept', cast(array() as array<struct<i:int,j:int,score:double>>))")
 
     def take(acc: Column, p: Column) -> Column:
         free = ~F.arrays_overlap(acc["l"], p["left"]) & ~F.arrays_overlap(acc["r"], p["right"])
-        more = F.struct(F.concat(acc["l"], p["left"]).alias("l"), F.concat(acc["r"], p["right"]).alias("r"), F.concat(acc["kept"], F.array(F.struct(p["i"].alias("i"), p["j"].alias("j"), (-p["neg"]).alias("score")))).alias("kept"))
+        more = F.struct(F.concat(acc["l"], p["left"]).alias("l"), F.concat(acc["r"], p["right"]).alias("r"), F.concat(acc["kept"], F.array(F.struct(p["i"].alias("i"), p["j"].alias("j"), (F.lit(0.0) - p["neg"]).alias("score")))).alias("kept"))
         return F.when(free, more).otherwise(acc)
 
     return listed.select("group", F.inline(F.aggregate("pairs", start, take)["kept"]))
 
 
+def in_rounds(own: DataFrame) -> DataFrame:
+    """The same matches, by rounds of locally best pairs.
+
+    A pair is taken if it is the best one left at each of its sentences: nothing that the greedy
+    order takes before it can touch them.  Its sentences' other pairs go, and the next round begins.
+    The best of a sentence is a minimum that tasks combine before the shuffle, so neither a large
+    group nor a sentence with very many pairs is in one task.  Each round takes the best pair of
+    every group at least, and ends when no pair is left; random scores need some log n rounds, a
+    chain of pairs each a little better than the next as many as it has pairs."""
+    order = F.struct((-F.col("score")).alias("neg"), "i", "j")
+    ends = lambda side, c: F.transform(F.array_distinct(c), lambda s: F.struct(F.lit(side).alias("side"), s.cast("int").alias("s")))
+    left = checkpointed(own.withColumn("ends", F.concat(ends(0, "left"), ends(1, "right"))).select("group", "i", "j", "score", "ends"))
+    taken = None
+    while not left.isEmpty():
+        at = left.select("group", order.alias("pair"), F.size("ends").alias("n"), F.inline("ends"))
+        best = at.groupBy("group", "side", "s").agg(F.min(F.struct("pair", "n")).alias("best"))
+        wins = best.groupBy("group", "best").agg(F.count("*").alias("at")).where(F.col("at") == F.col("best.n"))
+        new = checkpointed(wins.select("group", F.col("best.pair.i").alias("i"), F.col("best.pair.j").alias("j"), (F.lit(0.0) - F.col("best.pair.neg")).alias("score")))
+        taken = new if taken is None else taken.unionByName(new)
+        used = few(left.join(new.select("group", "i", "j"), ["group", "i", "j"]).select("group", F.inline("ends")).distinct())
+        gone = at.join(used, ["group", "side", "s"], "left_semi").select("group", "pair.i", "pair.j").distinct()
+        left = checkpointed(left.join(gone, ["group", "i", "j"], "left_anti"))
+    return own.select("group", "i", "j", "score").limit(0) if taken is None else taken
+
+
 def well_formed(text: Column, least: int = 4) -> Column:
     """At least ``least`` words cut at white space, first character a capital, digit or quote, last
     one of ``.!?``."""
