@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.plans import aligned_queries, dataset_queries, lookup_queries, model_queries, pair_queries, structural_queries, text_queries, weight_queries  # noqa: F401  they register their queries
+from parlance.plans import aligned_queries, dataset_queries, learner_queries, lookup_queries, model_queries, pair_queries, structural_queries, text_queries, weight_queries  # noqa: F401  they register their queries
 from parlance.plans.registry import QUERIES, SQL
 
 FLAGSHIP = QUERIES["greedy_match"]
