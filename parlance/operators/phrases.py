@@ -88,39 +88,55 @@ def data_points(docs: DataFrame, phrases: list[str], *, key: str = "doc_id", tex
     return one.select(key, "sent_idx", "h.words", F.col("h.pos").alias("pos"), (-F.col("h.m")).alias("n"), F.col("h.phrase").alias("phrase"))
 
 
-def frequent_grams(docs: DataFrame, k: int, longest: int = 3, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+#: Words that tasks look up in a set within the row; more meet a table of them.
+LOOKED_UP = 5000
+
+
+def frequent_grams(docs: DataFrame, k: int, longest: int = 3, *, key: str = "doc_id", text: str = "text", most: int = LOOKED_UP) -> DataFrame:
     """(n, gram, df): the k n-grams of each length up to ``longest`` that the most documents have,
     equal ones by name.  Repeated keys are documents of their own.
 
-    A gram is in no more documents than each of its words.  So longer grams are first counted of
-    the words that are at least as frequent as the (2 k)-th alone; the k-th count they reach is a
-    floor that no gram with a rarer word can pass, and if it is below the words' own, grams of all
-    words down to it are counted once more.  Few grams are shuffled, and the result is exact."""
+    A gram is in no more documents than each of its words.  So longer grams are first counted, all
+    lengths in one pass, of the words that are at least as frequent as the (20 k)-th alone; the
+    k-th count a length reaches is a floor that no gram with a rarer word can pass, and if it is
+    below the words' own, grams of all words down to it are counted once more.  A document's grams
+    are made and told apart within its row, so only counts are shuffled, and the result is exact."""
     rows = docs.select(tokens(F.col(text)).alias("w"))
     single = checkpointed(rows.select(F.explode(F.array_distinct("w")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df")))
-    top = [single.select(F.lit(1).alias("n"), "gram", "df").orderBy(F.desc("df"), "gram").limit(k)]
-    ends = single.orderBy(F.desc("df"), "gram").limit(2 * k).select("df").collect()
-    start = min((r["df"] for r in ends), default=1)
-
-    def counted(n: int, floor: int) -> DataFrame:
-        usual = few(single.where(F.col("df") >= floor).select("gram"))
-        each = rows.withColumn("doc", F.monotonically_increasing_id()).select("doc", F.explode(windows(F.col("w"), n)).alias("s")).select("doc", "s.*")
-        for i in range(n):
-            each = each.join(usual.select(F.col("gram").alias(f"w{i}")), f"w{i}")
-        grams = each.select("doc", F.concat_ws(" ", *(f"w{i}" for i in range(n))).alias("gram")).distinct()
-        return grams.groupBy("gram").agg(F.count("*").alias("df"))
-
-    for n in range(2, longest + 1):
-        found = checkpointed(counted(n, start))
-        best = found.orderBy(F.desc("df"), "gram").limit(k)
-        reached = best.agg(F.count("*").alias("c"), F.min("df").alias("least")).first()
-        floor = reached["least"] if reached["c"] == k else 1
-        if floor < start:
-            best = counted(n, floor).orderBy(F.desc("df"), "gram").limit(k)
-        top.append(best.select(F.lit(n).alias("n"), "gram", "df"))
-    out = top[0]
-    for more in top[1:]:
-        out = out.unionByName(more)
+    best = single.orderBy(F.desc("df"), "gram").limit(20 * k).select("df").collect()
+    start = min((r["df"] for r in best), default=1)
+
+    def counted(lengths: list[int], floor: int) -> DataFrame:
+        """(n, gram, df) of grams of words in at least ``floor`` documents."""
+        usual = single.where(F.col("df") >= floor).select("gram")
+        names = [r["gram"] for r in usual.limit(most + 1).collect()]
+        if len(names) <= most:
+            own = rows.select(F.transform("w", lambda t: F.when(t.isin(names), t)).alias("w"))
+            each = own.select(F.explode(F.concat(*(F.array_compact(F.array_distinct(grams(F.col("w"), n))) for n in lengths))).alias("gram"))
+            return each.groupBy("gram").agg(F.count("*").alias("df")).select((F.size(F.split("gram", " "))).alias("n"), "gram", "df")
+        out = None
+        for n in lengths:
+            each = rows.withColumn("doc", F.monotonically_increasing_id()).select("doc", F.explode(windows(F.col("w"), n)).alias("s")).select("doc", "s.*")
+            for i in range(n):
+                each = each.join(few(usual.select(F.col("gram").alias(f"w{i}"))), f"w{i}")
+            whole = each.select("doc", F.concat_ws(" ", *(f"w{i}" for i in range(n))).alias("gram")).distinct()
+            one = whole.groupBy("gram").agg(F.count("*").alias("df")).select(F.lit(n).alias("n"), "gram", "df")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def leading(found: DataFrame) -> DataFrame:
+        rank = Window.partitionBy("n").orderBy(F.desc("df"), "gram")
+        return found.withColumn("__rank", F.row_number().over(rank)).where(F.col("__rank") <= k)
+
+    out = single.select(F.lit(1).alias("n"), "gram", "df").orderBy(F.desc("df"), "gram").limit(k)
+    if longest > 1:
+        found = checkpointed(leading(counted(list(range(2, longest + 1)), start)))
+        reached = {r["n"]: r["least"] for r in found.where(F.col("__rank") == k).select("n", F.col("df").alias("least")).collect()}
+        floors = {n: reached.get(n, 1) for n in range(2, longest + 1)}
+        again = [n for n, floor in floors.items() if floor < start]
+        out = out.unionByName(found.where(~F.col("n").isin(again)).drop("__rank"))
+        for n in again:
+            out = out.unionByName(leading(counted([n], floors[n])).drop("__rank"))
     return out
 
 
