@@ -83,3 +83,42 @@ def positives(ratings: DataFrame, least: int = 3) -> DataFrame:
     rows = ratings.select("title", F.posexplode("matrix").alias("i", "row"), F.size(F.col("matrix")[0]).alias("width"))
     cells = rows.select("title", "i", "width", F.posexplode("row").alias("j", "rating"))
     return cells.where(F.col("rating") >= least).select("title", (F.col("i") * F.col("width") + F.col("j")).alias("flat"), "rating")
+
+
+def student_tail(t: Column, freedom: Column) -> Column:
+    """The two-sided tail of Student's distribution for whole degrees of freedom, 1 or more: the
+    regularised incomplete beta function of nu / (nu + t^2), which for half of a whole number is a
+    sum of nu / 2 terms of a sine and cosine."""
+    nu = freedom.cast("int")
+    theta = F.atan(F.abs(t) / F.sqrt(nu.cast("double")))
+    sine, square = F.sin(theta), F.cos(theta) * F.cos(theta)
+    odd = nu % 2
+    # 1 + c 1/2 + c^2 (1 3)/(2 4) + .. for even nu; 1 + c 2/3 + c^2 (2 4)/(3 5) + .. for odd
+    step = lambda acc, k: F.struct((acc["term"] * square * (2 * k - 1 + odd) / (2 * k + odd)).alias("term"), (acc["sum"] + acc["term"]).alias("sum"))
+    count = F.floor((nu - odd) / 2).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
+    series = F.when(count > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), start, step)["sum"]).otherwise(0.0)
+    inside = F.when(odd == 0, sine * series).otherwise((theta + sine * F.cos(theta) * series) * (2 / F.lit(3.141592653589793)))
+    return F.greatest(1 - inside, F.lit(0.0))
+
+
+def fold_averages(folds: DataFrame, *by: str) -> DataFrame:
+    """(by, folds, accuracy, precision, recall, f1, mean_f1): plain means of metrics() rows, a row a
+    fold; f1 is that of the mean precision and recall, mean_f1 the mean of the folds' own."""
+    mean = folds.groupBy(*by).agg(F.count("*").alias("folds"), *(F.avg(c).alias(c) for c in ("accuracy", "precision", "recall")), F.avg("f1").alias("mean_f1"))
+    f1 = _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    return mean.select(*by, "folds", "accuracy", "precision", "recall", f1.alias("f1"), "mean_f1")
+
+
+def paired_t(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:
+    """(by, n, mean, deviation, t, p) of the differences a - b of paired values, such as two models'
+    scores on the same folds: t is the mean over its standard error, p the chance of one as far
+    from 0 if there is no difference.  Pairs with a null are left out.  With fewer than two pairs,
+    deviation, t and p are null; if all differences are equal, so are t and p, but p is 1 where
+    they are 0."""
+    d = F.col(a).cast("double") - F.col(b).cast("double")
+    sums = pairs.where(d.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("deviation"))
+    error = F.when(F.col("deviation") > 1e-15, F.col("deviation") / F.sqrt(F.col("n").cast("double")))
+    rows = sums.withColumn("t", F.col("mean") / error)
+    same = F.when((F.col("n") > 1) & (F.col("mean") == 0), F.lit(1.0))
+    return rows.withColumn("p", F.when(F.col("t").isNotNull(), student_tail(F.col("t"), F.greatest(F.col("n") - 1, F.lit(1)))).otherwise(same))

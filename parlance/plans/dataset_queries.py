@@ -45,7 +45,8 @@ SELECT doc_id, coalesce(arg_max(cls, ord), 'other') AS label FROM (SELECT doc_id
 def _(spark, sf_dir):
     """The subset rule: a class fits if all words of one of its seeds are among a text's; the last
     class that fits wins."""
-    d = documents(spark, sf_dir).select("doc_id", F.array_distinct(text.tokens(F.col("text"))).alias("w"))
+    words = sorted({w for name in SEEDS for p in markers.phrases(name) for w in p.lower().split()})
+    d = documents(spark, sf_dir).select("doc_id", F.array_distinct(F.filter(text.tokens(F.col("text")), lambda t: t.isin(words))).alias("w"))  # the seeds' words alone
     fits = F.lit("other")
     for name, label in SEEDS.items():
         any_of = F.lit(False)
@@ -110,7 +111,7 @@ SCORED = "sc AS (SELECT doc_id, toxic, 1 / (1 + exp(-(n_chars / 2000.0::DOUBLE -
 
 def scored(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    return d.select("toxic", (1 / (1 + F.exp(-(F.col("n_chars") / 2000.0 - 1)))).alias("s"), (F.pmod("doc_id", F.lit(97)) / 97.0).alias("s2"))
+    return d.select("doc_id", "toxic", (1 / (1 + F.exp(-(F.col("n_chars") / 2000.0 - 1)))).alias("s"), (F.pmod("doc_id", F.lit(97)) / 97.0).alias("s2"))
 
 
 CUTS = evaluation.thresholds()
@@ -122,6 +123,19 @@ def _(spark, sf_dir):
     return evaluation.sweep(scored(spark, sf_dir), "s", "toxic", CUTS)
 
 
+TAIL_9 = "(1 - 2 / pi() * (atan(abs(t) / 3) + sin(atan(abs(t) / 3)) * cos(atan(abs(t) / 3)) * (1 + c * 2 / 3 + c * c * 8 / 15 + c * c * c * 48 / 105)))"
+
+
+@query("paired_fold_test", f"""WITH {SCORED}, f AS (SELECT doc_id % 10 AS fold, avg(CASE WHEN (s > 0.5) = (toxic = 1) THEN 1.0::DOUBLE ELSE 0 END) AS a, avg(CASE WHEN (s2 > 0.5) = (toxic = 1) THEN 1.0::DOUBLE ELSE 0 END) AS b FROM sc GROUP BY 1),
+m AS (SELECT count(*) AS n, avg(a - b) AS mean, stddev_samp(a - b) AS deviation FROM f), x AS (SELECT *, mean / (deviation / sqrt(n::DOUBLE)) AS t FROM m), y AS (SELECT *, 1 / (1 + t * t / 9) AS c FROM x)
+SELECT n, round(mean, 6) AS mean, round(deviation, 6) AS deviation, round(t, 5) AS t, round(greatest({TAIL_9}, 0), 6) AS p FROM y""")
+def _(spark, sf_dir):
+    """Whether two scores' accuracies over ten folds differ."""
+    right = lambda c: F.avg(F.when((F.col(c) > 0.5) == (F.col("toxic") == 1), 1.0).otherwise(0.0))
+    folds = scored(spark, sf_dir).groupBy(F.pmod("doc_id", F.lit(10)).alias("fold")).agg(right("s").alias("a"), right("s2").alias("b"))
+    return evaluation.paired_t(folds, "a", "b").withColumn("t", F.round("t", 5))
+
+
 @query("threshold_grid_or", f"WITH {SCORED}, cut AS (SELECT unnest([{CUT_SQL}]) AS t), c AS (SELECT t1, t2, {COUNTS} FROM (SELECT toxic = 1 AS y, s > a.t OR s2 > b.t AS g, a.t AS t1, b.t AS t2 FROM sc, cut a, cut b) GROUP BY 1, 2) SELECT t1, t2, tp, fp, tn, fn, {METRICS} FROM c")
 def _(spark, sf_dir):
     return evaluation.grid_sweep(scored(spark, sf_dir), "s", "s2", "toxic", CUTS)

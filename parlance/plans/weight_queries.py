@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from parlance.functions.cluster import checkpointed
+from parlance.functions.revised_stemming import with_stems
 from parlance.functions import text
 from parlance.operators import features, phrases, weights
 from parlance.plans.registry import POINTS, SIDES, query, sides, table, tok
@@ -167,3 +169,12 @@ def _(spark, sf_dir):
 SELECT a.doc_id, a.sent_idx, a.w || '_' || b.w AS feature, count(*) AS n FROM k a JOIN k b USING (doc_id, sent_idx) WHERE a.i <> b.i GROUP BY 1, 2, 3""")
 def _(spark, sf_dir):
     return features.ordered_pairs(points(spark, sf_dir), "doc_id", "sent_idx")
+
+
+@query("stemmed_features")
+def _(spark, sf_dir):
+    """Marker, single and paired features of stems; a test makes them again, word by word."""
+    p = points(spark, sf_dir).select("doc_id", "sent_idx", "prev", "marker", "curr", "post")
+    done = with_stems(checkpointed(p), ["doc_id", "sent_idx"], ["prev", "marker", "curr", "post"])
+    f = features.with_features(done, ["connective_unistems", "unistems_sep", "bistems"])
+    return features.long_form(f, "doc_id", "sent_idx").select("doc_id", "sent_idx", "feature")

@@ -151,3 +151,29 @@ def test_feature_maps(spark):
 def test_labels(spark):
     row = spark.range(1).select(markers.label_number(F.lit("result")), markers.label_number(F.lit("?")), markers.label_name(F.lit(1)), markers.collapsed(F.lit(2))).first()
     assert tuple(row) == (2, 3, "reason", 1)
+
+
+def test_student_tail(spark):
+    """Against published quantiles, and against sums over the density."""
+    import numpy as np
+
+    known = [(12.7062, 1, 0.05), (4.30265, 2, 0.05), (3.18245, 3, 0.05), (2.77645, 4, 0.05), (2.26216, 9, 0.05), (2.04227, 30, 0.05), (0.0, 5, 1.0), (-2.57058, 5, 0.05)]
+    rows = spark.createDataFrame(known, "t double, nu int, p double").withColumn("own", evaluation.student_tail(F.col("t"), F.col("nu"))).collect()
+    assert all(abs(r["own"] - r["p"]) < 1e-5 for r in rows)
+    for nu in (1, 2, 7, 12):
+        x = np.linspace(0, 1.3, 200_001)
+        wide = np.linspace(0, np.arctan(1e6), 400_001)  # x = tan(u) sweeps the half line
+        whole = np.trapezoid((1 + np.tan(wide) ** 2 / nu) ** (-(nu + 1) / 2) / np.cos(wide) ** 2, wide)
+        inside = np.trapezoid((1 + x**2 / nu) ** (-(nu + 1) / 2), x) / whole
+        got = spark.range(1).select(evaluation.student_tail(F.lit(1.3), F.lit(nu)).alias("p")).first()["p"]
+        assert abs(got - (1 - inside)) < 1e-5
+
+
+def test_paired_t_and_fold_averages(spark):
+    rows = spark.createDataFrame([("m", 0.9, 0.8), ("m", 0.85, 0.83), ("m", 0.7, 0.72), ("m", 0.95, 0.86), ("m", None, 1.0), ("one", 0.5, 0.4), ("same", 0.5, 0.5), ("same", 0.6, 0.6), ("even", 2.0, 1.0), ("even", 3.0, 2.0)], "k string, a double, b double")
+    got = {r["k"]: r for r in evaluation.paired_t(rows, "a", "b", "k").collect()}
+    assert got["m"]["n"] == 4 and abs(got["m"]["t"] - 0.0475 / (math.sqrt(((0.0525) ** 2 + 0.0275**2 + 0.0675**2 + 0.0425**2) / 3) / 2)) < 1e-9 and 0.19 < got["m"]["p"] < 0.20
+    assert (got["one"]["deviation"], got["one"]["p"]) == (None, None) and got["same"]["p"] == 1.0 and got["even"]["p"] is None
+    folds = spark.createDataFrame([(0.5, 1.0, 0.5, 0.6667), (0.7, 0.0, 0.5, 0.0)], "accuracy double, precision double, recall double, f1 double")
+    r = evaluation.fold_averages(folds).first()
+    assert (r["folds"], r["accuracy"], r["f1"]) == (2, 0.6, 0.5) and abs(r["mean_f1"] - 0.33335) < 1e-9
