@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import filled, modest_batches, small, stored, table
+from parlance.llm.common import filled, forget, modest_batches, small, stored, table
 
 #: Rows an item, and how many times as many get their whole scores for the first threshold.
 K, CHECKED = 20, 5
@@ -108,7 +108,9 @@ def postings(docs: DataFrame, wanted: DataFrame, *, key: str = "doc_id", text: s
     m = f"(75 + (25 * n * {total['N']}L) div {total['L']}L)"
     c = F.expr(f"w * ((1000000000L * tf) div (1000 * tf + 12 * {m}))").cast("bigint")
     lists = entries.join(weights, "term").select("term", c.alias("c"), "row", "key").where("c > 0")
-    return stored(lists.repartitionByRange("term", F.desc("c"), "row").sortWithinPartitions("term", F.desc("c"), "row"), "postings")
+    out = stored(lists.repartitionByRange("term", F.desc("c"), "row").sortWithinPartitions("term", F.desc("c"), "row"), "postings")
+    forget(rows)
+    return out
 
 
 def _highest(sums: DataFrame, k: int) -> DataFrame:
@@ -118,10 +120,11 @@ def _highest(sums: DataFrame, k: int) -> DataFrame:
 
 
 def _looked_up(lists: DataFrame, pairs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(item, row, key, sum): the whole scores of pairs (item, row)."""
-    own = lists.join(small(pairs.select("row").distinct()), "row", "left_semi")
-    wanted = pairs.select("item", "row").join(asked, "item").select("item", "row", "term", "times")
-    return own.join(wanted, ["row", "term"]).groupBy("item", "row").agg(F.sum(F.col("c") * F.col("times")).alias("sum"), F.first("key").alias("key"))
+    """(item, row, key, sum): the whole scores of pairs (item, row).  Postings of these rows and the
+    pairs are dealt by row; all that is made of them stays there."""
+    own = lists.join(small(pairs.select("row").distinct()), "row", "left_semi").repartition("row")
+    met = own.join(pairs.select("item", "row").repartition("row").hint("merge"), "row").join(asked.select("item", "term", "times"), ["item", "term"])
+    return met.groupBy("item", "row").agg(F.sum(F.col("c") * F.col("times")).alias("sum"), F.first("key").alias("key"))
 
 
 def ranked(docs: DataFrame, items: DataFrame, *, k: int = K, key: str = "doc_id", item: str = "item_id", text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
@@ -156,6 +159,7 @@ def ranked(docs: DataFrame, items: DataFrame, *, k: int = K, key: str = "doc_id"
     near = stored(sums.join(small(open_), "item").withColumn("upper", upper).where("upper >= least").select("item", "row", "sum", "upper"), "lower-bounds")
     tight = _highest(near, k).where(F.col("rank") == k).select("item", F.col("sum").alias("least"))
     left = stored(near.join(small(tight), "item", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("item", "row"), "candidates")
+    forget(near)
 
     # 3. exact scores
     rank = Window.partitionBy("item").orderBy(F.desc("sum"), F.col("key").asc_nulls_last(), "row")
