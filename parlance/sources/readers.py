@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import alignment
 from parlance.operators.phrases import numbered
+from parlance.sources.stores import register
 
 PARSED = "struct<words:array<array<string>>,lemmas:array<array<string>>,pos:array<array<string>>,ner:array<array<string>>,parse:array<string>,dep:array<array<struct<gov:int,dep:int,rel:string>>>>"
 
@@ -17,11 +18,12 @@ def gz_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def json_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of gz files that hold one JSON array each, with ``file`` and ``at``, the place within
-    the file.  Such a file can't be split, so its rows are dealt out anew."""
-    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    rows = raw.select("file", F.posexplode(F.from_json("value", f"array<{schema}>")).alias("at", "row"))
-    return rows.repartition("file", "at")
+    """Rows of the files of a folder, or of one file, that hold one JSON array each, gz or plain,
+    with ``file`` and ``at``, the place within the file.  Such a file can't be split: a task reads
+    it record by record, and its rows are dealt out anew."""
+    register(spark)
+    rows = spark.read.format("json_array").load(path)
+    return rows.repartition("file", "at").select("file", "at", F.from_json("record", schema).alias("row"))
 
 
 def parallel_corpus(spark: SparkSession, path: str) -> DataFrame:
