@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEP = "struct<rel:string,gov:int>"
@@ -165,21 +165,23 @@ INVALID = ("NNP", "NNPS", "SYM", ",", "(", ")", '"', "'", ";")
 BESIDE = ("V", "N", "S")
 
 
-def edges(own: DataFrame, key: str, beside: tuple[str, ...] = BESIDE) -> tuple[DataFrame, DataFrame]:
-    """(key, start) and (key, stop): places with a sibling of one of the labels beside them.  A
+def edges(own: DataFrame, key: str, beside: tuple[str, ...] = BESIDE) -> DataFrame:
+    """(key, starts, stops): a sentence's places with a sibling of one of the labels beside them.  A
     place's node is, on its left, the highest one below the root that begins there (none at the
-    sentence's front) and, on its right, the highest that ends there with a single leaf."""
-    below = own.where("parent >= 0 and stop > first")
-    labels = own.select(F.col(key).alias("k"), F.col("parent").alias("p"), F.col("child").alias("c"), F.substring("label", 1, 1).alias("l")).where(F.col("l").isin(*beside))
-
-    def having(tops: DataFrame, place: str, near: Column) -> DataFrame:
-        top = tops.groupBy(key, F.col(place).alias("place")).agg(F.min(F.struct("node", "parent", "child")).alias("t"))
-        met = top.join(labels, (F.col(key) == F.col("k")) & (F.col("t.parent") == F.col("p")) & near)
-        return met.select(key, "place").distinct()
-
-    left = having(below.where("first > 0"), "first", F.col("c") < F.col("t.child")).withColumnRenamed("place", "start")
-    right = having(below.where("stop - first = 1"), "stop", F.col("c") > F.col("t.child")).withColumnRenamed("place", "stop")
-    return left, right
+    sentence's front) and, on its right, the highest that ends there with a single leaf.
+
+    The nodes are dealt by sentence once; siblings, places and lists are then found there."""
+    good = F.substring("label", 1, 1).isin(*beside)
+    family = Window.partitionBy(key, "parent").orderBy("child")
+    before = F.max(good).over(family.rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.max(good).over(family.rowsBetween(1, Window.unboundedFollowing))
+    nodes_of = own.repartition(key).withColumns({"before": F.coalesce(before, F.lit(False)), "behind": F.coalesce(behind, F.lit(False))}).where("parent >= 0 and stop > first")
+    place = lambda left, at, ok: F.struct(F.lit(left).alias("left"), F.col(at).alias("place"), F.col(ok).alias("ok"))
+    begins, ends = F.when(F.col("first") > 0, place(True, "first", "before")), F.when(F.col("stop") - F.col("first") == 1, place(False, "stop", "behind"))
+    each = nodes_of.select(key, "node", F.inline(F.array_compact(F.array(begins, ends))))
+    top = each.groupBy(key, "left", "place").agg(F.min(F.struct("node", "ok")).alias("t")).where("t.ok")
+    of = lambda left: F.collect_list(F.when(F.col("left") == F.lit(left), F.col("place")))
+    return top.groupBy(key).agg(of(True).alias("starts"), of(False).alias("stops"))  # at most a sentence's words
 
 
 def tree_markers(own: DataFrame, rows: DataFrame, known: list[str], *, key: str = "key", refused: list[str] | None = None, longest: int = 7, strict: bool = False) -> DataFrame:
@@ -194,14 +196,15 @@ def tree_markers(own: DataFrame, rows: DataFrame, known: list[str], *, key: str
     refused = [p.lower() for p in refused or []]
     known = sorted({p.lower() for p in known})
     most = max([longest, *(len(p.split()) + 1 for p in known)])
-    left, right = edges(own, key)
-    ends = left.withColumn("stop", F.explode(F.sequence(F.col("start") + 1, F.col("start") + most)))
-    places = ends.join(right, [key, "stop"]).join(rows.select(key, "words", "tags"), key).where(F.col("stop") < F.size("words"))
-    n = F.col("stop") - F.col("start")
-    words, tags = F.slice(F.transform("words", lambda w: F.lower(w)), F.col("start") + 1, n), F.slice("tags", F.col("start") + 1, n)
-    spans = places.select(key, "start", "stop", words.alias("w"), tags.alias("t"))
-    listed = F.array(*map(F.lit, known))
-    has = lambda w: F.array_contains(listed, F.array_join(w, " "))
+    own_rows = rows.select(key, F.transform("words", lambda w: F.lower(w)).alias("words"), "tags").join(edges(own, key), key)
+
+    def cut(start: Column, stop: Column) -> Column:
+        n = stop - start
+        return F.struct(start.alias("start"), stop.alias("stop"), F.slice("words", start + 1, n).alias("w"), F.slice("tags", start + 1, n).alias("t"))
+
+    near = lambda start: F.filter("stops", lambda stop: (stop > start) & (stop <= start + most) & (stop < F.size("words")))
+    spans = own_rows.select(key, F.inline(F.flatten(F.transform("starts", lambda start: F.transform(near(start), lambda stop: cut(start, stop))))))
+    has = lambda w: F.array_join(w, " ").isin(*known) if known else F.lit(False)
     size = F.size("w")
     loose = lambda t: t.isin("IN", "TO")
     shorter = (size > 1) & (has(F.slice("w", F.lit(1), size - 1)) & loose(F.element_at("t", -1)) | has(F.slice("w", F.lit(2), size - 1)) & loose(F.get("t", F.lit(0))))
