@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from parlance.functions import text
-from parlance.operators import pairs, structural
+from parlance.functions.cluster import checkpointed
+from parlance.operators import matrices, pairs, structural
 from parlance.plans.pair_queries import _SYN, IDF, SYNONYMS, kept_units
-from parlance.plans.registry import SINGLE, query, tok
+from parlance.plans.registry import SINGLE, UNITS, query, sides, tok
 
 #: wd(grp, side, idx, pos, word, rel, gov_word): tokens with the synthetic parse of words_of().
 WORDS = f"""tk AS (SELECT grp, side, idx, w, len(w) AS size, (len(w) - 1) // 2 AS root, unnest(range(len(w))) AS i FROM (SELECT grp, side, idx, {tok()} AS w FROM single)),
@@ -63,3 +64,25 @@ def _(spark, sf_dir):
     """All candidate pairs, those without partners at 0."""
     u, s = structural_of(spark, sf_dir)
     return structural.with_zeros(pairs.candidates(u).select("group", "i", "j"), s).withColumnRenamed("group", "conv_id")
+
+
+_LETTERS = "list_transform(range(97, 123), lambda c: CAST(length(text) - length(replace(lower(text), chr(c::INT), '')) AS DOUBLE))"
+
+
+@query("zipped_scores", f"""WITH {UNITS}, {IDF}, v AS (SELECT grp, side, idx, n, multi, {_LETTERS} AS x FROM (SELECT grp, side, idx, n, multi, lower(text) AS text FROM units)),
+wds AS (SELECT grp, side, idx, unnest(list_distinct(list_filter({tok()}, lambda w: length(w) >= 4))) AS token FROM units),
+wa AS (SELECT grp, idx AS i, token, idf FROM wds JOIN idf USING (token) WHERE side = 0), wb AS (SELECT grp, idx AS j, token FROM wds WHERE side = 1),
+na AS (SELECT grp, i, sum(idf) AS z, count(*) AS na FROM wa GROUP BY 1, 2), nb AS (SELECT grp, j, count(*) AS nb FROM wb GROUP BY 1, 2),
+lx AS (SELECT grp, i, j, sum(idf) / any_value(z) AS score, (any_value(na) + any_value(nb) - 2 * count(*)) / any_value(z) AS penalty FROM wa JOIN wb USING (grp, token) JOIN na USING (grp, i) JOIN nb USING (grp, j) GROUP BY 1, 2, 3),
+pr AS (SELECT a.grp, a.idx AS i, b.idx AS j, a.idx::BIGINT * (2 * b.n - 1) + b.idx AS flat, list_cosine_similarity(a.x, b.x) AS cosine FROM v a JOIN v b ON a.grp = b.grp AND a.side = 0 AND b.side = 1 AND NOT (a.multi AND b.multi)
+  WHERE list_sum(a.x) > 0 AND list_sum(b.x) > 0)
+SELECT grp AS conv_id, i, j, flat, round(cosine, 6) AS cosine, round(coalesce(score, 0), 6) AS score, round(coalesce(penalty, 0), 6) AS penalty FROM pr LEFT JOIN lx USING (grp, i, j) WHERE cosine >= 0.95 OR score >= 0.35""")
+def _(spark, sf_dir):
+    """Pairs alike by vectors (counts of letters stand in for sentence vectors) or by words, single
+    sentences and neighbours joined, with their places in the group's matrix."""
+    u = checkpointed(pairs.units(sides(spark, sf_dir), pairs=True))
+    letters = F.array(*(F.char_length("text") - F.char_length(F.replace(F.lower("text"), F.lit(chr(c)), F.lit(""))) for c in range(97, 123))).cast("array<double>")
+    lexical = pairs.penalised(pairs.lexical_scores(u, pairs.smoothed_idf(u))).select("group", "i", "j", "score", F.col("both").alias("penalty"))
+    found = matrices.zipped(u.withColumn("text", F.lower("text")).select("group", "side", "idx", "multi", letters.alias("vector")), lexical, least_cosine=0.95, least_score=0.35)
+    widths = u.where("side = 1").groupBy("group").agg(F.first("n").alias("n1"))
+    return pairs.flat_index(found.join(widths, "group")).select(F.col("group").alias("conv_id"), "i", "j", "flat", "cosine", "score", "penalty")
