@@ -29,6 +29,44 @@ def aligned_markers(a: DataFrame, b: DataFrame, links: DataFrame, *, pair: str =
     return met.groupBy(pair, "start_a", "stop_a").agg(first).select(pair, "start_a", "stop_a", "m.start_b", "m.stop_b", "m.token_a", "m.token_b")
 
 
+def aligned_both_ways(a: DataFrame, b: DataFrame, links: DataFrame, *, pair: str = "pair") -> DataFrame:
+    """aligned_markers() with ``back`` false, and then, with ``back`` true, what those markers of side
+    b that were not met find in the same way on side a, whose markers may be met again."""
+    ahead = aligned_markers(a, b, links, pair=pair)
+    met = ahead.select(pair, F.col("start_b").alias("start"), F.col("stop_b").alias("stop")).distinct()
+    left = b.select(pair, "start", "stop").join(met, [pair, "start", "stop"], "left_anti")
+    back = aligned_markers(left, a, links.select(pair, F.col("b").alias("a"), F.col("a").alias("b")), pair=pair)
+    turned = back.select(pair, *(F.col(f"{c}_{m}").alias(f"{c}_{n}") for n, m in (("a", "b"), ("b", "a")) for c in ("start", "stop", "token")), F.lit(True).alias("back"))
+    return ahead.withColumn("back", F.lit(False)).unionByName(turned)
+
+
+#: Tags that a phrase may have at an end beside a marker.  Fixed values.
+LOOSE = ("TO", "IN")
+
+
+def listed_but_for_an_end(words: Column, tags: Column, phrases: list[str]) -> Column:
+    """Whether an array of words is a phrase of the list, or is one without its last or first word if
+    that has a loose tag."""
+    known = sorted({p.lower() for p in phrases})
+    n = F.size(words)
+    joined = lambda w: F.array_join(w, " ").isin(*known)
+    last = (n > 1) & F.get(tags, n - 1).isin(*LOOSE) & joined(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))))
+    first = (n > 1) & F.get(tags, F.lit(0)).isin(*LOOSE) & joined(F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))))
+    return F.coalesce(joined(words) | last | first, F.lit(False))
+
+
+def pair_connective_label(sides: list[tuple[Column, Column]], classes: list[tuple[str, list[str]]]) -> Column:
+    """The first of (class, phrases) that the phrase of either side (words, tags) fits; null if none.
+    Both sides of a pair have this label."""
+    out = F.lit(None).cast("string")
+    for name, phrases in reversed(classes):
+        fits = F.lit(False)
+        for words, tags in sides:
+            fits = fits | listed_but_for_an_end(words, tags, phrases)
+        out = F.when(fits, name).otherwise(out)
+    return out
+
+
 def seed_label(words: Column, seeds: list[tuple[str, list[str]]], other: str = "other") -> Column:
     """The last class of (class, phrases) one of whose phrases has all its words among ``words``."""
     out = F.lit(other)

@@ -29,16 +29,65 @@ def turns(spark, sf_dir):
     return rows.select(pair.alias("pair"), (F.col("nr") % 2).alias("half"), F.struct("group", "nr").alias("turn"), text.tokens(F.col("text")).alias("w"))
 
 
-def aligned_turns(spark, sf_dir):
-    """The markers (merged spans) of each pair's halves that its links join.  The k-th place of a
-    word in one half is linked with the k-th in the other, in place of an aligner's links."""
+def turn_links(spark, sf_dir):
+    """The markers (merged spans) of each pair's halves, and links between the halves' words.  The k-th
+    place of a word in one half is linked with the k-th in the other, in place of an aligner's links."""
     t = turns(spark, sf_dir)
     spans = phrases.merged_spans(phrases.met_phrases(t, ALL, "turn", words="w"), key="turn")
     half = lambda n: spans.where(F.col("turn.nr") % 2 == n).select(F.struct("turn.group", F.floor(F.col("turn.nr") / 2).alias("pair_id")).alias("pair"), "start", "stop")
     places = t.select("pair", "half", F.posexplode("w").alias("pos", "token"))
     places = places.withColumn("r", F.row_number().over(Window.partitionBy("pair", "half", "token").orderBy("pos")))
     a, b = (places.where(F.col("half") == n).select("pair", "token", "r", F.col("pos").alias(c)) for n, c in ((0, "a"), (1, "b")))
-    return aligned.aligned_markers(half(0), half(1), a.join(b, ["pair", "token", "r"]).select("pair", "a", "b"))
+    return half(0), half(1), a.join(b, ["pair", "token", "r"]).select("pair", "a", "b")
+
+
+def aligned_turns(spark, sf_dir):
+    """The markers of each pair's halves that its links join."""
+    return aligned.aligned_markers(*turn_links(spark, sf_dir))
+
+
+BACK = """back AS (SELECT l.grp, l.pid, sa.start AS start_a, sa.stop AS stop_a, sb.start AS start_b, sb.stop AS stop_b, l.a AS token_a, l.b AS token_b FROM links l
+  JOIN spans sa ON sa.grp = l.grp AND sa.nr = 2 * l.pid AND l.a >= sa.start AND l.a < sa.stop JOIN spans sb ON sb.grp = l.grp AND sb.nr = 2 * l.pid + 1 AND l.b >= sb.start AND l.b < sb.stop
+  WHERE NOT EXISTS (SELECT 1 FROM met m WHERE m.grp = l.grp AND m.pid = l.pid AND m.start_b = sb.start AND m.stop_b = sb.stop)
+  QUALIFY row_number() OVER (PARTITION BY l.grp, l.pid, sb.start, sb.stop ORDER BY l.b, l.a) = 1),
+ways AS (SELECT *, false AS back FROM met UNION ALL SELECT *, true FROM back)"""
+
+
+@query("aligned_both_ways", f"WITH {ALIGNED}, {BACK} SELECT grp AS conv_id, pid AS pair_id, start_a, stop_a, start_b, stop_b, token_a, token_b, back FROM ways")
+def _(spark, sf_dir):
+    found = aligned.aligned_both_ways(*turn_links(spark, sf_dir))
+    return found.select(F.col("pair.group").alias("conv_id"), "pair.pair_id", "start_a", "stop_a", "start_b", "stop_b", "token_a", "token_b", "back")
+
+
+_TAG = "list_transform({w}, lambda x: CASE WHEN length(x) <= 3 THEN 'IN' WHEN length(x) <= 6 THEN 'NN' ELSE 'VBG' END)"
+_FITS = """array_to_string({w}, ' ') IN ({p}) OR (len({w}) > 1 AND {t}[-1] IN ('TO', 'IN') AND array_to_string({w}[1:len({w}) - 1], ' ') IN ({p})) OR (len({w}) > 1 AND {t}[1] IN ('TO', 'IN') AND array_to_string({w}[2:], ' ') IN ({p}))"""
+
+
+def _fits(name):
+    p = ", ".join(f"'{x}'" for x in sorted({x.lower() for x in markers.phrases(name)}))
+    return " OR ".join(_FITS.format(w=w, t=t, p=p) for w, t in (("wa", "ga"), ("wb", "gb")))
+
+
+@query("aligned_connective_labels", f"""WITH {ALIGNED}, {BACK},
+ph AS (SELECT ways.*, ta.w[greatest(start_a, 1):stop_a] AS wa, tb.w[greatest(start_b, 1):stop_b] AS wb FROM ways JOIN t ta ON ta.grp = ways.grp AND ta.nr = 2 * pid JOIN t tb ON tb.grp = ways.grp AND tb.nr = 2 * pid + 1),
+tg AS (SELECT *, {_TAG.format(w="wa")} AS ga, {_TAG.format(w="wb")} AS gb FROM ph),
+lb AS (SELECT *, CASE WHEN {_fits("reason")} THEN 'reason' WHEN {_fits("result")} THEN 'result' WHEN {_fits("notcausal")} THEN 'notcausal' END AS label FROM tg)
+SELECT grp AS conv_id, pid AS pair_id, back, 0 AS side, array_to_string(wa, ' ') AS phrase, label FROM lb WHERE label IS NOT NULL
+UNION ALL SELECT grp, pid, back, 1, array_to_string(wb, ' '), label FROM lb WHERE label IS NOT NULL""")
+def _(spark, sf_dir):
+    """Pairs of aligned markers, each with the word before it, labelled by either side's phrase but for
+    a preposition at an end; tags go by the length of words."""
+    m = aligned.aligned_both_ways(*turn_links(spark, sf_dir))
+    tag = lambda w: F.when(F.char_length(w) <= 3, "IN").when(F.char_length(w) <= 6, "NN").otherwise("VBG")
+    t = turns(spark, sf_dir)
+    for n, c in ((0, "a"), (1, "b")):
+        begin = F.greatest(F.col(f"start_{c}"), F.lit(1))
+        m = m.join(t.where(F.col("half") == n).select("pair", "w"), "pair").withColumn(f"words_{c}", F.slice("w", begin, F.col(f"stop_{c}") - begin + 1)).drop("w")
+        m = m.withColumn(f"tags_{c}", F.transform(f"words_{c}", tag))
+    classes = [(c, markers.phrases(c)) for c in ("reason", "result", "notcausal")]
+    label = aligned.pair_connective_label([(F.col("words_a"), F.col("tags_a")), (F.col("words_b"), F.col("tags_b"))], classes)
+    rows = m.withColumn("label", label).where("label is not null").withColumns({"phrase_a": F.array_join("words_a", " "), "phrase_b": F.array_join("words_b", " ")})
+    return aligned.both_sides(rows, "pair", "back", "label", columns=["phrase"]).select(F.col("pair.group").alias("conv_id"), "pair.pair_id", "back", "side", "phrase", "label")
 
 
 @query("aligned_markers", f"WITH {ALIGNED} SELECT grp AS conv_id, pid AS pair_id, start_a, stop_a, start_b, stop_b, token_a, token_b FROM met")

@@ -189,3 +189,27 @@ def test_tree_markers(spark):
             got.setdefault(r["key"], []).append((r["start"], r["stop"], r["listed"]))
         want = {i: m for i, t, *_ in table if (m := plain_tree_markers(t, known, refused, strict=strict))}
         assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 20
+
+
+def test_aligned_both_ways(spark):
+    """Side a seeks first; of side b only what was not met does, and may meet a marker again."""
+    a = spark.createDataFrame([("p", 0, 2), ("p", 5, 6)], "pair string, start int, stop int")
+    b = spark.createDataFrame([("p", 0, 1), ("p", 3, 5), ("p", 8, 9)], "pair string, start int, stop int")
+    links = spark.createDataFrame([("p", 0, 4), ("p", 1, 0), ("p", 9, 8)], "pair string, a int, b int")
+    got = {tuple(r) for r in aligned.aligned_both_ways(a, b, links).select("start_a", "start_b", "token_a", "token_b", "back").collect()}
+    assert got == {(0, 3, 0, 4, False), (0, 0, 1, 0, True)}
+
+
+def test_pair_connective_label(spark):
+    classes = [("reason", ["because", "because of"]), ("result", ["so that"]), ("other", ["and"])]
+    rows = [
+        (["because"], ["XX"], ["x"], ["NN"], "reason"),
+        (["x"], ["NN"], ["so", "that", "to"], ["RB", "IN", "TO"], "result"),
+        (["so", "that"], ["RB", "IN"], ["in", "because"], ["IN", "IN"], "reason"),
+        (["because", "it"], ["IN", "PRP"], ["and", "of"], ["CC", "IN"], "other"),
+        (["to"], ["TO"], ["of"], ["IN"], None),
+        ([], [], ["x"], ["IN"], None),
+    ]
+    frame = spark.createDataFrame(rows, "wa array<string>, ta array<string>, wb array<string>, tb array<string>, want string")
+    label = aligned.pair_connective_label([(F.col("wa"), F.col("ta")), (F.col("wb"), F.col("tb"))], classes)
+    assert all(r["got"] == r["want"] for r in frame.withColumn("got", label).collect())
