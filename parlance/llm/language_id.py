@@ -10,9 +10,10 @@ each byte and language.  A piece is first parsed as if a phrase began with it, t
 the state its text really has there, until both parses are in the same state, from where on they
 agree; the counts are those of one parse of the whole text.
 
-The automata are built from whole texts of at most ``DOCUMENTS`` labelled rows a language, as
-many as fit in ``SAMPLE`` bytes (fewer beyond ten languages, ``TOTAL`` in all), so what is sent
-to the tasks is bounded, whatever the languages.
+The automata are built from at most about ``DOCUMENTS`` labelled rows a language, drawn whatever
+their length; each gives one excerpt, from a place that a hash of its text tells, of at most a
+``SHARE``-th of the ``SAMPLE`` bytes a language has (fewer beyond ten languages, ``TOTAL`` in all).
+So long rows are learned from like short ones, and what is sent to the tasks is bounded.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from parlance.llm.common import held_out, modest_batches, table
 SAMPLE = 32_000
 TOTAL = 320_000
 DOCUMENTS = 400
+SHARE = 64
 PIECE = 512
 
 
@@ -191,43 +193,43 @@ def identify(model: Model):
     return predict
 
 
-def chosen_rows(rows: list[tuple[int, object]], budget: int) -> list[object]:
-    """Of (bytes, id) rows, in their order, those that fit in a budget together, none of over a
-    sixteenth of it; if there is none, the smallest row."""
+def excerpt(text, size: int):
+    """At most ``size`` characters of a text column, from a place told by a hash of the whole text; a
+    shorter text is whole."""
+    places = F.greatest(F.char_length(text) - size, F.lit(0)) + 1
+    return F.substring(text, F.pmod(F.xxhash64(text, F.lit("place")), places).cast("int") + 1, F.lit(size))
+
+
+def within(pieces: list[str], budget: int) -> list[str]:
+    """The first pieces whose bytes fit in a budget together; the first one whatever its size."""
     out, left = [], budget
-    for size, key in rows:
-        if size <= min(left, budget // 16):
-            out.append(key)
-            left -= size
-    return out or [min(rows, key=lambda r: r[0])[1]]
+    for piece in pieces:
+        left -= len(piece.encode("utf-8", "surrogatepass"))
+        if left < 0 and out:
+            break
+        out.append(piece)
+    return out
 
 
 def fit(docs: DataFrame, *, documents: int = DOCUMENTS, sample: int = SAMPLE, total: int = TOTAL) -> Model:
-    """Learns from about ``documents`` rows a language, drawn by a hash of the id among those not
-    held out, the whole texts of those that ``chosen_rows`` takes.  Null ids, texts without a
-    letter and null languages are left out."""
+    """Learns from excerpts of about ``documents`` rows a language, drawn by a hash of the id among
+    those not held out, in the order of the draw, as many as fit; equal texts count once.  Null ids,
+    excerpts without a letter and null languages are left out.  The driver gets ``documents``
+    excerpts a language."""
     modest_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     draw = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return build({})
-    rate = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, documents / n)))))
-    content = F.xxhash64("text")
-    drawn = rows.where((draw <= rate[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
-    seen: dict[str, list[tuple[int, object]]] = {}
-    for r in sorted(drawn.select("lang", draw.alias("draw"), content.alias("content"), F.octet_length("text").alias("size")).distinct().collect()):
-        seen.setdefault(r["lang"], []).append((r["size"], r["content"]))
     budget = min(sample, total // len(sizes))
-    wanted = [(lang, c) for lang, own in seen.items() for c in chosen_rows(own, budget)]
-    if not wanted:
-        return build({})
-    picked = docs.sparkSession.createDataFrame(wanted, "lang string, content bigint")
-    texts = drawn.withColumn("content", content).join(F.broadcast(picked), ["lang", "content"]).select("lang", "text").distinct().collect()
-    samples: dict[str, list[str]] = {}
-    for r in sorted(texts):
-        samples.setdefault(r["lang"], []).append(normalised(r["text"]))
-    return build({k: " ".join(v) for k, v in samples.items()})
+    rate = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, documents / n)))))
+    piece = excerpt(F.col("text"), max(budget // SHARE, 1))
+    drawn = rows.where(draw <= rate[F.col("lang")]).select("lang", draw.alias("draw"), piece.alias("piece")).where(F.col("piece").rlike(r"\p{L}"))
+    seen: dict[str, dict[str, None]] = {}
+    for r in sorted(drawn.collect()):
+        seen.setdefault(r["lang"], {})[r["piece"]] = None
+    return build({k: " ".join(map(normalised, within(list(own), budget))) for k, own in seen.items()})
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:
