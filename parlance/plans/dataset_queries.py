@@ -6,6 +6,7 @@ from parlance.functions import markers, text
 from parlance.operators import datasets, evaluation, phrases, trees
 from parlance.plans.registry import DOC_HITS, GRAM, POINTS, SIDES, leads, marker_values, query, sides, table, tok
 from parlance.plans.text_queries import ALL, documents, points
+from parlance.sources import resume
 
 
 @query("duplicate_key_antijoin", f"""WITH k AS (SELECT doc_id, array_to_string(list_sort(list_filter({tok()}, lambda w: regexp_full_match(w, '\\p{{L}}+'))), ' ') AS key FROM documents),
@@ -351,3 +352,13 @@ def _(spark, sf_dir):
     rows = tagged(spark, sf_dir)
     found = trees.tree_markers(trees.nodes(rows, "key"), rows, ALL, refused=["the"])
     return found.select("key.doc_id", "key.sent_idx", "start", "stop", "listed")
+
+
+@query("article_ranges", """WITH r AS (SELECT min(doc_id) // 70 * 70 + k * 70 AS start, min(doc_id) // 70 * 70 + k * 70 + 70 + 20 * (k % 2) AS stop FROM documents, (SELECT unnest(range(5)) AS k) GROUP BY k)
+SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM documents JOIN r ON doc_id >= start AND doc_id < stop""")
+def _(spark, sf_dir):
+    """Documents with the ranges that hold them; ranges of files would come from their names."""
+    docs = documents(spark, sf_dir).select("doc_id")
+    first = docs.agg(F.floor(F.min("doc_id") / 70) * 70).first()[0] or 0
+    names = spark.createDataFrame([(f"{first + 70 * k}.{first + 70 * k + 70 + 20 * (k % 2)}.gz",) for k in range(5)], "path string")
+    return resume.located(docs, resume.named_ranges(names), key="doc_id", width=70).select("doc_id", "start", "stop")
