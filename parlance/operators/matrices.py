@@ -40,13 +40,13 @@ def similar_units(vectors: DataFrame, least: float, *, block: int = BLOCK) -> Da
         for side in (0, 1):
             rows = pdf[pdf["side"] == side]
             x = np.array(rows["vector"].tolist(), dtype=np.float64).reshape(len(rows), -1)
-            length = np.sqrt((x * x).sum(1))
-            keep = length > 0
-            sides.append((rows["idx"].to_numpy()[keep], rows["multi"].to_numpy()[keep], x[keep] / length[keep, None]))
-        (i, many_i, a), (j, many_j, b) = sides
+            square = (x * x).sum(1)
+            keep = square > 0
+            sides.append((rows["idx"].to_numpy()[keep], rows["multi"].to_numpy()[keep], x[keep], square[keep]))
+        (i, many_i, a, square_a), (j, many_j, b, square_b) = sides
         if not len(i) or not len(j):
             return rows_of([], [], [])
-        product = a @ b.T
+        product = (a @ b.T) / np.sqrt(np.multiply.outer(square_a, square_b))
         x, y = np.nonzero((product >= least) & ~np.logical_and.outer(many_i, many_j))
         return rows_of(i[x], j[y], product[x, y])
 
@@ -65,7 +65,7 @@ def zipped(vectors: DataFrame, scores: DataFrame, *, least_cosine: float = 0.5,
     by_vector = similar_units(narrow, least_cosine, block=block)
     unit = lambda side, c: narrow.where(F.col("side") == side).select("group", F.col("idx").alias(c), F.col("multi").alias(f"m{c}"), F.col("vector").alias(f"v{c}"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    cosine = dot("vi", "vj") / F.nullif(F.sqrt(dot("vi", "vi")) * F.sqrt(dot("vj", "vj")), F.lit(0.0))
+    cosine = dot("vi", "vj") / F.nullif(F.sqrt(dot("vi", "vi") * dot("vj", "vj")), F.lit(0.0))
     by_words = scores.where(F.col("score") >= least_score).join(unit(0, "i"), ["group", "i"]).join(unit(1, "j"), ["group", "j"]).where(~(F.col("mi") & F.col("mj")))
     by_words = by_words.select("group", "i", "j", cosine.alias("cosine"))
     both = by_vector.unionByName(by_words.where(F.col("cosine").isNull() | (F.col("cosine") < least_cosine)))
