@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,18 +109,58 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(x, y) / F.nullif(F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)), F.lit(0.0))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", blocks: int = 1) -> DataFrame:
+#: Queries that meet all rows at a time; what a task is sent.
+QUERIES_AT_ONCE = 2000
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", at_once: int = QUERIES_AT_ONCE) -> DataFrame:
     """(query, neighbour, cosine, rank): the k nearest rows of each query, itself left out, equal
-    ones by key.  The queries are a stated set; they are cut in blocks by key, and each block is
-    met with all rows and reduced to k before the blocks come together."""
+    ones (to six places) by key.  Null vectors and keys, and vectors of length 0, are near nothing.
+
+    The queries are a stated set of whole keys.  They are cut in blocks of about ``at_once`` by
+    their keys; each block is collected and sent to the tasks, which meet it with their rows by matrix products and
+    return at most k rows a query, so what is shuffled does not grow with the rows a task reads."""
+    count = queries.count()
+    blocks = max(1, -(-count // at_once))
+    kind = dict(rows.dtypes)[key]
+    held = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     best = None
     for block in range(blocks):
-        own = queries.where(F.pmod(F.col(key), F.lit(blocks)) == block).select(F.col(key).alias("query"), F.col(vector).alias("__q"))
-        met = rows.crossJoin(own).where(F.col(key) != F.col("query")).select("query", F.col(key).alias("neighbour"), F.round(cosine(F.col(vector), F.col("__q")), 6).alias("cosine"))
-        rank = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
-        top = met.withColumn("rank", F.row_number().over(rank).cast("bigint")).where(F.col("rank") <= k)
-        best = top if best is None else best.unionByName(top)
-    return best
+        mine = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(blocks)) == block))
+        own = mine.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).collect()
+        part = _near_block(held, [r["key"] for r in own], np.array([r["v"] for r in own], dtype=np.float64), k, kind)
+        best = part if best is None else best.unionByName(part)
+    rank = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
+    return best.withColumn("rank", F.row_number().over(rank).cast("bigint")).where(F.col("rank") <= k)
+
+
+def _near_block(held: DataFrame, names: list, asked: np.ndarray, k: int, kind: str) -> DataFrame:
+    sent = held.sparkSession.sparkContext.broadcast((names, asked))
+
+    def run(batches):
+        names, asked = sent.value
+        size = np.sqrt((asked * asked).sum(1)) if len(names) else np.zeros(0)
+        top: list[list[tuple]] = [[] for _ in names]
+        for b in batches:
+            if not names or not b.num_rows:
+                continue
+            keys = b.column("key").to_pylist()
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            norms = np.sqrt((x * x).sum(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cosine = np.round((asked @ x.T) / np.multiply.outer(size, norms), 6)
+            for q, own in enumerate(cosine):
+                fine = np.flatnonzero(~np.isnan(own))
+                if len(fine) > k + 1:  # as many as k without the query itself, and all that equal the last
+                    least = np.partition(own[fine], -(k + 1))[-(k + 1)]
+                    fine = fine[own[fine] >= least]
+                near = [(-float(own[i]), keys[i]) for i in fine if keys[i] != names[q]]
+                top[q] = sorted(top[q] + near)[:k]
+        found = [(names[q], key, -c) for q, own in enumerate(top) for c, key in own]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["query", "neighbour", "cosine"])
+
+    return held.mapInArrow(run, f"query {kind}, neighbour {kind}, cosine double")
 
 
 def fused(scores: DataFrame, a: str, b: str, least_a: float, least_b: float) -> DataFrame:

@@ -56,3 +56,26 @@ def test_without_sets_and_without_rows(spark):
         assert sorted((r["i"], r["j"]) for r in pairs.greedy(frame, most=most).collect()) == [(0, 1), (1, 0)]
         assert pairs.greedy(frame.where(F.lit(False)), most=most).count() == 0
     assert pairs.in_rounds(frame.limit(0).withColumns({"left": F.array("i"), "right": F.array("j")})).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [2000, 3])
+def test_nearest_like_all_pairs(spark, at_once):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-2, 3, (60, 4)).astype(float)  # many ties
+    vectors[5] = 0.0
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(60, None), (None, [1.0, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    asked = frame.where("vec_id % 7 = 0")
+    got = [tuple(r) for r in pairs.nearest(frame, asked, 4, at_once=at_once).select("query", "neighbour", "cosine", "rank").collect()]
+    want = []
+    for q in range(0, 60, 7):
+        cosines = []
+        for i in range(60):
+            size = np.linalg.norm(vectors[q]) * np.linalg.norm(vectors[i])
+            if i != q and size:
+                cosines.append((-round(float(vectors[q] @ vectors[i] / size), 6), i))
+        want += [(q, i, -c, r) for r, (c, i) in enumerate(sorted(cosines)[:4], 1)]
+    assert sorted(got) == sorted(want)
+    assert pairs.nearest(frame.where("false"), asked, 4).count() == 0 == pairs.nearest(frame, asked.where("false"), 4).count()
