@@ -27,10 +27,10 @@ from parlance.llm.common import filled, fresh, modest_batches, release_memory, t
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts encoded together.
-TEXTS = 1000
+TEXTS = 250
 #: Bytes that a worker's memos of chunks and pieces may hold, and entries of its memo of token
 #: pairs, before they start anew.  The first two end with their task, the last may serve the next.
-MEMO_BYTES, MEMO_PAIRS = 64 << 20, 250_000
+MEMO_BYTES, MEMO_PAIRS = 24 << 20, 250_000
 #: What an entry of a memo takes beside its characters and ids, in bytes, about.
 ENTRY = 200
 _GAP = re.compile(r"(?<=\S) (?=\S)")
