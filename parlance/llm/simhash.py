@@ -9,8 +9,9 @@ if their complete distance is small enough.  A table entry with very many finger
 to an exact second way that is linear in them: two fingerprints are within two bits of each
 other just when they share a neighbour within one bit.
 
-``near_copies`` finds copies of a given Jaccard similarity the same way, from 512-bit signatures
-in 24 20-bit segments; texts of few shingles, whose signatures say little, meet by shared shingles
+``near_copies`` finds copies of a given Jaccard similarity the same way, from signatures of some
+24 segments of 20 bits; both numbers grow with the logarithm of the corpus, so that a document
+meets as few unrelated ones in a large corpus as in a small one.  Texts of few shingles, whose signatures say little, meet by shared shingles
 instead.  So that no group of copies is compared pair by pair, each table entry first links its
 members to one of them, and only what is still apart after two such turns is looked up in the
 balls.  Every link is verified by the exact similarity of the shingles.
@@ -159,8 +160,9 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 
 # --- copies of a given similarity -------------------------------------------------------------
 
-WIDE = 8
-SEGMENT = 20
+#: Least bits of a segment, bits beyond the logarithm of the number of texts, and the share of links
+#: at exactly the similarity that segments find (by the binomial law).
+SEGMENT, SPARE, RECALL = 20, 2, 0.988
 #: Texts of at most so many distinct shingles meet by shingles instead of segments.
 FEW = 64
 #: Turns in which table entries link to one member, before the balls are looked up.
@@ -170,14 +172,29 @@ TURNS = 2
 APART, NEAR_APART = 16, 2
 #: Shingles that one task compares in such an entry, on average, at most twice this.
 BLOCK_SHINGLES = 500_000
-_MIX = np.array([0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(WIDE)], np.uint64)
 
 
-def wide_signature(hashes: np.ndarray) -> list[int]:
-    """64 * WIDE bits from distinct shingle hashes, as WIDE signed words."""
+def differing(similarity: float) -> float:
+    """Share of bits in which sets of that Jaccard similarity, of like size, differ: their angle."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def layout(texts: int, similarity: float) -> tuple[int, int]:
+    """(words of a signature, bits of a segment) for so many texts.  A segment's values outnumber
+    the texts, so a table entry holds few unrelated ones; there are as many segments as find
+    ``RECALL`` of the links up to one bit."""
+    bits = min(62, max(SEGMENT, int(np.ceil(np.log2(max(texts, 1)))) + SPARE))
+    p = differing(similarity)
+    met = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    count = int(np.ceil(np.log(1 - RECALL) / np.log(1 - met))) if 0 < met < 1 else 1
+    return -(-count // (64 // bits)), bits
+
+
+def wide_signature(hashes: np.ndarray, wide: int) -> list[int]:
+    """64 * wide bits from distinct shingle hashes, as signed words."""
     out = []
-    for salt in _MIX:
-        z = hashes + salt
+    for k in range(wide):
+        z = hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         out.append(_signed(majority(z ^ (z >> np.uint64(31)))))
@@ -189,9 +206,9 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def wide_simhash(words: int = 5, similarity: float = 0.8):
+def wide_simhash(words: int = 5, similarity: float = 0.8, wide: int = 8):
     """Column function text -> (node, size, sig, prefix): a hash of the set of shingles, its size,
-    WIDE words and, of sets small enough to be like one of FEW, the least shingle hashes."""
+    ``wide`` words and, of sets small enough to be like one of FEW, the least shingle hashes."""
 
     @F.pandas_udf("node bigint, size int, sig array<bigint>, prefix array<bigint>")
     def signature(texts: pd.Series) -> pd.DataFrame:
@@ -199,7 +216,7 @@ def wide_simhash(words: int = 5, similarity: float = 0.8):
         for t in texts:
             h = np.unique(shingle_hashes(t or "", words))
             least = h[: prefix_size(len(h), similarity)].view(np.int64).tolist() if len(h) <= FEW / similarity else []
-            rows.append((_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)), len(h), wide_signature(h), least))
+            rows.append((_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)), len(h), wide_signature(h, wide), least))
         return pd.DataFrame(rows, columns=["node", "size", "sig", "prefix"])
 
     return signature
@@ -215,11 +232,11 @@ def shingle_sets(words: int = 5):
     return grams
 
 
-def allowed_distance(similarity: float, bits: int) -> int:
-    """Bits in which sets of that Jaccard similarity, of like size, differ: the mean, from the
-    angle between them, and three standard deviations."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + 3 * np.sqrt(bits * p * (1 - p)))
+def allowed_distance(similarity: float, bits: int, deviations: int = 3) -> int:
+    """Bits in which sets of that Jaccard similarity, of like size, differ: the mean and some
+    standard deviations."""
+    p = differing(similarity)
+    return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
 
 
 def needed(sizes, similarity: float):
@@ -261,7 +278,7 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity: float, most: int = APART) -> DataFrame:
+def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity: float, shape: tuple[int, int], most: int = APART) -> DataFrame:
     """(node, root) of nodes (node, size, sig, prefix, content) that have a link: shingles of the
     similarity, root the least node reachable.
 
@@ -270,29 +287,34 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
     entries; then pairs are formed only between what is still apart, in entries with more than
     ``most`` members, or NEAR_APART that are near others, within tasks, block by block.  The
     shingles are made again from texts (content, text), of candidates alone."""
-    far = allowed_distance(similarity, 64 * WIDE)
+    words_of, bits = shape
+    far = allowed_distance(similarity, 64 * words_of)
     met_before: list[DataFrame] = []  # nodes near others
 
     def entered(rows: DataFrame, *carried: str) -> DataFrame:
         """Entries of the table; keys of shingles are negative, those of segments are not."""
-        wide = rows.where(F.col("size") > FEW).select(*carried, F.explode(segments([F.col("sig")[k] for k in range(WIDE)], SEGMENT)).alias("key"))
-        little = rows.select(*carried, F.explode(F.transform("prefix", lambda h: h.bitwiseOR(F.lit(-(1 << 63)).cast("bigint")))).alias("key"))
+        wide = rows.where(F.col("size") > FEW).select(*carried, F.col("sig")[0].alias("glance"), F.explode(segments([F.col("sig")[k] for k in range(words_of)], bits)).alias("key"))
+        little = rows.select(*carried, F.lit(0).cast("bigint").alias("glance"), F.explode(F.transform("prefix", lambda h: h.bitwiseOR(F.lit(-(1 << 63)).cast("bigint")))).alias("key"))
         return wide.unionByName(little)
 
     def asking(entries: DataFrame) -> DataFrame:
-        return probes(entries.where("key >= 0"), SEGMENT).unionByName(entries.where("key < 0").withColumn("flip", F.lit(0).cast("bigint")))
+        return probes(entries.where("key >= 0"), bits).unionByName(entries.where("key < 0").withColumn("flip", F.lit(0).cast("bigint")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         wanted = small(nodes.select("node", "content").join(small(wanted), "node", "left_semi"))
         once = texts.join(wanted, "content").dropDuplicates(["content"])
         return stored(once.select("node", shingle_sets(words)(F.col("text")).alias("grams")), "shingles")
 
+    def glanced(a: str, b: str) -> Column:
+        """Whether the first words of two signatures differ in few bits; those of shingles are 0."""
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= allowed_distance(similarity, 64, 4)
+
     alike = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b), by complete distance and then by the shingles."""
         sa, sb = (nodes.select(F.col("node").alias(c), F.col("sig").alias("s" + c), F.col("size").alias("n" + c)) for c in "ab")
-        distance = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(WIDE)), F.lit(0))
+        distance = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(words_of)), F.lit(0))
         close = alike & ((F.least("na", "nb") <= FEW) | (distance <= far))
         near = stored(pairs.join(sa, "a").join(sb, "b").where(close).select("a", "b"), "candidates")
         own = stored(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near")
@@ -314,9 +336,9 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
 
     for turn in range(TURNS):
         entries = entered(placed(), "node", "joined")
-        hubs = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "joined")).alias("hub"), (F.min("joined") != F.max("joined")).alias("apart"))
-        spokes = entries.join(hubs.where("apart").select("key", F.col("hub.node").alias("centre"), F.col("hub.joined").alias("whose")), "key")
-        roots = joined_by(verified(spokes.where("joined != whose").select(*_pair("node", "centre")).distinct()))
+        hubs = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "joined", "glance")).alias("hub"), (F.min("joined") != F.max("joined")).alias("apart"))
+        spokes = entries.join(hubs.where("apart").select("key", F.col("hub.node").alias("centre"), F.col("hub.joined").alias("whose"), F.col("hub.glance").alias("seen")), "key")
+        roots = joined_by(verified(spokes.where((F.col("joined") != F.col("whose")) & glanced("glance", "seen")).select(*_pair("node", "centre")).distinct()))
 
     near = met_before[0]
     for more in met_before[1:]:
@@ -350,11 +372,11 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
         links = full.groupBy("key", "blocks").applyInPandas(_joining(far, similarity), "a bigint, b bigint")
         roots = joined_by(links)
         entries, asked = all_entries()
-    know = entries.select("key", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("joined").alias("jb"), F.col("near").alias("close_b"))
+    know = entries.select("key", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("glance").alias("gb"), F.col("joined").alias("jb"), F.col("near").alias("close_b"))
     know = know.join(hot, "key", "left").where(~F.coalesce("whole", F.lit(False)))  # ``whole`` is null where the entry isn't crowded
-    ask = asked.select("key", "flip", F.col("node").alias("a"), F.col("size").alias("na"), F.col("joined").alias("ja"), F.col("near").alias("close_a"))
+    ask = asked.select("key", "flip", F.col("node").alias("a"), F.col("size").alias("na"), F.col("glance").alias("ga"), F.col("joined").alias("ja"), F.col("near").alias("close_a"))
     done = F.col("whole").isNotNull() & F.col("close_a") & F.col("close_b")
-    met = ask.join(know, "key").where((F.col("ja") != F.col("jb")) & alike & ((F.col("flip") != 0) | (F.col("a") < F.col("b"))) & ~done)
+    met = ask.join(know, "key").where((F.col("ja") != F.col("jb")) & alike & glanced("ga", "gb") & ((F.col("flip") != 0) | (F.col("a") < F.col("b"))) & ~done)
     return joined_by(verified(met.select(*_pair("a", "b")).distinct()))
 
 
@@ -363,15 +385,17 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
 
     Texts with equal shingle sets, and texts that links of at least the exact similarity join,
     are one group; so are all null, empty and blank texts.  Of rows that
-    repeat both key and text one stays.  The columns are those of docs, whatever their names."""
+    repeat both key and text one stays.  docs are counted first, for the width of the segments, and
+    read four times.  The columns are those of docs, whatever their names."""
     modest_batches(docs.sparkSession)
     content = F.xxhash64(filled(F.col(text)))
-    made = docs.select(F.col(key).alias("key"), content.alias("content"), wide_simhash(words, similarity)(filled(F.col(text))).alias("made"))
+    shape = layout(docs.count(), similarity)
+    made = docs.select(F.col(key).alias("key"), content.alias("content"), wide_simhash(words, similarity, shape[0])(filled(F.col(text))).alias("made"))
     rows = stored(made.select("key", "content", "made.*"), "signatures")
     least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "content")).alias("least")
     nodes = stored(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"), F.min("content").alias("content"), least), "nodes")
     texts = docs.select(content.alias("content"), filled(F.col(text)).alias("text"))
-    roots = similar_roots(nodes, texts, words=words, similarity=similarity, most=most)
+    roots = similar_roots(nodes, texts, words=words, similarity=similarity, shape=shape, most=most)
     rooted = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"), F.col("least.content").alias("content"))
     again = rows.groupBy("key", "content").agg(F.count("*").alias("n")).select("key", "content", (F.col("n") > 1).alias("again"))

@@ -575,10 +575,31 @@ def test_cross_parsing_counts(spark):
             assert r["p"]["lang"] == "xyz"[int(np.argmin(own))] and r["p"]["score"] == pytest.approx(1 - min(own) / sorted(own)[1])
 
 
-def test_whole_rows_are_chosen():
-    assert language_id.chosen_rows([(10, "a"), (200, "b"), (10, "c"), (5, "d")], 160) == ["a", "c", "d"]
-    assert language_id.chosen_rows([(500, "a"), (200, "b")], 160) == ["b"]
-    assert language_id.chosen_rows([(10, k) for k in range(99)], 160) == list(range(16))
+def test_excerpts(spark):
+    """Any place of a text may be taken, equal texts give equal excerpts, and bytes are bounded."""
+    texts = [f"{'é' * k}x{'y' * (50 - k)}" for k in range(0, 51, 5)] + ["short", "", "twelve chars"]
+    got = [r["e"] for r in spark.createDataFrame([(t,) for t in texts + texts], "t string").select("t", language_id.excerpt(F.col("t"), 12).alias("e")).collect()]
+    assert got[: len(texts)] == got[len(texts) :] and all(e in t and len(e) == min(12, len(t)) for e, t in zip(got, texts))
+    assert len({t.index(e) for t, e in zip(texts[:11], got)}) > 1
+    assert language_id.within(["aaaa", "éé", "bb", "c"], 8) == ["aaaa", "éé"] and language_id.within(["aaaa"], 2) == ["aaaa"]
+
+
+@pytest.mark.parametrize("size", [900, 4000, 20_000])
+def test_rows_of_any_length_are_learned_from(spark, size):
+    """Three languages over one alphabet, told by their words; rows are all long."""
+    rng = random.Random(6)
+    rows = []
+    words = {lang: ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 7))) for _ in range(900)] for lang in ("p", "q", "r")}
+    for i in range(360):
+        lang = "pqr"[i % 3]
+        own = rng.sample(words[lang], 60)  # a row's own words
+        n = size if zlib.crc32(str(i).encode()) % 3 != 1 else 300
+        rows.append((i, " ".join(rng.choice(own) for _ in range(n // 5)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.step.nbytes < 64 << 20
+    got = docs.where(held_out(F.col("doc_id"))).select("lang", language_id.identify(model)(F.col("text")).alias("p")).collect()
+    assert np.mean([r["lang"] == r["p"]["lang"] for r in got]) >= 0.95 and len(got) > 80
 
 
 def test_language_accuracy(spark):
@@ -602,3 +623,26 @@ def test_held_out(spark):
     df = spark.createDataFrame([(i,) for i in range(30)] + [(None,)], "doc_id long")
     for r in df.select("doc_id", held_out(F.col("doc_id")).alias("h")).collect():
         assert r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_segments_follow_the_corpus():
+    """What a document meets by chance stays about the same, and links are found, at every size."""
+    p = simhash.differing(0.8)
+    for texts in [0, 1, 1000, 10**5, 10**6, 10**8, 10**10]:
+        wide, bits = simhash.layout(texts, 0.8)
+        count = wide * (64 // bits)
+        met = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+        assert 1 - (1 - met) ** count >= simhash.RECALL
+        assert texts / 2**bits <= 1 / 4
+    assert simhash.layout(50_000, 0.8) == (8, 20)
+
+
+def test_candidates_grow_with_the_corpus(spark):
+    """Random signatures in segments of the layout's width: pairs that share an entry are few."""
+    pairs = []
+    for n in (20_000, 160_000):
+        bits = int(np.ceil(np.log2(n))) + simhash.SPARE
+        rows = spark.range(n).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"))
+        keys = rows.select(F.explode(simhash.segments([F.col("a"), F.col("b")], bits)).alias("key"))
+        pairs.append(keys.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] / n)
+    assert pairs[1] < 2 * pairs[0] and pairs[1] < 1
