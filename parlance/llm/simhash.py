@@ -332,7 +332,16 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
         return nodes.join(roots, "node", "left").withColumn("joined", F.coalesce("root", "node")).drop("root")
 
     def joined_by(links: DataFrame) -> DataFrame:
-        return components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        """The roots with more links, which are first taken as links between roots, so that what is
+        joined already isn't gone through again."""
+        if roots is None:
+            return components(links)
+        for c in "ab":
+            known = roots.select(F.col("node").alias(c), F.col("root").alias("top"))
+            links = links.join(known, c, "left").withColumn(c, F.coalesce("top", c)).drop("top")
+        above = components(links)
+        moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        return stored(moved.unionByName(above), "roots")
 
     for turn in range(TURNS):
         entries = entered(placed(), "node", "joined")
