@@ -177,3 +177,17 @@ def test_paired_t_and_fold_averages(spark):
     folds = spark.createDataFrame([(0.5, 1.0, 0.5, 0.6667), (0.7, 0.0, 0.5, 0.0)], "accuracy double, precision double, recall double, f1 double")
     r = evaluation.fold_averages(folds).first()
     assert (r["folds"], r["accuracy"], r["f1"]) == (2, 0.6, 0.5) and abs(r["mean_f1"] - 0.33335) < 1e-9
+
+
+def test_first_markers_are_found_within_the_row(spark):
+    rows = [(1, "As a matter of fact, it is so. No one! As a rule and so."), (2, "band as, 𝒜𝒜 as a result"), (3, None), (4, "and")]
+    d = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {(r["doc_id"], r["sent_idx"], r["pos"], r["n"], r["phrase"], " ".join(r["words"])) for r in phrases.data_points(d, ["as", "and", "as a matter of fact", "As a result"]).collect()}
+    assert got == {(1, 0, 0, 5, "as a matter of fact", "as a matter of fact it is so"), (1, 2, 0, 1, "as", "as a rule and so"), (2, 0, 1, 1, "as", "band as 𝒜𝒜 as a result"), (4, 0, 0, 1, "and", "and")}
+
+
+def test_ordered_pairs_are_counted_without_a_shuffle(spark):
+    p = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["x"]), (3, [])], "k int, words array<string>")
+    pairs = features.ordered_pairs(p, "k")
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, pairs.collect())) == [(1, "a_a", 2), (1, "a_b", 2), (1, "b_a", 2)]
