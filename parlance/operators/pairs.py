@@ -111,6 +111,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Queries that meet all rows at a time; what a task is sent.
 QUERIES_AT_ONCE = 2000
+#: Cosines that a task holds at a time, whatever the size of its batches.
+CELLS = 500_000
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", at_once: int = QUERIES_AT_ONCE) -> DataFrame:
@@ -141,21 +143,28 @@ def _near_block(held: DataFrame, names: list, asked: np.ndarray, k: int, kind: s
         names, asked = sent.value
         size = np.sqrt((asked * asked).sum(1)) if len(names) else np.zeros(0)
         top: list[list[tuple]] = [[] for _ in names]
+        floor = np.full(len(names), -np.inf)  # what a row must reach to be among a query's k
         for b in batches:
             if not names or not b.num_rows:
                 continue
-            keys = b.column("key").to_pylist()
-            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            norms = np.sqrt((x * x).sum(1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cosine = np.round((asked @ x.T) / np.multiply.outer(size, norms), 6)
-            for q, own in enumerate(cosine):
-                fine = np.flatnonzero(~np.isnan(own))
-                if len(fine) > k + 1:  # as many as k without the query itself, and all that equal the last
-                    least = np.partition(own[fine], -(k + 1))[-(k + 1)]
-                    fine = fine[own[fine] >= least]
-                near = [(-float(own[i]), keys[i]) for i in fine if keys[i] != names[q]]
-                top[q] = sorted(top[q] + near)[:k]
+            step = max(1, CELLS // len(names))
+            for part in (b.slice(at, step) for at in range(0, b.num_rows, step)):
+                keys = part.column("key").to_pylist()
+                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                norms = np.sqrt((x * x).sum(1))
+                cosine = asked @ x.T
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    np.divide(cosine, size[:, None] * norms, out=cosine)
+                np.round(cosine, 6, out=cosine)
+                cosine[np.isnan(cosine)] = -np.inf
+                least = floor
+                if len(keys) > k + 1:  # as many as k without the query itself, and all that equal the last
+                    least = np.maximum(floor, np.partition(cosine, -(k + 1), axis=1)[:, -(k + 1)])
+                for q in np.flatnonzero((cosine >= least[:, None]).any(1)):
+                    fine = np.flatnonzero((cosine[q] >= least[q]) & (cosine[q] > -np.inf))
+                    top[q] = sorted(top[q] + [(-float(cosine[q, i]), keys[i]) for i in fine if keys[i] != names[q]])[:k]
+                    if len(top[q]) == k:
+                        floor[q] = -top[q][-1][0]
         found = [(names[q], key, -c) for q, own in enumerate(top) for c, key in own]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["query", "neighbour", "cosine"])

@@ -79,3 +79,29 @@ def test_nearest_like_all_pairs(spark, at_once):
         want += [(q, i, -c, r) for r, (c, i) in enumerate(sorted(cosines)[:4], 1)]
     assert sorted(got) == sorted(want)
     assert pairs.nearest(frame.where("false"), asked, 4).count() == 0 == pairs.nearest(frame, asked.where("false"), 4).count()
+
+
+def test_a_large_batch_makes_no_large_matrix():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    made = {}
+    context = SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v))
+    held = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context), mapInArrow=lambda run, kind: made.update(run=run))
+    draw = np.random.default_rng(1)
+    asked, rows = draw.integers(-5, 6, (500, 8)).astype(float), draw.integers(-5, 6, (20_000, 8)).astype(float)
+    pairs._near_block(held, list(range(500)), asked, 3, "bigint")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20_000)), pa.array(list(rows), pa.list_(pa.float64()))], names=["key", "v"])
+    tracemalloc.start()
+    got = [tuple(r.values()) for b in made["run"]([batch]) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and len(got) == 1500
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = np.nan_to_num(np.round(asked[7] @ rows.T / (np.linalg.norm(asked[7]) * np.linalg.norm(rows, axis=1)), 6), nan=-2)
+    own[7] = -2
+    order = sorted(range(20_000), key=lambda i: (-own[i], i))[:3]
+    assert sorted((r[1], r[2]) for r in got if r[0] == 7) == sorted((i, own[i]) for i in order)
