@@ -191,3 +191,39 @@ def test_ordered_pairs_are_counted_without_a_shuffle(spark):
     pairs = features.ordered_pairs(p, "k")
     assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, pairs.collect())) == [(1, "a_a", 2), (1, "a_b", 2), (1, "b_a", 2)]
+
+
+def test_positional_sets_are_the_distinct_positional_grams(spark):
+    d = spark.createDataFrame([(k, w.split()) for k, w in enumerate(("", "a", "a b", "a b c", "a a a a", "a b a b a b a", "a b c d e f a b"))], "k int, w array<string>")
+    want = {(r["k"], r["g"]["place"], r["g"]["gram"]) for r in d.select("k", F.explode(phrases.positional_grams(F.col("w"), 3, 2)).alias("g")).collect()}
+    got = [tuple(r) for r in d.select("k", F.inline(phrases.positional_sets(F.col("w"), 3, 2))).select("k", "place", F.explode("grams")).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_common_keys_are_looked_up_in_tasks(spark):
+    from parlance.functions.cluster import looked_up
+
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(["a"] * 5 + ["b", "c", "d", None])], "i int, w string")
+    known = spark.createDataFrame([("a", 9, 1.0), ("b", 2, 2.0), ("c", 1, 3.0), ("e", 1, 4.0)], "w string, n int, v double")
+    for how in ("inner", "left"):
+        want = sorted(map(repr, rows.join(known.drop("n"), "w", how).collect()))
+        for most in (0, 1, 2, 100):
+            assert sorted(map(repr, looked_up(rows, known, "w", weight="n", how=how, most=most).collect())) == want
+    assert "SortMergeJoin" not in looked_up(rows, known, "w", weight="n")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_common_word_of_a_lexicon_is_in_no_single_task(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        entries = weights.lexicon(spark.createDataFrame([(0, "the"), (1, "the"), (1, "rare"), (1, "rare")], "cls int, word string"))
+        parts = spark.createDataFrame([(k, "prev", w) for k in range(3) for w in ("the", "the", "rare")], "datum int, segment string, word string")
+        scores = weights.lexicon_scores(parts, entries)
+        assert "SortMergeJoin" not in scores._jdf.queryExecution().executedPlan().toString()
+        got = {(r["datum"], r["cls"]): round(r["score"], 6) for r in scores.collect()}
+        assert got == {(k, c): round((c + 1) * math.log(2), 6) for k in range(3) for c in (0, 1)}
+        one = spark.createDataFrame([("the", 0.5, 4)], "feature string, kld double, often int")
+        tf = spark.createDataFrame([(1, "the", 2), (2, "x", 1)], "datum int, feature string, tf int")
+        assert "SortMergeJoin" not in weights.reweighted(tf, one)._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in weights.reweighted(tf, one).collect()] == [(1, "the", 1.0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
