@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.cluster import looked_up
+
 #: What a divergence is when a probability is 0 or 1, and its greatest value.
 CAP = 10.0
 
@@ -90,5 +92,9 @@ def lexicon(facts: DataFrame) -> DataFrame:
 
 
 def lexicon_scores(parts: DataFrame, entries: DataFrame) -> DataFrame:
-    """(datum, segment, cls, score): sums of the entropies of parts (datum, segment, word)."""
-    return parts.join(entries.where("entropy > 0").select("word", "cls", "entropy"), "word").groupBy("datum", "segment", "cls").agg(F.sum("entropy").alias("score"))
+    """(datum, segment, cls, score): sums of the entropies of parts (datum, segment, word).  A word's
+    entries are one row, which parts of common words look up in tasks, so no task gathers such a
+    word's parts."""
+    of = entries.where("entropy > 0").groupBy("word").agg(F.max("total").alias("total"), F.collect_list(F.struct("cls", "entropy")).alias("of"))  # an entry a class
+    met = looked_up(parts, of, "word", weight="total").select("datum", "segment", F.inline("of"))
+    return met.groupBy("datum", "segment", "cls").agg(F.sum("entropy").alias("score"))
