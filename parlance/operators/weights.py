@@ -62,8 +62,14 @@ def top_features(weights: DataFrame, k: int, *, by: str = "kld") -> DataFrame:
 
 
 def reweighted(counts: DataFrame, weights: DataFrame, *, by: str = "kld") -> DataFrame:
-    """counts (datum, feature, tf) times the feature's weight; features without one are dropped."""
-    return counts.join(weights.select("feature", by), "feature").select("datum", "feature", (F.col("tf") * F.col(by)).alias("value"))
+    """counts (datum, feature, tf) times the feature's weight, one a feature; features without one
+    are dropped.  With ``often`` in the weights, how often a feature comes, the commonest ones are
+    looked up in tasks (``looked_up``) however many there are."""
+    if "often" not in weights.columns:
+        met = counts.join(weights.select("feature", by), "feature")
+    else:
+        met = looked_up(counts, weights.select("feature", by, "often"), "feature", weight="often")
+    return met.select("datum", "feature", (F.col("tf") * F.col(by)).alias("value"))
 
 
 def tfkld(pairs: DataFrame) -> DataFrame:
