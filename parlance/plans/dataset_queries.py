@@ -330,9 +330,7 @@ def _(spark, sf_dir):
 
     first = F.when(F.col("pos") > 0, F.concat(phrase("NP", F.col("prev")), F.lit(" "), phrase("VP", F.col("curr")))).otherwise(phrase("NP", F.col("curr")))
     rows = points(spark, sf_dir).select(F.struct("doc_id", "sent_idx").alias("key"), F.concat(F.lit("(S "), first, F.lit(")")).alias("tree"))
-    n = trees.nodes(rows, "key")
-    beside = trees.siblings(n, "key", left=False).withColumnRenamed("label", "beside")
-    own = n.where("label = 'NP'").join(beside, ["key", "node"])
+    own = trees.with_siblings(trees.nodes(rows, "key"), "key", left=False).where("label = 'NP'")
     return own.select("key.doc_id", "key.sent_idx", "label", "beside", (F.col("stop") - F.col("first")).alias("leaves"))
 
 

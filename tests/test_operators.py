@@ -227,3 +227,14 @@ def test_a_common_word_of_a_lexicon_is_in_no_single_task(spark):
         assert [tuple(r) for r in weights.reweighted(tf, one).collect()] == [(1, "the", 1.0)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_siblings_deal_nodes_once(spark):
+    own = trees.nodes(spark.createDataFrame([(1, "(S (A a) (B b) (C (D d)))")], "key int, tree string"), "key")
+    for left, want in ((True, {"S": "0", "A": "0", "B": "A", "C": "B", "D": ""}), (False, {"S": "", "A": "B", "B": "C", "C": "", "D": ""})):
+        found = trees.with_siblings(own, "key", left=left)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("ArrowEvalPython") == 1
+        assert {r["label"]: r["beside"] for r in found.collect()} == want
+    gap = own.where("label != 'B'")  # a neighbour that is left out is none
+    assert {r["label"]: r["beside"] for r in trees.with_siblings(gap, "key", left=False).collect()}["A"] == ""
