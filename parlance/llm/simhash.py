@@ -167,9 +167,13 @@ SEGMENT, SPARE, RECALL = 20, 2, 0.988
 FEW = 64
 #: Turns in which table entries link to one member, before the balls are looked up.
 TURNS = 2
+#: Members of its table entries that a text is compared with in a turn.
+HUBS = 3
 #: Table entries with more members that are still apart are compared block by block, those whose
 #: members are near others (by complete distance) from the second number on.
 APART, NEAR_APART = 16, 2
+#: Parts in which the segments' crowded entries are compared, one after the other.
+ROUNDS = 6
 #: Shingles that one task compares in such an entry, on average, at most twice this.
 BLOCK_SHINGLES = 500_000
 
@@ -278,14 +282,24 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def nearest_hubs(spokes: DataFrame, most: int = HUBS) -> DataFrame:
+    """Of spokes (node, centre), a row an entry, each node's ``most`` centres that it shares most
+    entries with, so that a member of a large group is verified a few times, not once an entry.
+    What these don't join is still apart, and looked up behind the turns."""
+    shared = spokes.groupBy("node", "centre").agg(F.count("*").alias("n"))
+    order = F.struct((-F.col("n")).alias("by"), F.xxhash64("centre").alias("at"), "centre")
+    best = shared.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(order)), 1, most).alias("best"))  # at most an entry's hub each
+    return best.select("node", F.explode("best.centre").alias("centre"))
+
+
 def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity: float, shape: tuple[int, int], most: int = APART) -> DataFrame:
     """(node, root) of nodes (node, size, sig, prefix, content) that have a link: shingles of the
     similarity, root the least node reachable.
 
     Candidates share a segment up to one bit or, with few shingles, one of the least shingles.
-    First each table entry links its members to one of them, which makes no more pairs than
-    entries; then pairs are formed only between what is still apart, in entries with more than
-    ``most`` members, or NEAR_APART that are near others, within tasks, block by block.  The
+    First each table entry links its members to one of them, of which a member is verified with
+    HUBS a turn; then pairs are formed only between what is still apart, in entries with more than
+    ``most`` members, or NEAR_APART that are near others, within tasks, block by block, a part of the segments at a time (ROUNDS).  The
     shingles are made again from texts (content, text), of candidates alone."""
     words_of, bits = shape
     far = allowed_distance(similarity, 64 * words_of)
@@ -324,6 +338,10 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
         common = F.size(F.array_intersect("ga", "gb"))
         return near.join(ga, "a").join(gb, "b").where(common >= needed(F.size("ga") + F.size("gb"), similarity)).select("a", "b")
 
+    def turn_of(key: str) -> Column:
+        """The round of an entry: by its segment, or by the value of a shingle."""
+        return F.pmod(F.when(F.col(key) >= 0, F.shiftright(key, bits)).otherwise(F.xxhash64(key)), F.lit(ROUNDS)).cast("int")
+
     roots = None
 
     def placed() -> DataFrame:
@@ -347,7 +365,7 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
         entries = entered(placed(), "node", "joined")
         hubs = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "joined", "glance")).alias("hub"), (F.min("joined") != F.max("joined")).alias("apart"))
         spokes = entries.join(hubs.where("apart").select("key", F.col("hub.node").alias("centre"), F.col("hub.joined").alias("whose"), F.col("hub.glance").alias("seen")), "key")
-        roots = joined_by(verified(spokes.where((F.col("joined") != F.col("whose")) & glanced("glance", "seen")).select(*_pair("node", "centre")).distinct()))
+        roots = joined_by(verified(nearest_hubs(spokes.where((F.col("joined") != F.col("whose")) & glanced("glance", "seen"))).select(*_pair("node", "centre")).distinct()))
 
     near = met_before[0]
     for more in met_before[1:]:
@@ -362,9 +380,12 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
     entries, asked = all_entries()
     counts = entries.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("near"), 1)).alias("n_near"))
     hot = stored(counts.where((F.col("n") > most) | (F.col("n_near") > min(most, NEAR_APART))).select("key", (F.col("n") > most).alias("whole")), "crowded")
-    links = None
+    own_members = None
     if not hot.isEmpty():
-        members = asked.join(hot, "key").where("whole or near").select("key", "node", "joined", "size").distinct()
+        own_members = stored(asked.join(hot, "key").where("whole or near").select("key", "node", "size").distinct().withColumn("round", turn_of("key")), "members")
+    # a part of the segments after the other: what one part joins, the next ones don't deal out again
+    for turn in range(ROUNDS if own_members is not None else 0):
+        members = own_members.where(F.col("round") == turn).select("key", "node", "size").join(placed().select("node", "joined"), "node")
         largest = members.groupBy("key", "joined").agg(F.count("*").alias("n"), F.sum("size").alias("s")).groupBy("key").agg(F.max(F.struct("n", "joined", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("groups")).where("groups > 1")
         share = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
         plan = largest.select("key", F.col("main.joined").alias("whose"), share(F.col("main.n"), F.col("main.s")).alias("mains"), share(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("rests"))
@@ -376,10 +397,18 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
         of_main = F.transform(up_to(F.col("rests")), lambda r: F.struct(r.alias("lo"), (-1 - F.col("block")).alias("hi")))
         dealt = own.select("key", "node", "joined", "rest", F.explode(F.when(F.col("rest"), F.concat(with_main, with_rest)).otherwise(of_main)).alias("blocks"))
         dealt = stored(dealt, "dealt")
+        if dealt.isEmpty():
+            forget(dealt)
+            continue
         sets = sets_of(dealt.select("node").distinct())
         full = dealt.join(nodes.select("node", "sig"), "node").join(sets, "node")
         links = full.groupBy("key", "blocks").applyInPandas(_joining(far, similarity), "a bigint, b bigint")
         roots = joined_by(links)
+        forget(dealt)
+        forget(sets)
+    if own_members is not None:
+        forget(own_members)
+        forget(entries)
         entries, asked = all_entries()
     know = entries.select("key", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("glance").alias("gb"), F.col("joined").alias("jb"), F.col("near").alias("close_b"))
     know = know.join(hot, "key", "left").where(~F.coalesce("whole", F.lit(False)))  # ``whole`` is null where the entry isn't crowded

@@ -646,3 +646,14 @@ def test_candidates_grow_with_the_corpus(spark):
         keys = rows.select(F.explode(simhash.segments([F.col("a"), F.col("b")], bits)).alias("key"))
         pairs.append(keys.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] / n)
     assert pairs[1] < 2 * pairs[0] and pairs[1] < 1
+
+
+def test_a_member_of_a_large_group_is_verified_a_few_times(spark):
+    rows = [(node, entry % 8) for node in range(100) for entry in range(24)] + [(200, 7)]
+    got = simhash.nearest_hubs(spark.createDataFrame(rows, "node long, centre long"), 3).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r["node"], set()).add(r["centre"])
+    assert len(got) == 301 and all(len(per[n]) == 3 for n in range(100)) and per[200] == {7}
+    rows = [(1, 5)] * 3 + [(1, 6)] * 2 + [(1, 7)]
+    assert {r["centre"] for r in simhash.nearest_hubs(spark.createDataFrame(rows, "node long, centre long"), 2).collect()} == {5, 6}
