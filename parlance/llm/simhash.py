@@ -172,8 +172,6 @@ HUBS = 3
 #: Table entries with more members that are still apart are compared block by block, those whose
 #: members are near others (by complete distance) from the second number on.
 APART, NEAR_APART = 16, 2
-#: Parts in which the segments' crowded entries are compared, one after the other.
-ROUNDS = 6
 #: Shingles that one task compares in such an entry, on average, at most twice this.
 BLOCK_SHINGLES = 500_000
 
@@ -278,6 +276,24 @@ def _joining(far: int, similarity: float):
     return join
 
 
+def linkable(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of members (key, node, size, ...) of table entries, those that may have a link to another member
+    of the entry, with ``up_to``, the size of the largest such set; sets (node, grams) are their shingles.
+
+    Shingles that no other set has are in no overlap, so a set has links only to sets up to the
+    size at which the rest of its shingles are still enough.  Where that is less than its own size,
+    the other set has room for as large ones as itself.  So the copies of one text that are each
+    changed too much to be copies of each other aren't compared in every entry that they share."""
+    alone = sets.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    up_to = (F.col("size") - F.coalesce("alone", F.lit(0)) + 2e-6) * ((1 + similarity) / similarity) - F.col("size")
+    step = lambda n: F.floor(F.log2(n) * 64)
+    told = members.join(alone, "node", "left").withColumn("up_to", up_to).drop("alone").withColumn("roomy", F.col("up_to") >= F.col("size"))
+    told = stored(told, "told")
+    sizes = told.where("roomy").groupBy("key").agg(F.collect_set(step("size")).alias("steps"))  # some 64 for each doubling of the size
+    fits = F.exists("steps", lambda s: (s >= step(F.col("size") * similarity - 1e-6)) & (s <= step("up_to")))
+    return told.join(sizes, "key").where(F.col("roomy") | F.coalesce(fits, F.lit(False))).select(*members.columns, "up_to")
+
+
 def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -299,8 +315,9 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
     Candidates share a segment up to one bit or, with few shingles, one of the least shingles.
     First each table entry links its members to one of them, of which a member is verified with
     HUBS a turn; then pairs are formed only between what is still apart, in entries with more than
-    ``most`` members, or NEAR_APART that are near others, within tasks, block by block, a part of the segments at a time (ROUNDS).  The
-    shingles are made again from texts (content, text), of candidates alone."""
+    ``most`` members, or NEAR_APART that are near others, within tasks, block by block.  Of these
+    entries' members only the linkable() ones are compared, behind one more turn to the one that
+    shares most.  The shingles are made again from texts (content, text), of candidates alone."""
     words_of, bits = shape
     far = allowed_distance(similarity, 64 * words_of)
     met_before: list[DataFrame] = []  # nodes near others
@@ -338,10 +355,6 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
         common = F.size(F.array_intersect("ga", "gb"))
         return near.join(ga, "a").join(gb, "b").where(common >= needed(F.size("ga") + F.size("gb"), similarity)).select("a", "b")
 
-    def turn_of(key: str) -> Column:
-        """The round of an entry: by its segment, or by the value of a shingle."""
-        return F.pmod(F.when(F.col(key) >= 0, F.shiftright(key, bits)).otherwise(F.xxhash64(key)), F.lit(ROUNDS)).cast("int")
-
     roots = None
 
     def placed() -> DataFrame:
@@ -382,10 +395,26 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
     hot = stored(counts.where((F.col("n") > most) | (F.col("n_near") > min(most, NEAR_APART))).select("key", (F.col("n") > most).alias("whole")), "crowded")
     own_members = None
     if not hot.isEmpty():
-        own_members = stored(asked.join(hot, "key").where("whole or near").select("key", "node", "size").distinct().withColumn("round", turn_of("key")), "members")
-    # a part of the segments after the other: what one part joins, the next ones don't deal out again
-    for turn in range(ROUNDS if own_members is not None else 0):
-        members = own_members.where(F.col("round") == turn).select("key", "node", "size").join(placed().select("node", "joined"), "node")
+        found = stored(asked.join(hot, "key").where("whole or near").select("key", "node", "size", "joined").distinct(), "found")
+        apart = found.groupBy("key").agg((F.min("joined") != F.max("joined")).alias("apart")).where("apart").select("key")
+        members = stored(found.join(apart, "key", "left_semi"), "members")
+        sets = sets_of(members.select("node").distinct())
+        compared = stored(sets.join(nodes.select("node", "sig"), "node"), "compared")
+        own_members = stored(linkable(members, sets, similarity), "linkable")
+        for done in (found, members, sets):
+            forget(done)
+        # one more turn, to the member of each entry that shares most of its shingles: the text that others are made from
+        central = own_members.groupBy("key").agg(F.max(F.struct(F.col("up_to") / F.col("size"), F.xxhash64("node"), "node", "joined")).alias("hub")).select("key", F.col("hub.node").alias("centre"), F.col("hub.joined").alias("whose"))
+        spokes = own_members.join(central, "key").where("joined != whose").select("node", "centre")
+        roots = joined_by(verified(nearest_hubs(spokes).select(*_pair("node", "centre")).distinct()))
+
+    def up_to_date(rows: DataFrame) -> DataFrame:
+        """rows with the roots that ``joined`` names replaced by theirs."""
+        now = rows.select(F.col("joined").alias("node")).distinct().join(placed().select("node", F.col("joined").alias("now")), "node")
+        return rows.join(small(now.select(F.col("node").alias("joined"), "now")), "joined").withColumn("joined", F.col("now")).select(*rows.columns)
+
+    if own_members is not None:
+        members = stored(up_to_date(own_members), "members")
         largest = members.groupBy("key", "joined").agg(F.count("*").alias("n"), F.sum("size").alias("s")).groupBy("key").agg(F.max(F.struct("n", "joined", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("groups")).where("groups > 1")
         share = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
         plan = largest.select("key", F.col("main.joined").alias("whose"), share(F.col("main.n"), F.col("main.s")).alias("mains"), share(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("rests"))
@@ -397,18 +426,10 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, *, words: int, similarity:
         of_main = F.transform(up_to(F.col("rests")), lambda r: F.struct(r.alias("lo"), (-1 - F.col("block")).alias("hi")))
         dealt = own.select("key", "node", "joined", "rest", F.explode(F.when(F.col("rest"), F.concat(with_main, with_rest)).otherwise(of_main)).alias("blocks"))
         dealt = stored(dealt, "dealt")
-        if dealt.isEmpty():
-            forget(dealt)
-            continue
-        sets = sets_of(dealt.select("node").distinct())
-        full = dealt.join(nodes.select("node", "sig"), "node").join(sets, "node")
-        links = full.groupBy("key", "blocks").applyInPandas(_joining(far, similarity), "a bigint, b bigint")
-        roots = joined_by(links)
-        forget(dealt)
-        forget(sets)
-    if own_members is not None:
-        forget(own_members)
-        forget(entries)
+        if not dealt.isEmpty():
+            roots = joined_by(dealt.join(compared, "node").groupBy("key", "blocks").applyInPandas(_joining(far, similarity), "a bigint, b bigint"))
+        for done in (own_members, members, dealt, compared, entries):
+            forget(done)
         entries, asked = all_entries()
     know = entries.select("key", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("glance").alias("gb"), F.col("joined").alias("jb"), F.col("near").alias("close_b"))
     know = know.join(hot, "key", "left").where(~F.coalesce("whole", F.lit(False)))  # ``whole`` is null where the entry isn't crowded

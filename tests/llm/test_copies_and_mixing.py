@@ -657,3 +657,20 @@ def test_a_member_of_a_large_group_is_verified_a_few_times(spark):
     assert len(got) == 301 and all(len(per[n]) == 3 for n in range(100)) and per[200] == {7}
     rows = [(1, 5)] * 3 + [(1, 6)] * 2 + [(1, 7)]
     assert {r["centre"] for r in simhash.nearest_hubs(spark.createDataFrame(rows, "node long, centre long"), 2).collect()} == {5, 6}
+
+
+def test_copies_that_are_each_changed_too_much_are_not_compared(spark):
+    """Of a text's copies with shingles of their own, those that can't have a link in their entry go;
+    every pair of that similarity stays."""
+    rng = random.Random(5)
+    base = set(range(100))
+    sets = [(k, sorted(base - {*rng.sample(range(100), n)} | {1000 * (k + 1) + x for x in range(n)})) for k, n in enumerate([3] * 5 + [16] * 50)]
+    sets += [(100, sorted(base)), (101, sorted({*range(60), *range(5000, 5015)})), (102, sorted({*range(60), *range(5000, 5015)} - {3}))]
+    members = spark.createDataFrame([(7, k, len(s)) for k, s in sets], "key long, node long, size int")
+    got = simhash.linkable(members, spark.createDataFrame(sets, "node long, grams array<bigint>"), 0.8).collect()
+    of = {k: set(s) for k, s in sets}
+    want = {a for a in of for b in of if a != b and len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])}
+    assert want <= {r["node"] for r in got} and len(got) < 15 and {100, 101, 102} <= want
+    alone = [(k, s) for k, s in sets if k < 100]
+    got = simhash.linkable(members.where("node < 100"), spark.createDataFrame(alone, "node long, grams array<bigint>"), 0.8)
+    assert {r["node"] for r in got.collect()} == set(range(5))
