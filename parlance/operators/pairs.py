@@ -109,69 +109,131 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(x, y) / F.nullif(F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)), F.lit(0.0))
 
 
-#: Queries that meet all rows at a time; what a task is sent.
+#: Queries that meet rows at a time; what a task is sent.
 QUERIES_AT_ONCE = 2000
 #: Cosines that a task holds at a time, whatever the size of its batches.
 CELLS = 500_000
+#: Rows that a block of many queries meets in one task.
+MET_IN_A_TASK = 200_000
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", at_once: int = QUERIES_AT_ONCE) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", at_once: int = QUERIES_AT_ONCE, met: int = MET_IN_A_TASK) -> DataFrame:
     """(query, neighbour, cosine, rank): the k nearest rows of each query, itself left out, equal
     ones (to six places) by key.  Null vectors and keys, and vectors of length 0, are near nothing.
 
-    The queries are a stated set of whole keys.  They are cut in blocks of about ``at_once`` by
-    their keys; each block is collected and sent to the tasks, which meet it with their rows by matrix products and
-    return at most k rows a query, so what is shuffled does not grow with the rows a task reads."""
-    count = queries.count()
-    blocks = max(1, -(-count // at_once))
+    Up to ``at_once`` queries are collected and sent to the tasks, which meet them with their rows
+    by matrix products.  More, as when all rows are queries, are cut in blocks of about ``at_once``
+    that stay in the cluster: each meets the rows, about ``met`` of them in a task.  Either way a
+    task returns at most k rows a query, so no pairs are shuffled but those."""
     kind = dict(rows.dtypes)[key]
-    held = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    best = None
-    for block in range(blocks):
-        mine = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(blocks)) == block))
-        own = mine.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).collect()
-        part = _near_block(held, [r["key"] for r in own], np.array([r["v"] for r in own], dtype=np.float64), k, kind)
-        best = part if best is None else best.unionByName(part)
+    whole = lambda df: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    held, asked = whole(rows), whole(queries)
+    count = asked.count()
+    if count <= at_once:
+        own = asked.select("key", F.col("v").cast("array<double>").alias("v")).collect()
+        best = _near_block(held, [r["key"] for r in own], np.array([r["v"] for r in own], dtype=np.float64), k, kind)
+    else:
+        n = held.count()
+        best = _near_blocks(_blocks(asked, -(-count // at_once)), _blocks(held, max(1, -(-n // (4 * at_once))), max(1, -(-n // met))), k, kind)
     rank = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
     return best.withColumn("rank", F.row_number().over(rank).cast("bigint")).where(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best rows met so far of each of some queries."""
+
+    def __init__(self, names: list, asked: np.ndarray, k: int):
+        self.names, self.k = np.asarray(names), k
+        self.unit = _units(asked)
+        self.small = self.unit.astype(np.float32)
+        self.floor = np.where(np.isnan(self.unit).any(1), np.inf, -np.inf)  # what a row must reach to be among a query's k
+        self.kept = (np.zeros(0, np.int64), np.zeros(0), self.names[:0])  # query, cosine, key
+        self.more: list[tuple] = []  # the same, not sorted in yet
+
+    def meet(self, keys: np.ndarray, x: np.ndarray) -> None:
+        """Products in single precision tell what may reach the floors; cosines are of doubles."""
+        slack = 1e-6 + (x.shape[1] + 4) * 2.0**-23  # rounding to six places, and twice the products' error
+        step = max(1, CELLS // len(self.names))
+        for at in range(0, len(x), step):
+            own, unit = keys[at : at + step], _units(x[at : at + step])
+            product = self.small @ unit.astype(np.float32).T
+            least = self.floor - slack
+            if len(own) > self.k + 1 and np.isneginf(least).any():  # as many as k without the query itself
+                product[np.isnan(product)] = -np.inf
+                least = np.maximum(least, np.partition(product, -(self.k + 1), axis=1)[:, -(self.k + 1)] - 2 * slack)
+            q, j = np.divmod(np.flatnonzero(product >= least.astype(np.float32)[:, None]), len(own))
+            fine = np.isfinite(product[q, j]) & (own[j] != self.names[q])
+            q, j = q[fine], j[fine]
+            self.more.append((q, np.round((self.unit[q] * unit[j]).sum(1), 6), own[j]))
+            if sum(len(m[0]) for m in self.more) > len(self.names) * self.k // 2:
+                self._sort()
+
+    def _sort(self) -> None:
+        q, cosine, key = map(np.concatenate, zip(self.kept, *self.more))
+        order = np.lexsort((key, -cosine, q))
+        q, cosine, key = q[order], cosine[order], key[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        self.floor[q[place == self.k - 1]] = cosine[place == self.k - 1]
+        self.kept, self.more = tuple(x[place < self.k] for x in (q, cosine, key)), []
+
+    def found(self) -> list[pa.RecordBatch]:
+        self._sort()
+        q, cosine, key = self.kept
+        return [pa.RecordBatch.from_arrays([pa.array(self.names[q]), pa.array(key), pa.array(cosine)], names=["query", "neighbour", "cosine"])] if len(q) else []
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; those of length 0 become NaN, which is near nothing."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _read(keys: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return np.asarray(keys.to_pylist()), x.reshape(len(keys), -1)
+
+
 def _near_block(held: DataFrame, names: list, asked: np.ndarray, k: int, kind: str) -> DataFrame:
     sent = held.sparkSession.sparkContext.broadcast((names, asked))
 
     def run(batches):
         names, asked = sent.value
-        size = np.sqrt((asked * asked).sum(1)) if len(names) else np.zeros(0)
-        top: list[list[tuple]] = [[] for _ in names]
-        floor = np.full(len(names), -np.inf)  # what a row must reach to be among a query's k
+        best = _Best(names, asked, k) if names else None
         for b in batches:
-            if not names or not b.num_rows:
-                continue
-            step = max(1, CELLS // len(names))
-            for part in (b.slice(at, step) for at in range(0, b.num_rows, step)):
-                keys = part.column("key").to_pylist()
-                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                norms = np.sqrt((x * x).sum(1))
-                cosine = asked @ x.T
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    np.divide(cosine, size[:, None] * norms, out=cosine)
-                np.round(cosine, 6, out=cosine)
-                cosine[np.isnan(cosine)] = -np.inf
-                least = floor
-                if len(keys) > k + 1:  # as many as k without the query itself, and all that equal the last
-                    least = np.maximum(floor, np.partition(cosine, -(k + 1), axis=1)[:, -(k + 1)])
-                for q in np.flatnonzero((cosine >= least[:, None]).any(1)):
-                    fine = np.flatnonzero((cosine[q] >= least[q]) & (cosine[q] > -np.inf))
-                    top[q] = sorted(top[q] + [(-float(cosine[q, i]), keys[i]) for i in fine if keys[i] != names[q]])[:k]
-                    if len(top[q]) == k:
-                        floor[q] = -top[q][-1][0]
-        found = [(names[q], key, -c) for q, own in enumerate(top) for c, key in own]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["query", "neighbour", "cosine"])
+            if best and b.num_rows:
+                best.meet(*_read(b.column("key"), b.column("v")))
+        if best:
+            yield from best.found()
 
     return held.mapInArrow(run, f"query {kind}, neighbour {kind}, cosine double")
 
 
+def _blocks(held: DataFrame, blocks: int, parts: int | None = None) -> DataFrame:
+    """(block, rows): the rows dealt evenly to ``blocks`` arrays, in ``parts`` partitions, or one each."""
+    dealt = held.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).repartition(parts or blocks, "block")
+    return checkpointed(dealt.groupBy("block").agg(F.collect_list(F.struct("key", "v")).alias("rows")))  # read by many tasks
+
+
+def _near_blocks(asked: DataFrame, held: DataFrame, k: int, kind: str) -> DataFrame:
+    """Each block of queries with each of rows; a task has the blocks of one partition of either side."""
+    own = asked.select("block", F.col("rows").alias("asked"))
+    both = own.crossJoin(held.select("rows").hint("shuffle_replicate_nl"))
+
+    def run(batches):
+        best: dict[int, _Best] = {}
+        for b in batches:
+            for i, block in enumerate(b.column("block").to_pylist()):
+                side = lambda name: b.column(name).slice(i, 1).flatten()
+                of = lambda rows: _read(rows.field("key"), rows.field("v"))
+                if block not in best:
+                    best[block] = _Best(*of(side("asked")), k)
+                best[block].meet(*of(side("rows")))
+        for one in best.values():
+            yield from one.found()
+
+    return both.mapInArrow(run, f"query {kind}, neighbour {kind}, cosine double")
+
+
 def fused(scores: DataFrame, a: str, b: str, least_a: float, least_b: float) -> DataFrame:
     """scores with both at least their minimum, and ``fused``, their harmonic mean."""
     return scores.where((F.col(a) >= least_a) & (F.col(b) >= least_b)).withColumn("fused", harmonic(F.col(a), F.col(b)))

@@ -105,3 +105,20 @@ def test_a_large_batch_makes_no_large_matrix():
     own[7] = -2
     order = sorted(range(20_000), key=lambda i: (-own[i], i))[:3]
     assert sorted((r[1], r[2]) for r in got if r[0] == 7) == sorted((i, own[i]) for i in order)
+
+
+def test_all_rows_are_asked_in_blocks(spark, sf):
+    """Each row is a query, also in blocks, some of copies of one vector and one without length."""
+    import numpy as np
+
+    from parlance.plans.catalogue import QUERIES
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    assert QUERIES["cosine_topk"](spark, sf).select("query").distinct().count() == e.count()
+    draw = np.random.default_rng(4)
+    vectors = draw.normal(size=(90, 6))
+    vectors[20:50], vectors[7] = vectors[20], 0.0
+    frame = spark.createDataFrame([(f"v{i:02}", v.tolist()) for i, v in enumerate(vectors)], "vec_id string, embedding array<double>").repartition(3)
+    found = [sorted(map(tuple, pairs.nearest(frame, frame, 5, at_once=at_once, met=met).collect())) for at_once, met in ((90, 90), (16, 90), (16, 30))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 89 * 5
+    assert [r[1] for r in found[0] if r[0] == "v33"] == ["v20", "v21", "v22", "v23", "v24"]
