@@ -347,8 +347,7 @@ def tagged(spark, sf_dir):
 @query("tree_markers")
 def _(spark, sf_dir):
     """Markers beside valid siblings in trees; a fold that a test holds against plain loops."""
-    rows = tagged(spark, sf_dir)
-    found = trees.tree_markers(trees.nodes(rows, "key"), rows, ALL, refused=["the"])
+    found = trees.markers_of_trees(tagged(spark, sf_dir), ALL, refused=["the"])
     return found.select("key.doc_id", "key.sent_idx", "start", "stop", "listed")
 
 

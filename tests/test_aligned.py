@@ -1,5 +1,7 @@
 """Aligned markers, gold spans, filters of pairs, padding, re-rooting and lookups on hand-made rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +215,29 @@ def test_pair_connective_label(spark):
     frame = spark.createDataFrame(rows, "wa array<string>, ta array<string>, wb array<string>, tb array<string>, want string")
     label = aligned.pair_connective_label([(F.col("wa"), F.col("ta")), (F.col("wb"), F.col("tb"))], classes)
     assert all(r["got"] == r["want"] for r in frame.withColumn("got", label).collect())
+
+
+def test_tree_markers_within_their_rows(spark):
+    """Trees beside their sentences, also ones that never end: as by loops and by nodes, without a shuffle."""
+    import random
+
+    rng = random.Random(9)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"({rng.choice(['NN', 'IN', 'VB', 'NNP'])} {rng.choice(['so', 'that', 'because', 'of', 'rain', 'the'])})"
+        return f"({rng.choice(['NP', 'VP', 'PP'])} {' '.join(grow(depth - 1) for _ in range(rng.randrange(1, 4)))})"
+
+    made = [f"(S {grow(3)} {grow(4)} {grow(3)})" for _ in range(60)] + ["", None, "(S (NN x))"]
+    leaves = [re.findall(r"\((\w+) (\w+)\)", t or "") for t in made]
+    rows = spark.createDataFrame([(i, t, [w for _, w in own], [g for g, _ in own]) for i, (t, own) in enumerate(zip(made, leaves))], "key long, tree string, words array<string>, tags array<string>")
+    found = trees.markers_of_trees(rows, ["because", "so that"], refused=["the"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["key"], []).append((r["start"], r["stop"], r["listed"]))
+    want = {i: m for i, t in enumerate(made) if t and (m := plain_tree_markers(t, ["because", "so that"], ["the"]))}
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 20
+    cut = spark.createDataFrame([(i, t[: rng.randrange(len(t))]) for i, t in enumerate(made) if t], "key long, tree string")
+    by_nodes = {r["key"]: (set(r["starts"]), set(r["stops"])) for r in trees.edges(trees.nodes(cut, "key"), "key").collect()}
+    assert all(trees.edge_places(r["tree"]) == by_nodes.get(r["key"], (set(), set())) for r in cut.collect())
