@@ -238,3 +238,15 @@ def test_siblings_deal_nodes_once(spark):
         assert {r["label"]: r["beside"] for r in found.collect()} == want
     gap = own.where("label != 'B'")  # a neighbour that is left out is none
     assert {r["label"]: r["beside"] for r in trees.with_siblings(gap, "key", left=False).collect()}["A"] == ""
+
+
+def test_points_are_dealt_as_lines(spark):
+    """Sentences with a marker are shuffled as text; their words, several times as large, are made behind it."""
+    docs = spark.createDataFrame([(1, "It rained,  because of WIND. And so on. We left so that it rained."), (2, None)], "doc_id long, text string")
+    found = phrases.data_points(docs, ["because", "because of", "so that"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("words, split(") < plan.index("RepartitionByExpression")
+    assert sorted((r["sent_idx"], r["words"], r["pos"], r["n"], r["phrase"]) for r in found.collect()) == [
+        (0, ["it", "rained", "because", "of", "wind"], 2, 2, "because of"),
+        (2, ["we", "left", "so", "that", "it", "rained"], 2, 2, "so that"),
+    ]
