@@ -209,9 +209,11 @@ def _near_block(held: DataFrame, names: list, asked: np.ndarray, k: int, kind: s
 
 
 def _blocks(held: DataFrame, blocks: int, parts: int | None = None) -> DataFrame:
-    """(block, rows): the rows dealt evenly to ``blocks`` arrays, in ``parts`` partitions, or one each."""
-    dealt = held.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).repartition(parts or blocks, "block")
-    return checkpointed(dealt.groupBy("block").agg(F.collect_list(F.struct("key", "v")).alias("rows")))  # read by many tasks
+    """(block, rows): the rows dealt evenly to ``blocks`` arrays, in ``parts`` partitions at most, or
+    about one each."""
+    dealt = held.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
+    own = (dealt if parts else dealt.repartition(blocks, "block")).groupBy("block").agg(F.collect_list(F.struct("key", "v")).alias("rows"))
+    return checkpointed(own.coalesce(parts) if parts else own)  # read by many tasks
 
 
 def _near_blocks(asked: DataFrame, held: DataFrame, k: int, kind: str) -> DataFrame:
